@@ -65,22 +65,25 @@ def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> list[np.ndarr
     return [pattern(np.zeros(len(sizes)), capacity), *(pattern(np.eye(1, len(sizes), use[k])[0], capacity - int(s[k])) for k in by)]
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds: int = 400) -> tuple[list[np.ndarray], np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 1e-3, patience: int = 6) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and how often to use each, so that every class is used exactly demand times.
 
     Revised simplex on: minimise the number of sequences, patterns times counts = demand. It starts from the patterns
     of one class each; each knapsack table prices a pattern for every class, which enter while their reduced costs last.
-    It stops at optimality, or when Farley's bound is within tolerance of the objective.
+    It stops when Farley's bound is within tolerance of the objective, or the objective has stood still for patience
+    tables. Demands are perturbed by up to 2 % while it runs, against degenerate pivots, and exact when it rounds.
     """
     live = np.flatnonzero(demand > 0)
     if not len(live):
         return [], np.zeros(0, dtype=np.int64)
-    s, d = sizes[live], demand[live].astype(float)
-    m = len(s)
+    s, m = sizes[live], len(live)
+    d = demand[live] * (1 + 0.02 * np.random.default_rng(17).random(m))
     basis = np.diag((capacity // s).astype(float))
     inverse = np.diag(1 / np.diag(basis))
     x = inverse @ d
-    for _ in range(rounds):
+    history: list[float] = []
+    while len(history) <= patience or history[-1] < (1 - tolerance / 5) * history[-1 - patience]:
+        history.append(float(x.sum()))
         found = price(s, inverse.sum(0), capacity)
         if not found or float(inverse.sum(0) @ found[0]) <= 1 + tolerance:
             break
@@ -102,6 +105,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, toleran
         inverse = np.linalg.inv(basis)
         x = np.maximum(inverse @ d, 0)
     full = np.rint(basis).astype(np.int64)
+    x = np.maximum(inverse @ demand[live], 0)
     counts = np.floor(x + 1e-9).astype(np.int64)
     left = demand[live] - full @ counts
     for k in np.flatnonzero(counts):  # where the floor's tolerance took too much

@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all ordered thresholds. Features are the distinct
-lower-cased words of the whole text. The model is fitted on the driver from a bounded sample of labelled rows, and a
+lower-cased words of the whole text and their beginnings, those that tell the classes apart in the sample. The model is fitted on the driver from a bounded sample of labelled rows, and a
 scan scores every document; nothing is shuffled but the sample.
 """
 
@@ -17,10 +17,34 @@ from pyspark.sql import functions as F
 
 GRADES = 4  #: 0 clean, 1 mild, 2 marked, 3 severe
 WORD = re.compile(r"[^\W\d_]+")
+LEAST_RATIO = 15.0  #: log-likelihood ratio from which a feature enters the model
+
+
+def word_features(word: str) -> list[str]:
+    """The word itself, and its beginnings of 3 to 8 letters."""
+    return [word, *(f"{word[:k]}~" for k in range(3, min(8, len(word)) + 1))]
 
 
 def features(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    return {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}
+
+
+def contrast(texts: list[set[str]], toxic: np.ndarray, min_df: int) -> dict[str, float]:
+    """Features with at least min_df rows, by their log-likelihood ratio against the class; negative where toxic rows lack them."""
+    df: list[dict[str, int]] = [{}, {}]
+    for t, y in zip(texts, toxic):
+        for w in t:
+            df[y][w] = df[y].get(w, 0) + 1
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    out = {}
+    for w in df[0].keys() | df[1].keys():
+        a, b = df[1].get(w, 0), df[0].get(w, 0)
+        if a + b < min_df or not n1 or not n0:
+            continue
+        p = (a + b) / (n1 + n0)
+        cells = ((a, n1 * p), (n1 - a, n1 * (1 - p)), (b, n0 * p), (n0 - b, n0 * (1 - p)))
+        out[w] = sum(2 * o * np.log(o / e) for o, e in cells if o and e) * (1 if a * n0 > b * n1 else -1)
+    return out
 
 
 @dataclass
@@ -35,16 +59,11 @@ class OrdinalModel:
         return np.diff(edges, axis=1)
 
 
-def grade_labels(texts: list[set[str]], sizes: list[int], toxic: np.ndarray, min_df: int = 3) -> np.ndarray:
-    """Ordered grades from binary labels: clean rows are 0; toxic rows are cut at the terciles of how dense they are in
-    words that toxic rows hold at ten times the clean rate or more."""
-    df = [{}, {}]
-    for t, y in zip(texts, toxic):
-        for w in t:
-            df[y][w] = df[y].get(w, 0) + 1
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    marked = {w for w, c in df[1].items() if c >= min_df and (c / n1) > 10 * ((df[0].get(w, 0) + 0.5) / n0)}
-    dense = np.array([sum(w in marked for w in t) / max(1, n) for t, n in zip(texts, sizes)])
+def grade_labels(texts: list[set[str]], toxic: np.ndarray, min_df: int = 3) -> np.ndarray:
+    """Ordered grades from binary labels: clean rows are 0; toxic rows are cut at the terciles of how many
+    features they hold that speak for the toxic class."""
+    marked = {w for w, g in contrast(texts, toxic, min_df).items() if g > LEAST_RATIO}
+    dense = np.array([float(len(t & marked)) for t in texts])
     grades = np.zeros(len(texts), dtype=int)
     if toxic.any():
         cuts = np.quantile(dense[toxic == 1], [1 / 3, 2 / 3])
@@ -52,13 +71,10 @@ def grade_labels(texts: list[set[str]], sizes: list[int], toxic: np.ndarray, min
     return grades
 
 
-def fit_ordinal(texts: list[set[str]], grades: np.ndarray, min_df: int = 3, max_features: int = 50_000, rounds: int = 300, rate: float = 0.3, l2: float = 1e-4) -> OrdinalModel:
+def fit_ordinal(texts: list[set[str]], grades: np.ndarray, min_df: int = 3, max_features: int = 5000, rounds: int = 1000, rate: float = 0.05, l2: float = 1e-4) -> OrdinalModel:
     """Full-batch Adam on the mean negative log-likelihood with an L2 penalty."""
-    df: dict[str, int] = {}
-    for t in texts:
-        for w in t:
-            df[w] = df.get(w, 0) + 1
-    vocab = sorted((w for w, c in df.items() if c >= min_df), key=lambda w: (-df[w], w))[:max_features]
+    ratios = contrast(texts, (grades > 0).astype(int), min_df)
+    vocab = sorted((w for w, g in ratios.items() if abs(g) > LEAST_RATIO), key=lambda w: (-abs(ratios[w]), w))[:max_features]
     at = {w: i for i, w in enumerate(vocab)}
     pairs = [(r, at[w]) for r, t in enumerate(texts) for w in t if w in at]
     row, col = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
@@ -93,7 +109,7 @@ def fit_ordinal(texts: list[set[str]], grades: np.ndarray, min_df: int = 3, max_
     return OrdinalModel({v: float(x) for v, x in zip(vocab, p[:m]) if abs(x) > 1e-6}, theta)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[set[str]], list[int], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[set[str]], np.ndarray]:
     """At most limit labelled rows, in halves by class, chosen by a hash of the id; their words come back, not their texts."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
@@ -108,16 +124,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
 
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").mapInArrow(run, "words array<string>, n bigint, y int, h bigint").collect()
     got.sort(key=lambda r: (r["h"], r["n"]))
-    return [set(r["words"]) for r in got], [r["n"] for r in got], np.array([r["y"] for r in got], dtype=int)
+    return [set(r["words"]) for r in got], np.array([r["y"] for r in got], dtype=int)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 6000) -> OrdinalModel:
     """Fit on at most sample_limit labelled rows, whatever the size of the tables."""
-    texts, sizes, toxic = labelled_sample(docs, labels, "toxic", sample_limit)
-    return fit_ordinal(texts, grade_labels(texts, sizes, toxic))
+    texts, toxic = labelled_sample(docs, labels, "toxic", sample_limit)
+    return fit_ordinal(texts, grade_labels(texts, toxic))
 
 
-def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.35) -> DataFrame:
     """One row per row of docs: doc_id, expected_severity (0 to 3), grade (the likeliest), p_toxic, toxic (p_toxic >= cut).
 
     A null or empty text scores as one without words. Null or repeated ids and equal rows are each scored; other columns
@@ -127,9 +143,21 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.5) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        get = m.weights.get
+        known: dict[str, tuple[str, ...]] = {}
+
+        def z_of(text):
+            found = set()
+            for w in set(WORD.findall((text or "").lower())):
+                hit = known.get(w)
+                if hit is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    known[w] = hit = tuple(f for f in word_features(w) if f in m.weights)
+                found.update(hit)
+            return sum(m.weights[f] for f in sorted(found))
+
         for b in batches:
-            z = np.array([sum(get(w, 0.0) for w in sorted(features(t) & m.weights.keys())) for t in b.column(1).to_pylist()], dtype=float)
+            z = np.array([z_of(t) for t in b.column(1).to_pylist()], dtype=float)
             p = m.probabilities(z)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int64)), pa.array(1 - p[:, 0]), pa.array(1 - p[:, 0] >= cut)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
