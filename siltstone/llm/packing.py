@@ -1,7 +1,7 @@
 """Packing by cutting-stock column generation.
 
 Documents longer than a sequence are cut into whole sequences and a rest. The rests are counted in length classes (exact
-when short, within 1/64 of the length beyond), so the driver sees one bounded histogram whatever the corpus. A linear
+when short, in steps of 16 beyond), so the driver sees one bounded histogram whatever the corpus. A linear
 program over patterns (multisets of classes that fit a sequence) is solved by column generation: the master's duals price
 new patterns, a knapsack dynamic program finds the best one, and the loop ends when none improves the bound by more than
 the tolerance. Pattern counts are rounded down, what is left is packed first-fit decreasing, and the pieces of a class,
@@ -24,15 +24,12 @@ SEQUENCE = 2048
 END = 1
 
 
+SHORT, STEP = 64, 16
+
+
 def class_sizes(capacity: int = SEQUENCE) -> np.ndarray:
-    """Ascending upper lengths of the classes below capacity and capacity itself: steps of 1, doubled at 64 and each power of two beyond."""
-    out, at, step = [], 1, 1
-    while at < capacity:
-        out.append(at)
-        if at >= 64 and at & (at - 1) == 0:
-            step *= 2
-        at += step
-    return np.array([*out, capacity], dtype=np.int64)
+    """Ascending lengths that the classes take up: exact below SHORT, multiples of STEP from there on, and capacity."""
+    return np.unique([*range(1, min(SHORT, capacity)), *range(SHORT, capacity, STEP), capacity])
 
 
 def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -65,13 +62,49 @@ def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> list[np.ndarr
     return [pattern(np.zeros(len(sizes)), capacity), *(pattern(np.eye(1, len(sizes), use[k])[0], capacity - int(s[k])) for k in by)]
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 1e-3, patience: int = 6) -> tuple[list[np.ndarray], np.ndarray]:
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots; element-wise only, as threaded linear algebra can stall beside a JVM."""
+    m = len(basis)
+    a = np.hstack([basis, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(a[k:, k]).argmax())
+        if p != k:
+            a[[k, p]] = a[[p, k]]
+        a[k] /= a[k, k]
+        factor = a[:, k].copy()
+        factor[k] = 0
+        a -= factor[:, None] * a[k]
+    return a[:, m:]
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(1)
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 1e-3, rounds: int = 3000) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and how often to use each, so that every class is used exactly demand times.
 
-    Revised simplex on: minimise the number of sequences, patterns times counts = demand. It starts from the patterns
-    of one class each; each knapsack table prices a pattern for every class, which enter while their reduced costs last.
-    It stops when Farley's bound is within tolerance of the objective, or the objective has stood still for patience
-    tables. Demands are perturbed by up to 2 % while it runs, against degenerate pivots, and exact when it rounds.
+    Short classes, exact, and long ones, in steps, are solved apart: each by a program of one unit.
+    """
+    out, uses = [], []
+    for part in (sizes < SHORT, sizes >= SHORT):
+        if part.any():
+            unit = int(np.gcd.reduce([*sizes[part], capacity]))
+            for p, n in zip(*_solve(sizes[part] // unit, demand[part], capacity // unit, tolerance, rounds)):
+                whole = np.zeros(len(sizes), dtype=np.int64)
+                whole[part] = p
+                out.append(whole)
+                uses.append(int(n))
+    return out, np.array(uses, dtype=np.int64)
+
+
+def _solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Revised simplex on: minimise the number of sequences, patterns times counts = demand.
+
+    It starts from the patterns of one class each; each knapsack table prices a pattern for every class, which enter
+    while their reduced costs last. It stops when Farley's bound is within tolerance of the objective, or after rounds
+    tables with what it has, which still is a whole packing. Demands are perturbed by up to 2 % while it runs, against
+    degenerate pivots, and exact when it rounds.
     """
     live = np.flatnonzero(demand > 0)
     if not len(live):
@@ -80,17 +113,21 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, toleran
     d = demand[live] * (1 + 0.02 * np.random.default_rng(17).random(m))
     basis = np.diag((capacity // s).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ d
-    history: list[float] = []
-    while len(history) <= patience or history[-1] < (1 - tolerance / 5) * history[-1 - patience]:
-        history.append(float(x.sum()))
-        found = price(s, inverse.sum(0), capacity)
-        if not found or float(inverse.sum(0) @ found[0]) <= 1 + tolerance:
+    x = times(inverse, d)
+    bound = 0.0
+    for step in range(1, rounds + 1):
+        duals = np.maximum(inverse.sum(0), 0)
+        found = price(s, duals, capacity)
+        if not found:
+            break
+        value = float((duals * found[0]).sum())
+        bound = max(bound, float((duals * d).sum()) / value)
+        if value <= 1 + 1e-9 or x.sum() <= bound * (1 + tolerance):
             break
         for pattern in found:
-            if float(inverse.sum(0) @ pattern) <= 1 + tolerance / 2:
+            if float((inverse.sum(0) * pattern).sum()) <= 1 + 1e-6:
                 continue
-            direction = inverse @ pattern
+            direction = times(inverse, pattern)
             ok = np.flatnonzero(direction > 1e-9)
             if not len(ok):
                 continue
@@ -102,10 +139,12 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, toleran
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
             inverse[out] = row
-        inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ d, 0)
+        if step % 50 == 0:
+            inverse = inverse_of(basis)
+            x = np.maximum(times(inverse, d), 0)
+    inverse = inverse_of(basis)
     full = np.rint(basis).astype(np.int64)
-    x = np.maximum(inverse @ demand[live], 0)
+    x = np.maximum(times(inverse, demand[live]), 0)
     counts = np.floor(x + 1e-9).astype(np.int64)
     left = demand[live] - full @ counts
     for k in np.flatnonzero(counts):  # where the floor's tolerance took too much
@@ -125,10 +164,10 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, toleran
             p[live[i]] = n
             room -= n * int(s[i])
         held = p[live] > 0
-        times = int((left[held] // p[live][held]).min())
-        left = left - times * p[live]
+        n = int((left[held] // p[live][held]).min())
+        left = left - n * p[live]
         patterns.append(p)
-        uses.append(times)
+        uses.append(n)
     return patterns, np.array(uses, dtype=np.int64)
 
 

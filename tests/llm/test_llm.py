@@ -186,7 +186,7 @@ def test_packing_patterns():
         patterns, uses = packing.solve_patterns(sizes, demand, packing.SEQUENCE)
         assert (sum((p * n for p, n in zip(patterns, uses)), np.zeros(len(sizes), int)) == demand).all()
         assert all(p @ sizes <= packing.SEQUENCE for p in patterns)
-        assert uses.sum() <= 1.02 * -(-int(demand @ sizes) // packing.SEQUENCE) + 2
+        assert uses.sum() <= 1.04 * -(-int(demand @ sizes) // packing.SEQUENCE) + 2
 
 
 def test_packing_odd(odd):
