@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import tasks_for
+from siltstone.llm.common import staged, tasks_for
 
 SPAN, K = 50, 16
 REACH = SPAN - K  #: bytes of an anchor's windows before it
@@ -193,6 +193,26 @@ def bucket_of(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     return low + (_mix(gram[:, 1]) % (high - low + 1).astype(np.uint64)).astype(np.int64)
 
 
+def _pack(rows: np.ndarray, doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> bytes:
+    """Rows and their places, which come in runs of one document: lengths, rows, run starts, places (32 bits: a text is below 2 GB), then ids and tags."""
+    new = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))
+    at = np.flatnonzero(new)
+    head = np.array([len(rows), len(at)], "<u4")
+    return b"".join(x.tobytes() for x in (head, rows, at.astype("<u4"), first.astype("<u4"), doc[at].astype("<i8"), tag[at].astype("<i8")))
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, m = np.frombuffer(body, "<u4", 2).tolist()
+    at = 8 + n * ROW
+    rows = np.frombuffer(body, np.uint8, n * ROW, 8).reshape(n, ROW)
+    starts = np.frombuffer(body, "<u4", m, at).astype(np.int64)
+    first = np.frombuffer(body, "<u4", n, at + 4 * m).astype(np.int64)
+    ids = np.frombuffer(body, "<i8", m, at + 4 * m + 4 * n)
+    tags = np.frombuffer(body, "<i8", m, at + 12 * m + 4 * n)
+    run = np.repeat(np.arange(m), np.diff(np.append(starts, n)))
+    return rows, np.stack([ids[run], tags[run], first], 1)
+
+
 def _segments(doc: int, tag: int, text: bytes):
     """A document in parts that share SPAN - 1 bytes, so that each window lies in one whole part."""
     for at in range(0, max(1, len(text) - SPAN + 1), GROUP):
@@ -260,14 +280,14 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             local.setdefault(group[p][:2], []).append(blob)
         k = order[~known]
         bucket = bucket_of(rows[k], splitters.value)
-        by = np.lexsort((ids[which[k]], bucket))
+        by = np.lexsort((first[k], bucket))
         k, bucket = k[by], bucket[by]
         out = [(-1, None, d, t, b"".join(x)) for (d, t), x in local.items()]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else []
         tags = np.array([p[1] for p in group], np.int64)
         for a, b in zip(cut, [*cut[1:], len(k)]):
             p = k[a:b]
-            body = rows[p].tobytes() + np.stack([ids[which[p]], tags[which[p]], first[p] + shift[which[p]]], 1).astype("<i8").tobytes()
+            body = _pack(rows[p], ids[which[p]], tags[which[p]], first[p] + shift[which[p]])
             out.append((int(bucket[a]), pa.Codec("zstd", compression_level=3).compress(body, asbytes=True), None, len(body), None))
         if out:
             cols = list(zip(*out))
@@ -290,9 +310,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             yield from compare(held)
 
     def compare(bodies):
-        m = [len(x) // (ROW + 24) for x in bodies]
-        rows = np.concatenate([np.frombuffer(x, np.uint8, n * ROW).reshape(n, ROW) for x, n in zip(bodies, m)])
-        refs = np.concatenate([np.frombuffer(x, "<i8", n * 3, n * ROW).reshape(n, 3) for x, n in zip(bodies, m)])
+        rows, refs = (np.concatenate(x) for x in zip(*map(_unpack, bodies)))
         bodies.clear()
         doc = refs[:, 0]
         order, head = equal_rows(rows, doc)
@@ -345,10 +363,43 @@ def _kept(text: str | None, blobs: list[bytes] | None) -> tuple[bytes, bytes, np
     return data, b"".join([*out, data[at:]]), s, e
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
+FILTER_WORDS = 1 << 18  #: 64-bit words of the filter of affected documents: 2 MB, whatever the corpus
+
+
+def affected_filter(found: DataFrame, words: int = FILTER_WORDS):
+    """A column test on (id, tag): false only for documents that lose nothing. A hashed bit set of fixed size, so a larger
+    corpus lets more pass than it must; what passes still meets its ranges in the join."""
+    spot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(64 * words))
+    bits = found.select(spot.alias("spot")).groupBy((F.floor(F.col("spot") / 64)).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("spot", F.lit(64)).cast("int"))).alias("b"))
+    table = np.zeros(words, np.int64)
+    for w, b in bits.collect():  # at most words rows
+        table[w] = b
+    shared = found.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(at):
+        import pandas as pd
+
+        x = at.to_numpy()
+        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    return lambda key, tag: passes(F.pmod(F.xxhash64(key, tag), F.lit(64 * words)))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
+    """docs with a key and a tag, their ranges, and the test of who may have some."""
     found = removed_ranges(docs).groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("__ranges"))
-    found = found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__ranges")
-    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__th", F.xxhash64("text")).join(found, (F.col("__key") == F.col("__doc")) & (F.col("__th") == F.col("__tag")), "left")
+    found = staged(found, "removed-ranges")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
+    return keyed, found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__ranges"), affected_filter(found)
+
+
+def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that may lose bytes, with their ranges or none; the rest). Only the texts of the first are shuffled."""
+    keyed, found, may = _keyed(docs)
+    flagged = keyed.withColumn("__may", may(F.col("__key"), F.col("__th")))
+    some = flagged.filter("__may").join(found, (F.col("__key") == F.col("__doc")) & (F.col("__th") == F.col("__tag")), "left")
+    return some, flagged.filter("NOT __may")
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -373,7 +424,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string, spans array<array<bigint>>" * with_text
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return _with_ranges(base).select("doc_id", "text", "__ranges").mapInArrow(run, schema)
+    some, rest = _split(base)
+    return some.select("doc_id", "text", "__ranges").unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("__ranges"))).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -385,7 +437,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([t if r is None or not len(r) else _kept(t, list(r))[1].decode("utf-8", "ignore") for t, r in zip(text, ranges)], dtype=object)
 
-    out = _with_ranges(docs).withColumn("text", cut("text", "__ranges"))
+    some, rest = _split(docs)
+    lost = some.withColumn("text", F.when(F.col("__ranges").isNull(), F.col("text")).otherwise(cut("text", "__ranges")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        lost = lost.withColumn("n_chars", F.when(F.col("__ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return lost.select(*docs.columns).unionByName(rest.select(*docs.columns))
