@@ -61,3 +61,9 @@ def with_rank(df: DataFrame, keys: list[str], order: list, rank: str, label: str
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return numbered.join(base, on).withColumn(rank, F.col(at) + F.col("__base")).drop(part, at, "__p", "__base", *[f"__k{i}" for i in range(len(keys))])
+
+
+def each_row(batch, step: int = 128):
+    """The rows of an Arrow batch as tuples, a few at a time, so that a batch of long texts is not copied whole."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, tasks_for
+from siltstone.llm.common import each_row, staged, tasks_for
 
 SPAN, K = 50, 16
 REACH = SPAN - K  #: bytes of an anchor's windows before it
 WIDTH = REACH + SPAN  #: bytes of text that an anchor's windows can cover
 ROW = 88  #: WIDTH, first and last window, zeros up to whole 8-byte words
-GROUP = 4 << 20  #: bytes of text that one sender or bucket works on at once
+GROUP = 4 << 20  #: bytes of text whose anchors a sender compares and packs together
+PART = 1 << 20  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
+SUB = 4  #: buckets that travel and arrive together, packed, and are unpacked one at a time
 NO_ID = (1 << 63) - 1  #: a null id: larger than every other
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
 _S = np.uint64(29)
@@ -215,8 +217,8 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _segments(doc: int, tag: int, text: bytes):
     """A document in parts that share SPAN - 1 bytes, so that each window lies in one whole part."""
-    for at in range(0, max(1, len(text) - SPAN + 1), GROUP):
-        yield doc, tag, at, text[at : at + GROUP + SPAN - 1]
+    for at in range(0, max(1, len(text) - SPAN + 1), PART):
+        yield doc, tag, at, text[at : at + PART + SPAN - 1]
 
 
 def sample_splitters(docs: DataFrame, buckets: int, limit: int = 2000) -> np.ndarray:
@@ -246,13 +248,13 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, tag (hash of the text), ranges (packed 64-bit starts and ends): rows of what is removed, several for a document."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = tasks_for(spark, total, GROUP)
-    splitters = spark.sparkContext.broadcast(sample_splitters(docs, n))
+    n = tasks_for(spark, total, SUB * GROUP)
+    splitters = spark.sparkContext.broadcast(sample_splitters(docs, n * SUB))
 
     def send(batches):
         group, size = [], 0
         for b in batches:
-            for doc, tag, text in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, tag, text in each_row(b):
                 for part in _segments(NO_ID if doc is None else doc, tag, (text or "").encode("utf-8", "surrogatepass")):
                     group.append(part)
                     size += len(part[3])
@@ -264,30 +266,39 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
 
     def flush(group):
         group.sort(key=lambda p: p[:3])
-        ends = np.cumsum([len(p[3]) for p in group])
-        begins = np.append(0, ends[:-1])
-        buf = np.frombuffer(b"".join(p[3] for p in group), np.uint8)
         ids = np.array([p[0] for p in group], np.int64)
-        shift = np.array([p[2] for p in group], np.int64) - begins
-        which, at, first, last = anchors(buf, begins, ends)
-        rows = contexts(buf, at, first, last)
+        got, at = [], 0
+        while at < len(group):
+            end, size = at + 1, len(group[at][3])
+            while end < len(group) and size + len(group[end][3]) <= PART:
+                size += len(group[end][3])
+                end += 1
+            ends = np.cumsum([len(p[3]) for p in group[at:end]])
+            begins = np.append(0, ends[:-1])
+            buf = np.frombuffer(b"".join(p[3] for p in group[at:end]), np.uint8)
+            which, spot, first, last = anchors(buf, begins, ends)
+            shift = np.array([p[2] for p in group[at:end]], np.int64) - begins
+            got.append((which + at, contexts(buf, spot, first, last), first + shift[which], last + shift[which]))
+            at = end
+        which, rows, first, last = (np.concatenate(x) for x in zip(*got))
+        got.clear()
         order, head = equal_rows(rows, ids[which])
         doc = ids[which[order]]
         known = doc > doc[head]  # an equal row of a smaller document is sent
         k = order[known]
         local = {}
-        for p, blob in _ranges(which[k], first[k] + shift[which[k]], last[k] + SPAN + shift[which[k]]):
+        for p, blob in _ranges(which[k], first[k], last[k] + SPAN):
             local.setdefault(group[p][:2], []).append(blob)
         k = order[~known]
-        bucket = bucket_of(rows[k], splitters.value)
-        by = np.lexsort((first[k], bucket))
+        bucket = bucket_of(rows[k], splitters.value) // SUB
+        by = np.lexsort((first[k], which[k], bucket))
         k, bucket = k[by], bucket[by]
         out = [(-1, None, d, t, b"".join(x)) for (d, t), x in local.items()]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else []
         tags = np.array([p[1] for p in group], np.int64)
         for a, b in zip(cut, [*cut[1:], len(k)]):
             p = k[a:b]
-            body = _pack(rows[p], ids[which[p]], tags[which[p]], first[p] + shift[which[p]])
+            body = _pack(rows[p], ids[which[p]], tags[which[p]], first[p])
             out.append((int(bucket[a]), pa.Codec("zstd", compression_level=3).compress(body, asbytes=True), None, len(body), None))
         if out:
             cols = list(zip(*out))
@@ -297,21 +308,31 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     def meet(batches):
         held, at = [], None
         for b in batches:
-            for bucket, body, doc, tag, ranges in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, body, doc, tag, ranges in each_row(b, 16):
                 if body is None:
                     yield pa.RecordBatch.from_pylist([{"doc_id": doc, "tag": tag, "ranges": ranges}], schema=OUT)
                     continue
                 if bucket != at and held:
                     yield from compare(held)
-                    held = []
+                    held = []  # one bucket at a time, and packed
                 at = bucket
-                held.append(pa.Codec("zstd").decompress(body, decompressed_size=tag, asbytes=True))
+                held.append((body, tag))
         if held:
             yield from compare(held)
 
     def compare(bodies):
-        rows, refs = (np.concatenate(x) for x in zip(*map(_unpack, bodies)))
-        bodies.clear()
+        for sub in range(SUB):
+            part = []
+            for body, size in bodies:
+                rows, refs = _unpack(pa.Codec("zstd").decompress(body, decompressed_size=size, asbytes=True))
+                mine = bucket_of(rows, splitters.value) % SUB == sub
+                part.append((rows[mine], refs[mine]))
+            rows, refs = (np.concatenate(x) for x in zip(*part))
+            part.clear()
+            if len(rows):
+                yield from settle(rows, refs)
+
+    def settle(rows, refs):
         doc = refs[:, 0]
         order, head = equal_rows(rows, doc)
         known = doc[order] > doc[order[head]]
@@ -415,7 +436,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, text, blobs in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, text, blobs in each_row(b):
                 data, kept, s, e = _kept(text, blobs)
                 out.append((doc, len(data), len(data) - len(kept), len(s), sha256(kept).hexdigest(), *((kept.decode("utf-8", "replace"), np.stack([s, e], 1).tolist()) if with_text else ())))
             cols = list(zip(*out)) or [()] * (5 + 2 * with_text)

@@ -248,6 +248,7 @@ def test_suffix_dedup_hard(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     for group in (4 << 20, 300):  # parts of long documents and many buckets
         monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        monkeypatch.setattr(suffix_dedup, "PART", group // 2)
         got = rows_of(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert got == brute_suffix(rows)
 
