@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import each_row
 from siltstone.llm.tokens import Encoder, encoder, file_of
 
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
@@ -133,7 +134,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests: bool =
         enc, dec = opened(path)
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for _, text in each_row(b):
                 ids = array("I", enc.encode(text))
                 back = dec.decode(ids)
                 out.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(back.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), back))

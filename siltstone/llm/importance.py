@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, with_rank
+from siltstone.llm.common import each_row, staged, with_rank
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -66,7 +66,7 @@ def model_counts(docs: DataFrame, labels: DataFrame, sample_limit: int) -> tuple
     def run(batches):
         raw, aim = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t, is_target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for t, is_target in each_row(b):
                 c = np.bincount(buckets_of(t), minlength=BUCKETS)
                 raw += c
                 if is_target:
@@ -104,8 +104,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
 
     def run(batches):
         for b in batches:
-            found = [buckets_of(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([float(shared.value[x].sum()) for x in found], pa.float64())], ["doc_id", "n_grams", "log_weight"])
+            found = [(len(x), float(shared.value[x].sum())) for x in (buckets_of(t) for _, t in each_row(b))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], ["doc_id", "n_grams", "log_weight"])
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double")
     scored = staged(scored.withColumn("score", F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1)), seed)), "importance")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import staged, with_rank
+from siltstone.llm.common import each_row, staged, with_rank
 from siltstone.llm.tokens import encoder, file_of
 
 SEQUENCE = 2048
@@ -179,7 +179,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text in each_row(b):
                 ids = e.encode(text) + end
                 n = len(ids) // 4
                 for at in range(0, n, capacity):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import each_row
+
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_cased")
 
@@ -69,7 +71,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches):
         for b in batches:
-            cols = list(zip(*map(measure, b.column(1).to_pylist()))) or [()] * len(MEASURES)
+            cols = list(zip(*(measure(t) for _, t in each_row(b)))) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *MEASURES])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LEDGER_SCHEMA)

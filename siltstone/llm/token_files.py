@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fresh_path, staged, tasks_for
+from siltstone.llm.common import each_row, fresh_path, staged, tasks_for
 from siltstone.llm.tokens import encoder, file_of
 
 END = 1
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         ids, lengths, name = [], [], f"{top}/_tmp-{shard:05d}-{uuid.uuid4().hex}"
         with store.open_output_stream(f"{name}.bin") as out:
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for doc_id, text in each_row(b):
                     got = np.frombuffer(e.encode(text) + end, dtype="<u4")
                     out.write(got.astype(kind).tobytes())
                     ids.append(NO_ID if doc_id is None else doc_id)

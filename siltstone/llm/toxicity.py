@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import each_row
+
 GRADES = 4  #: 0 clean, 1 mild, 2 marked, 3 severe
 WORD = re.compile(r"[^\W\d_]+")
 LEAST_RATIO = 15.0  #: log-likelihood ratio from which a feature enters the model
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.35) -> DataFrame:
             return sum(m.weights[f] for f in sorted(found))
 
         for b in batches:
-            z = np.array([z_of(t) for t in b.column(1).to_pylist()], dtype=float)
+            z = np.array([z_of(t) for _, t in each_row(b)], dtype=float)
             p = m.probabilities(z)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(1).astype(np.int64)), pa.array(1 - p[:, 0]), pa.array(1 - p[:, 0] >= cut)], ["doc_id", "expected_severity", "grade", "p_toxic", "toxic"])
 
