@@ -16,7 +16,7 @@ from array import array
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MEMORY = 400_000  #: pre-tokens kept per worker
+MEMORY = 1_200_000  #: pre-tokens kept per worker
 
 
 class Encoder:
@@ -45,19 +45,18 @@ class Encoder:
         """Packed ids of each pre-token of a plain text."""
         found = self.pattern.findall(text.lower() if self.lower else text)
         memory = self.memory
-        try:
-            return [memory[w] for w in found]
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(found) if w not in memory]
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list(dict.fromkeys(found))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memory[w] = array("I", e.ids).tobytes()
-        return [memory[w] for w in found]
+        out = list(map(memory.get, found))
+        if None in out:
+            new = list({w for w, ids in zip(found, out) if ids is None})
+            if len(memory) + len(new) > MEMORY:
+                memory.clear()
+                new = list(set(found))
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    memory[w] = array("I", e.ids).tobytes()
+            out = list(map(memory.get, found))
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
