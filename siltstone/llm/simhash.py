@@ -18,9 +18,9 @@ from siltstone.llm.common import each_row, staged
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SAMPLE = 20_000  #: fingerprints that shape the tree
-HOME = 2048  #: fingerprints that a shard aims to hold
+SHARD_BASE = 512  #: shards grow as the square root of the fingerprints over this, which balances visits against comparisons
 MOST_SHARDS = 1024
-BLOCK = 8192  #: homes of a shard beyond which it is dealt out in blocks
+BLOCK = 65_536  #: homes of a shard beyond which it is dealt out in blocks
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -143,7 +143,7 @@ def star_edges(fps: DataFrame) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "a bigint, b bigint")
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(1, min(MOST_SHARDS, n // HOME))))
+    tree = spark.sparkContext.broadcast(Tree(sample, max(1, min(MOST_SHARDS, int((n / SHARD_BASE) ** 0.5)))))
 
     def route(batches):
         for b in batches:

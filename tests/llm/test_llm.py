@@ -288,7 +288,7 @@ def test_simhash_tree_loses_no_link(spark, monkeypatch):
             x ^= 1 << int(rng.integers(0, 64))
             fps.append(x)
     fps = np.unique(np.array(fps, dtype=np.uint64))
-    monkeypatch.setattr(simhash, "HOME", 40)
+    monkeypatch.setattr(simhash, "SHARD_BASE", 3)
     monkeypatch.setattr(simhash, "BLOCK", 25)
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
     roots = {r["node"]: r["root"] for r in simhash.components(simhash.star_edges(frame)).collect()}
