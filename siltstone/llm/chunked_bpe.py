@@ -21,8 +21,8 @@ from siltstone.llm.common import each_row
 from siltstone.llm.tokens import Encoder, encoder, file_of
 
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
-#: Before a space or line feed that follows a letter and precedes a letter, pre-tokens end whatever stands further off.
-_SAFE = re.compile(r"(?<=[A-Za-z])(?=[ \n][A-Za-z])")
+#: Where white space follows anything else, a pre-token ends and the next begins, whatever stands further off.
+_SAFE = re.compile(r"(?<=\S)(?=\s)")
 _POWERS = np.array([pow(0x100000001B3, WINDOW - 1 - i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
 
 
