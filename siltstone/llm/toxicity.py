@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,38 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in range(3, min(8, len(word)) + 1))]
 
 
-def features(text: str | None) -> set[str]:
-    return {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}
-
-
-def contrast(texts: list[set[str]], toxic: np.ndarray, min_df: int) -> dict[str, float]:
-    """Features with at least min_df rows, by their log-likelihood ratio against the class; negative where toxic rows lack them."""
-    df: list[dict[str, int]] = [{}, {}]
-    for t, y in zip(texts, toxic):
-        for w in t:
-            df[y][w] = df[y].get(w, 0) + 1
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    out = {}
-    for w in df[0].keys() | df[1].keys():
-        a, b = df[1].get(w, 0), df[0].get(w, 0)
-        if a + b < min_df or not n1 or not n0:
-            continue
-        p = (a + b) / (n1 + n0)
-        cells = ((a, n1 * p), (n1 - a, n1 * (1 - p)), (b, n0 * p), (n0 - b, n0 * (1 - p)))
-        out[w] = sum(2 * o * np.log(o / e) for o, e in cells if o and e) * (1 if a * n0 > b * n1 else -1)
-    return out
+def words_of(text: str | None) -> list[str]:
+    return sorted(set(WORD.findall((text or "").lower())))
+
+
+def indexed(docs: list[list[str]]) -> tuple[list[np.ndarray], list[str]]:
+    """Each document's feature numbers, ascending, and the features' names."""
+    known: dict[str, int] = {}
+    numbers: dict[str, tuple[int, ...]] = {}
+    out = []
+    for words in docs:
+        for w in words:
+            if w not in numbers:
+                numbers[w] = tuple(known.setdefault(f, len(known)) for f in word_features(w))
+        out.append(np.unique(np.fromiter(chain.from_iterable(numbers[w] for w in words), np.int32)))
+    return out, list(known)
+
+
+def contrast(rows: list[np.ndarray], n_features: int, toxic: np.ndarray, min_df: int) -> np.ndarray:
+    """Log-likelihood ratio of each feature against the class, negative where toxic rows lack it; 0 below min_df rows."""
+    df = np.zeros((2, n_features))
+    for r, y in zip(rows, toxic):
+        df[y, r] += 1
+    b, a = df
+    n1, n0 = float(toxic.sum()), float((1 - toxic).sum())
+    if not n1 or not n0:
+        return np.zeros(n_features)
+    p = (a + b) / (n1 + n0)
+    out = np.zeros(n_features)
+    for o, e in ((a, n1 * p), (n1 - a, n1 * (1 - p)), (b, n0 * p), (n0 - b, n0 * (1 - p))):
+        ok = (o > 0) & (e > 0)
+        out[ok] += 2 * o[ok] * np.log(o[ok] / e[ok])
+    return np.where(a + b >= min_df, np.where(a * n0 > b * n1, out, -out), 0.0)
 
 
 @dataclass
@@ -61,26 +74,30 @@ class OrdinalModel:
         return np.diff(edges, axis=1)
 
 
-def grade_labels(texts: list[set[str]], toxic: np.ndarray, min_df: int = 3) -> np.ndarray:
-    """Ordered grades from binary labels: clean rows are 0; toxic rows are cut at the terciles of how many
-    features they hold that speak for the toxic class."""
-    marked = {w for w, g in contrast(texts, toxic, min_df).items() if g > LEAST_RATIO}
-    dense = np.array([float(len(t & marked)) for t in texts])
-    grades = np.zeros(len(texts), dtype=int)
+def grade_labels(rows: list[np.ndarray], ratios: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Ordered grades from binary labels: clean rows are 0; toxic rows are cut at the terciles of how many features they
+    hold that speak for the toxic class."""
+    held = np.array([float((ratios[r] > LEAST_RATIO).sum()) for r in rows])
+    grades = np.zeros(len(rows), dtype=int)
     if toxic.any():
-        cuts = np.quantile(dense[toxic == 1], [1 / 3, 2 / 3])
-        grades[toxic == 1] = 1 + np.searchsorted(cuts, dense[toxic == 1], side="left")
+        cuts = np.quantile(held[toxic == 1], [1 / 3, 2 / 3])
+        grades[toxic == 1] = 1 + np.searchsorted(cuts, held[toxic == 1], side="left")
     return grades
 
 
-def fit_ordinal(texts: list[set[str]], grades: np.ndarray, min_df: int = 3, max_features: int = 5000, rounds: int = 1000, rate: float = 0.05, l2: float = 1e-4) -> OrdinalModel:
-    """Full-batch Adam on the mean negative log-likelihood with an L2 penalty."""
-    ratios = contrast(texts, (grades > 0).astype(int), min_df)
-    vocab = sorted((w for w, g in ratios.items() if abs(g) > LEAST_RATIO), key=lambda w: (-abs(ratios[w]), w))[:max_features]
-    at = {w: i for i, w in enumerate(vocab)}
-    pairs = [(r, at[w]) for r, t in enumerate(texts) for w in t if w in at]
-    row, col = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    n, m = len(texts), len(vocab)
+def fit_ordinal(docs: list[list[str]], toxic: np.ndarray, min_df: int = 3, max_features: int = 5000, rounds: int = 1000, rate: float = 0.05, l2: float = 1e-4) -> OrdinalModel:
+    """Full-batch Adam on the mean negative log-likelihood with an L2 penalty. docs: the distinct words of each row."""
+    rows, names = indexed(docs)
+    ratios = contrast(rows, len(names), toxic, min_df)
+    grades = grade_labels(rows, ratios, toxic)
+    chosen = [i for i in np.argsort(-np.abs(ratios), kind="stable")[:max_features].tolist() if abs(ratios[i]) > LEAST_RATIO]
+    vocab = [names[i] for i in chosen]
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
+    held = [column[r][column[r] >= 0] for r in rows]
+    row = np.repeat(np.arange(len(rows)), [len(h) for h in held]).astype(np.int64)
+    col = np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)
+    n, m = len(rows), len(vocab)
     w, theta0, gaps = np.zeros(m), 2.0, np.full(GRADES - 2, -1.0)
     p = np.concatenate([w, [theta0], gaps])
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
@@ -111,28 +128,25 @@ def fit_ordinal(texts: list[set[str]], grades: np.ndarray, min_df: int = 3, max_
     return OrdinalModel({v: float(x) for v, x in zip(vocab, p[:m]) if abs(x) > 1e-6}, theta)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[set[str]], np.ndarray]:
-    """At most limit labelled rows, in halves by class, chosen by a hash of the id; their words come back, not their texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[list[str]], np.ndarray]:
+    """At most limit labelled rows, in halves by class, chosen by a hash of the id; their distinct words come back, not their texts."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     halves = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(limit // 2) for y in (0, 1)]
-    chosen = F.broadcast(halves[0].unionByName(halves[1]))
+    chosen = F.broadcast(halves[0].unionByName(halves[1]))  # at most limit rows
 
     def run(batches):
         for b in batches:
-            found = [sorted(features(t)) for t in b.column(0).to_pylist()]
-            sizes = [len(WORD.findall(t or "")) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(sizes, pa.int64()), b.column(1), b.column(2)], ["words", "n", "y", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(words_of(t)) for t, *_ in each_row(b)], pa.string()), b.column(1), b.column(2)], ["words", "y", "h"])
 
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").mapInArrow(run, "words array<string>, n bigint, y int, h bigint").collect()
-    got.sort(key=lambda r: (r["h"], r["n"]))
-    return [set(r["words"]) for r in got], np.array([r["y"] for r in got], dtype=int)
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").mapInArrow(run, "words string, y int, h bigint").collect()
+    got.sort(key=lambda r: (r["h"], r["words"]))
+    return [r["words"].split() for r in got], np.array([r["y"] for r in got], dtype=int)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 6000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, sample_limit: int = 4000) -> OrdinalModel:
     """Fit on at most sample_limit labelled rows, whatever the size of the tables."""
-    texts, toxic = labelled_sample(docs, labels, "toxic", sample_limit)
-    return fit_ordinal(texts, grade_labels(texts, toxic))
+    return fit_ordinal(*labelled_sample(docs, labels, "toxic", sample_limit))
 
 
 def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.35) -> DataFrame:
