@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -67,3 +68,13 @@ def each_row(batch, step: int = 128):
     """The rows of an Arrow batch as tuples, a few at a time, so that a batch of long texts is not copied whole."""
     for at in range(0, batch.num_rows, step):
         yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
+
+
+def trim_memory() -> None:
+    """Give freed arrays back to the system: reused Python workers share an executor's memory with its JVM."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -33,7 +33,7 @@ def shape(token: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, token: str) -> tuple[str, int]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[token] = got = (shape(token), crc32(token.lower().encode()))
         return got

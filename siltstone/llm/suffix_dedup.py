@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row, staged, tasks_for
+from siltstone.llm.common import each_row, staged, tasks_for, trim_memory
 
 SPAN, K = 50, 16
 REACH = SPAN - K  #: bytes of an anchor's windows before it
 WIDTH = REACH + SPAN  #: bytes of text that an anchor's windows can cover
 ROW = 88  #: WIDTH, first and last window, zeros up to whole 8-byte words
 GROUP = 4 << 20  #: bytes of text whose anchors a sender compares and packs together
-PART = 1 << 20  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
+PART = 1 << 19  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
 SUB = 4  #: buckets that travel and arrive together, packed, and are unpacked one at a time
 NO_ID = (1 << 63) - 1  #: a null id: larger than every other
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -90,7 +90,11 @@ def equal_rows(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     hs = h[order]
     start = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
     head = np.repeat(start, np.diff(np.append(start, len(hs))))
-    same = (rows[order].view(np.uint64) == rows[order[head]].view(np.uint64)).all(1) if len(order) else np.zeros(0, bool)
+    same = np.ones(len(order), bool)
+    words = rows.view(np.uint64)
+    for at in range(0, len(order), 1 << 15):
+        k = slice(at, at + (1 << 15))
+        same[k] = (words[order[k]] == words[order[head[k]]]).all(1)
     return order, np.where(same, head, np.arange(len(order)))  # of two contents with one hash, the second stands alone
 
 
@@ -131,7 +135,7 @@ def partial_matches(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     upto = np.cumsum(n_windows)
     at = 0
     while at < len(todo):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 400_000)))
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 150_000)))
         if end < len(todo):  # whole runs of a K-gram only
             end = int(np.searchsorted(run, run[min(end, len(run) - 1)], side="left")) if run[end - 1] == run[end] and run[end] != run[at] else int(np.searchsorted(run, run[end - 1], side="right"))
         part = todo[at:end]
@@ -157,7 +161,7 @@ def partial_matches(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out_row or [none]), np.concatenate(out_window or [none])
 
 
-def _chunks(which: np.ndarray, window: np.ndarray, run: np.ndarray, most: int = 800_000):
+def _chunks(which: np.ndarray, window: np.ndarray, run: np.ndarray, most: int = 300_000):
     """All windows at once, or, for a K-gram with very many contexts, by their place: equal windows have the same one."""
     if len(which) <= most:
         yield np.arange(len(which))
@@ -261,8 +265,10 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                     if size >= GROUP:
                         yield from flush(group)
                         group, size = [], 0
+                        trim_memory()
         if group:
             yield from flush(group)
+        trim_memory()
 
     def flush(group):
         group.sort(key=lambda p: p[:3])
@@ -331,6 +337,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             part.clear()
             if len(rows):
                 yield from settle(rows, refs)
+            del rows, refs
+            trim_memory()
 
     def settle(rows, refs):
         doc = refs[:, 0]
@@ -388,23 +396,19 @@ FILTER_WORDS = 1 << 18  #: 64-bit words of the filter of affected documents: 2 M
 
 
 def affected_filter(found: DataFrame, words: int = FILTER_WORDS):
-    """A column test on (id, tag): false only for documents that lose nothing. A hashed bit set of fixed size, so a larger
-    corpus lets more pass than it must; what passes still meets its ranges in the join."""
+    """A function that adds __may to keyed documents: false only for those that lose nothing. A hashed bit set of fixed
+    size, so a larger corpus lets more pass than it must; what passes still meets its ranges in the join."""
+    bit = lambda spot: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
+    word = lambda spot: F.floor(spot / 64).cast("int")
     spot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(64 * words))
-    bits = found.select(spot.alias("spot")).groupBy((F.floor(F.col("spot") / 64)).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("spot", F.lit(64)).cast("int"))).alias("b"))
-    table = np.zeros(words, np.int64)
-    for w, b in bits.collect():  # at most words rows
-        table[w] = b
-    shared = found.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def passes(at):
-        import pandas as pd
+    bits = staged(found.select(spot.alias("spot")).groupBy(word(F.col("spot")).alias("__w")).agg(F.bit_or(bit(F.col("spot"))).alias("__b")), "affected")
 
-        x = at.to_numpy()
-        return pd.Series((shared.value[x >> 6] >> (x & 63)) & 1 == 1)
+    def mark(docs: DataFrame) -> DataFrame:
+        at = docs.withColumn("__spot", F.pmod(F.xxhash64("__key", "__th"), F.lit(64 * words)))
+        hit = at.join(F.broadcast(bits), word(F.col("__spot")) == F.col("__w"), "left")  # at most words rows
+        return hit.withColumn("__may", F.coalesce(F.col("__b").bitwiseAND(bit(F.col("__spot"))) != 0, F.lit(False))).drop("__spot", "__w", "__b")
 
-    return lambda key, tag: passes(F.pmod(F.xxhash64(key, tag), F.lit(64 * words)))
+    return mark
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
@@ -418,7 +422,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
 def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that may lose bytes, with their ranges or none; the rest). Only the texts of the first are shuffled."""
     keyed, found, may = _keyed(docs)
-    flagged = keyed.withColumn("__may", may(F.col("__key"), F.col("__th")))
+    flagged = may(keyed)
     some = flagged.filter("__may").join(found, (F.col("__key") == F.col("__doc")) & (F.col("__th") == F.col("__tag")), "left")
     return some, flagged.filter("NOT __may")
 
