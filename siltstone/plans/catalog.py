@@ -219,13 +219,13 @@ def stale_reclaim(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, count(*) AS functions, max(l_quantity)::BIGINT AS max_ccn, (sum(l_quantity::BIGINT) / count(*))::DOUBLE AS avg_ccn, CASE WHEN count(*) >= 2 THEN quantile_cont(l_quantity::DOUBLE, 0.5) END AS ccn_p50,
-CASE WHEN count(*) >= 2 THEN trunc(quantile_cont(l_quantity::DOUBLE, 0.9))::BIGINT END AS nloc_p90 FROM lineitem GROUP BY l_orderkey""")
+CASE WHEN count(*) >= 2 THEN trunc(round(quantile_cont(l_quantity::DOUBLE, 0.9), 6))::BIGINT END AS nloc_p90 FROM lineitem GROUP BY l_orderkey""")
 def function_complexity(spark, sf_dir):
     q = F.col("l_quantity").cast("double")
     two = lambda c: F.when(F.count("*") >= 2, c)
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("functions"), F.max("l_quantity").cast("bigint").alias("max_ccn"), (F.sum(F.col("l_quantity").cast("bigint")) / F.count("*")).alias("avg_ccn"),
-        two(F.percentile(q, F.lit(0.5))).alias("ccn_p50"), two(F.percentile(q, F.lit(0.9)).cast("bigint")).alias("nloc_p90"),
+        two(F.percentile(q, F.lit(0.5))).alias("ccn_p50"), two(F.round(F.percentile(q, F.lit(0.9)), 6).cast("bigint")).alias("nloc_p90"),
     )
 
 
