@@ -70,6 +70,16 @@ def each_row(batch, step: int = 128):
         yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
 
 
+CACHES: list = []  #: what operators keep between tasks in this Python worker
+
+
+def drop_caches() -> None:
+    """For an operator that needs the worker's memory: forget what others keep; they fill their caches again when they run."""
+    for cache in CACHES:
+        cache.clear()
+    trim_memory()
+
+
 def trim_memory() -> None:
     """Give freed arrays back to the system: reused Python workers share an executor's memory with its JVM."""
     import pyarrow as pa

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row, staged, with_rank
+from siltstone.llm.common import CACHES, each_row, staged, with_rank
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -40,6 +40,7 @@ class _Shapes(dict):
 
 
 _SHAPES = _Shapes()
+CACHES.append(_SHAPES)
 
 
 def buckets_of(text: str | None) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row, staged, tasks_for, trim_memory
+from siltstone.llm.common import drop_caches, each_row, staged, tasks_for, trim_memory
 
 SPAN, K = 50, 16
 REACH = SPAN - K  #: bytes of an anchor's windows before it
@@ -256,6 +256,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     splitters = spark.sparkContext.broadcast(sample_splitters(docs, n * SUB))
 
     def send(batches):
+        drop_caches()
         group, size = [], 0
         for b in batches:
             for doc, tag, text in each_row(b):

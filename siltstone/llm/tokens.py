@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from siltstone.llm.common import CACHES
+
 #: Characters on which str classes and the tokenizers' Unicode classes agree: no other numerals, separators or marks.
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -34,6 +36,7 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.memory: dict[str, bytes] = {}
+        CACHES.append(self.memory)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
