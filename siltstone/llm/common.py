@@ -73,10 +73,11 @@ def each_row(batch, step: int = 128):
 CACHES: list = []  #: what operators keep between tasks in this Python worker
 
 
-def drop_caches() -> None:
+def drop_caches(keep=None) -> None:
     """For an operator that needs the worker's memory: forget what others keep; they fill their caches again when they run."""
     for cache in CACHES:
-        cache.clear()
+        if cache is not keep:
+            cache.clear()
     trim_memory()
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHES, each_row, staged, with_rank
+from siltstone.llm.common import CACHES, drop_caches, each_row, staged, with_rank
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -43,6 +43,11 @@ _SHAPES = _Shapes()
 CACHES.append(_SHAPES)
 
 
+def _drop_others() -> None:
+    """At module level, so that it names the worker's own memory; a nested function would carry a copy of it."""
+    drop_caches(_SHAPES)
+
+
 def buckets_of(text: str | None) -> np.ndarray:
     """The hashed n-grams of the whole text, one entry for each occurrence."""
     tokens = TOKEN.findall(text or "")
@@ -65,6 +70,7 @@ def model_counts(docs: DataFrame, labels: DataFrame, sample_limit: int) -> tuple
     target = F.broadcast(known.filter("q = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_limit).select("doc_id", F.lit(True).alias("target")))
 
     def run(batches):
+        _drop_others()
         raw, aim = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for t, is_target in each_row(b):
@@ -104,6 +110,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
+        _drop_others()
         for b in batches:
             found = [(len(x), float(shared.value[x].sum())) for x in (buckets_of(t) for _, t in each_row(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], ["doc_id", "n_grams", "log_weight"])

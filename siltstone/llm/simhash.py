@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row, staged
+from siltstone.llm.common import drop_caches, each_row, staged
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SAMPLE = 20_000  #: fingerprints that shape the tree
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
 
     def run(batches):
+        drop_caches()
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for _, t in each_row(b)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(fp))], ["doc_id", "fp"])

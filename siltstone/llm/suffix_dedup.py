@@ -313,6 +313,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "body", "doc_id", "tag", "ranges"])
 
     def meet(batches):
+        drop_caches()
         held, at = [], None
         for b in batches:
             for bucket, body, doc, tag, ranges in each_row(b, 16):
