@@ -179,8 +179,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out = []
-            for doc_id, text in each_row(b):
-                ids = e.encode(text) + end
+            for doc_id, packed in zip(b.column(0).to_pylist(), e.encode_all(text for _, text in each_row(b))):
+                ids = packed + end
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     part = ids[4 * at : 4 * (at + capacity)]

@@ -51,8 +51,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         ids, lengths, name = [], [], f"{top}/_tmp-{shard:05d}-{uuid.uuid4().hex}"
         with store.open_output_stream(f"{name}.bin") as out:
             for b in batches:
-                for doc_id, text in each_row(b):
-                    got = np.frombuffer(e.encode(text) + end, dtype="<u4")
+                for doc_id, packed in zip(b.column(0).to_pylist(), e.encode_all(text for _, text in each_row(b))):
+                    got = np.frombuffer(packed + end, dtype="<u4")
                     out.write(got.astype(kind).tobytes())
                     ids.append(NO_ID if doc_id is None else doc_id)
                     lengths.append(len(got))

@@ -19,6 +19,8 @@ _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 MEMORY = 1_200_000  #: pre-tokens kept per worker
+RUN = 500  #: new pre-tokens encoded as one text
+TOGETHER = 1 << 18  #: characters at which a group of texts that are looked up together ends
 
 
 class Encoder:
@@ -35,6 +37,8 @@ class Encoder:
         self.pattern = _WORD if self.lower else _BYTE
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        #: Ids that end a word, or, where spaces are kept, that start with one (which the vocabulary writes as U+0120).
+        self.marks = {i for t, i in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.lower else t.startswith("\u0120"))}
         self.memory: dict[str, bytes] = {}
         CACHES.append(self.memory)
 
@@ -46,21 +50,62 @@ class Encoder:
 
     def pieces(self, text: str) -> list[bytes]:
         """Packed ids of each pre-token of a plain text."""
-        found = self.pattern.findall(text.lower() if self.lower else text)
+        return self._look_up([text])[0]
+
+    def _look_up(self, texts: list[str]) -> list[list[bytes]]:
+        found = [self.pattern.findall(t.lower() if self.lower else t) for t in texts]
         memory = self.memory
-        out = list(map(memory.get, found))
-        if None in out:
-            new = list({w for w, ids in zip(found, out) if ids is None})
+        out = [list(map(memory.get, words)) for words in found]
+        gaps = [k for k, ids in enumerate(out) if None in ids]
+        if gaps:
+            new = list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None})
             if len(memory) + len(new) > MEMORY:
                 memory.clear()
-                new = list(set(found))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    memory[w] = array("I", e.ids).tobytes()
-            out = list(map(memory.get, found))
+                new, gaps = list({w for words in found for w in words}), range(len(found))
+            self._learn(new)
+            for k in gaps:
+                out[k] = list(map(memory.get, found[k]))
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new pre-tokens. Where a space parts pre-tokens for certain, many are encoded as one text, and its ids are
+        cut at those that the vocabulary marks as the end (or the start) of a word."""
+        runs = words if self.lower else [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        alone = [] if self.lower else [w for w in words if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
+        parts = [runs[at : at + RUN] for at in range(0, len(runs), RUN)]
+        for at in range(0, len(parts), 8):
+            group = parts[at : at + 8]
+            texts = [(" " if self.lower else "").join(part) for part in group]
+            for part, e in zip(group, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = array("I", e.ids)
+                marked = [k for k, i in enumerate(ids) if i in self.marks]
+                if len(marked) != len(part):
+                    alone += part
+                    continue
+                cuts = [0, *(k + 1 for k in marked)] if self.lower else [*marked, len(ids)]
+                raw = ids.tobytes()
+                self.memory.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memory[w] = array("I", e.ids).tobytes()
+
+    def encode_all(self, texts):
+        """Packed ids of each text, in order; short texts are looked up together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, group: list[str]):
+        plain = [self.plain(t) for t in group]
+        known = iter(self._look_up([t for t, p in zip(group, plain) if p]))
+        return [b"".join(next(known)) if p else self.whole(t) for t, p in zip(group, plain)]
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on planted rows and on the small tables."""
 
+import random
 from array import array
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -13,7 +14,7 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from siltstone.llm import chunked_bpe, exact_dedup, importance, license_scan, packing, quality_rules, simhash, suffix_dedup, token_files, toxicity  # noqa: E402
+from siltstone.llm import chunked_bpe, exact_dedup, importance, license_scan, packing, quality_rules, simhash, suffix_dedup, token_files, tokens, toxicity  # noqa: E402
 from siltstone.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -341,3 +342,15 @@ def test_pipeline(spark):
         n = docs.count()
     by_doc, _ = pieces_fit(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect())
     assert set(by_doc) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_grouped_encoding_equals_the_library(name):
+    e = tokens.Encoder(tokens.file_of(name))
+    rng = random.Random(5)
+    parts = ["'", "'s", "don't", " ", "  ", "\n", "\t\n ", "\x1c", "\u00a0", "a", "Word", " word", "_", "__", "12", "!", "?!'", "</w>", "<|endoftext|>", "\u0301", "\u00e9", "\u4e2d\u6587", "\u0130", "\u0149", "\u0120", "\U0001f600"]
+    texts = [None, "", *parts, *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000)), " ".join(f"w{i}x" for i in range(30_000))]
+    want = [e.whole(t or "") for t in texts]
+    assert list(e.encode_all(texts)) == want
+    assert list(e.encode_all(texts)) == want  # from memory
+    assert list(e.encode_all([])) == []
