@@ -19,6 +19,7 @@ _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 MEMORY = 1_200_000  #: pre-tokens kept per worker
+FEW = 50  #: new pre-tokens below which each is encoded on its own
 RUN = 500  #: new pre-tokens encoded as one text
 TOGETHER = 1 << 18  #: characters at which a group of texts that are looked up together ends
 
@@ -50,7 +51,20 @@ class Encoder:
 
     def pieces(self, text: str) -> list[bytes]:
         """Packed ids of each pre-token of a plain text."""
-        return self._look_up([text])[0]
+        found = self.pattern.findall(text.lower() if self.lower else text)
+        out = list(map(self.memory.get, found))
+        if None in out:
+            new = list({w for w, ids in zip(found, out) if ids is None})
+            self._learn(new if self._has_room(len(new)) else list(set(found)))
+            out = list(map(self.memory.get, found))
+        return out
+
+    def _has_room(self, n: int) -> bool:
+        """Whether n more pre-tokens fit; if not, all are forgotten."""
+        if len(self.memory) + n <= MEMORY:
+            return True
+        self.memory.clear()
+        return False
 
     def _look_up(self, texts: list[str]) -> list[list[bytes]]:
         found = [self.pattern.findall(t.lower() if self.lower else t) for t in texts]
@@ -59,8 +73,7 @@ class Encoder:
         gaps = [k for k, ids in enumerate(out) if None in ids]
         if gaps:
             new = list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None})
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
+            if not self._has_room(len(new)):
                 new, gaps = list({w for words in found for w in words}), range(len(found))
             self._learn(new)
             for k in gaps:
@@ -70,6 +83,9 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Ids of new pre-tokens. Where a space parts pre-tokens for certain, many are encoded as one text, and its ids are
         cut at those that the vocabulary marks as the end (or the start) of a word."""
+        if len(words) < FEW:
+            self.memory.update((w, array("I", e.ids).tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)))
+            return
         runs = words if self.lower else [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace()]
         alone = [] if self.lower else [w for w in words if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
         parts = [runs[at : at + RUN] for at in range(0, len(runs), RUN)]
