@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import exact_dedup, importance, packing, simhash, suffix_dedup
+from siltstone.llm import exact_dedup, importance, packing, shingle_dedup, suffix_dedup
 from siltstone.llm.common import documents, staged
 
 
@@ -23,8 +23,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.representatives(docs)
+    """One document of each group stays that pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more link."""
+    return shingle_dedup.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

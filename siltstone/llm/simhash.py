@@ -210,9 +210,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of = staged(member.join(named, "root").select("fp", "component_id"), "fingerprint-components")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: the smallest id of each component (a repeated id stays with all its rows; null ids stay)."""
-    kept = near_duplicates(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")

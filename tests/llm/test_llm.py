@@ -14,7 +14,7 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from siltstone.llm import chunked_bpe, exact_dedup, importance, license_scan, packing, quality_rules, simhash, suffix_dedup, token_files, tokens, toxicity  # noqa: E402
+from siltstone.llm import chunked_bpe, exact_dedup, importance, license_scan, packing, quality_rules, shingle_dedup, simhash, suffix_dedup, token_files, tokens, toxicity  # noqa: E402
 from siltstone.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -354,3 +354,44 @@ def test_grouped_encoding_equals_the_library(name):
     assert list(e.encode_all(texts)) == want
     assert list(e.encode_all(texts)) == want  # from memory
     assert list(e.encode_all([])) == []
+
+
+def brute_similar(rows):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {b""})
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                root[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[top(i)] = min(d, least.get(top(i), d))
+    return Counter((d, least.get(top(i))) for i, (d, _) in enumerate(rows))
+
+
+def test_pipeline_near_duplicates_by_brute_force(spark, odd, small):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(30):  # chains of edited copies, so that groups reach past one similarity to their first member
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 200))]
+        for _ in range(8):
+            rows.append((1000 + len(rows), " ".join(words)))
+            words[rng.randrange(len(words))] = f"n{len(rows)}"
+    edited = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for docs in (odd, small, edited):
+        want = brute_similar(texts_of(docs))
+        assert rows_of(shingle_dedup.near_duplicates(docs), "doc_id", "component_id") == want
+        stay = Counter({(d,): n for (d, c), n in want.items() if d is None or d == c})
+        assert rows_of(corpus_pipeline.near_duplicates(spark, docs, SF), "doc_id") == stay
