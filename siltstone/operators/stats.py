@@ -49,13 +49,16 @@ def mann_whitney(long: DataFrame, first: str = "clean", second: str = "profane",
     return out.withColumn("significant", F.col("p") < F.lit(alpha) / m).drop("r1", "ties")
 
 
-def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profane", resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(metric, low, high): the 2.5 and 97.5 % quantiles of r_rb over resamples. A metric of a cohort study is one group."""
+def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profane", resamples: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
+    """(metric, low, high): the 2.5 and 97.5 % quantiles of r_rb over resamples; null where a side has fewer than least values.
+
+    A metric of a cohort study is one group.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["cohort", "x"])
         a, b = (pdf.x[pdf.cohort == c].to_numpy() for c in (first, second))
-        if not len(a) or not len(b):
+        if min(len(a), len(b)) < max(1, least):
             return pd.DataFrame({"metric": [pdf.metric.iloc[0]], "low": [np.nan], "high": [np.nan]})
         rng, out = np.random.default_rng(seed), []
         for _ in range(resamples):
@@ -69,16 +72,18 @@ def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profa
     return long.filter(F.col("cohort").isin(first, second)).groupBy("metric").applyInPandas(one, "metric string, low double, high double")
 
 
-def bootstrap_median(long: DataFrame, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """(metric, cohort, median, low, high)."""
+def bootstrap_median(long: DataFrame, resamples: int = 2000, seed: int = 42, least: int = 5, by: tuple[str, ...] = ("metric", "cohort")) -> DataFrame:
+    """(by, median, low, high); all three null where a group has fewer than least values."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.sort(pdf.x.to_numpy())
-        rng = np.random.default_rng(seed)
+        rng, names = np.random.default_rng(seed), {c: [pdf[c].iloc[0]] for c in by}
+        if len(x) < least:
+            return pd.DataFrame(names | {"median": [np.nan], "low": [np.nan], "high": [np.nan]})
         got = [np.median(rng.choice(x, len(x))) for _ in range(resamples)]
-        return pd.DataFrame({"metric": [pdf.metric.iloc[0]], "cohort": [pdf.cohort.iloc[0]], "median": [float(np.median(x))], "low": [np.quantile(got, 0.025)], "high": [np.quantile(got, 0.975)]})
+        return pd.DataFrame(names | {"median": [float(np.median(x))], "low": [np.quantile(got, 0.025)], "high": [np.quantile(got, 0.975)]})
 
-    return long.groupBy("metric", "cohort").applyInPandas(one, "metric string, cohort string, median double, low double, high double")
+    return long.groupBy(*by).applyInPandas(one, ", ".join(f"{c} string" for c in by) + ", median double, low double, high double")
 
 
 def ecdf(rows: DataFrame, group: str, x: str) -> DataFrame:

@@ -275,10 +275,10 @@ def log_histogram(spark, sf_dir):
 METRICS = ["n_chars", "n_lines", "n_caps"]
 
 
-def metric_frame(spark, sf_dir):
+def metric_frame(spark, sf_dir, *more):
     rows = cohorts(spark, sf_dir).filter("cohort IS NOT NULL")
     rows = rows.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).withColumn("n_caps", F.regexp_count("text", F.lit("[A-Z]")))
-    return stats.unpivot(rows, ["doc_id", "cohort"], METRICS)
+    return stats.unpivot(rows, ["doc_id", "cohort", *more], METRICS)
 
 
 @query(f"""WITH d AS (SELECT *, length(text) - length(replace(text, chr(10), '')) AS n_lines, len(regexp_extract_all(text, '[A-Z]')) AS n_caps FROM ({COHORT_SQL}) WHERE cohort IS NOT NULL),
@@ -299,12 +299,14 @@ def mwu_significance(spark, sf_dir):
 @query()
 def forest_rows(spark, sf_dir):
     long = metric_frame(spark, sf_dir)
-    return stats.mann_whitney(long).join(stats.bootstrap_effect(long, resamples=200), "metric").select("metric", "r_rb", "low", "high")
+    return stats.mann_whitney(long).join(stats.bootstrap_effect(long), "metric").select("metric", "r_rb", "low", "high")
 
 
 @query()
 def median_panel(spark, sf_dir):
-    return stats.bootstrap_median(metric_frame(spark, sf_dir).drop("doc_id"), resamples=200)
+    long = metric_frame(spark, sf_dir, "lang")
+    subset = F.filter(F.array(F.lit("pooled"), "lang"), lambda x: x.isNotNull())
+    return stats.bootstrap_median(long.select(F.explode(subset).alias("subset"), "metric", "cohort", "x"), by=("subset", "metric", "cohort"))
 
 
 REASON_SQL = "CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'git: exit ' || o_custkey WHEN o_orderstatus = 'F' THEN 'timeout' WHEN o_orderstatus = 'P' THEN 'skip: archived' END"

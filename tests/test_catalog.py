@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from siltstone.plans import catalog
@@ -35,3 +36,24 @@ def test_query(spark, con, name):
         assert got == Counter(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
     else:
         assert got
+
+
+def test_bootstrap_queries_do_all_resamples_and_subsets(spark):
+    long = catalog.metric_frame(spark, SF, "lang").toPandas()
+    panel = {(r["subset"], r["metric"], r["cohort"]): tuple(math.nan if r[c] is None else r[c] for c in ("median", "low", "high")) for r in catalog.median_panel(spark, SF).collect()}
+    want = {}
+    for subset in ["pooled", *long.lang.dropna().unique()]:
+        for (metric, cohort), g in long[(long.lang == subset) | (subset == "pooled")].groupby(["metric", "cohort"]):
+            x, rng = np.sort(g.x.to_numpy()), np.random.default_rng(42)
+            got = [np.median(rng.choice(x, len(x))) for _ in range(2000)]
+            want[subset, metric, cohort] = (np.median(x), *np.quantile(got, [0.025, 0.975])) if len(x) >= 5 else (math.nan,) * 3
+    assert len({k[0] for k in want}) > 2 and set(panel) == set(want)
+    assert all(np.allclose(panel[k], want[k], equal_nan=True) for k in want)
+    for r in catalog.forest_rows(spark, SF).collect():
+        g = long[long.metric == r["metric"]].sort_values(["cohort", "x"])
+        a, b = (g.x[g.cohort == c].to_numpy() for c in ("clean", "profane"))
+        rng, out = np.random.default_rng(42), []
+        for _ in range(1000):
+            x, y = rng.choice(a, len(a)), rng.choice(b, len(b))
+            out.append(1 - 2 * ((x[:, None] > y).sum() + 0.5 * (x[:, None] == y).sum()) / (len(a) * len(b)))
+        assert np.allclose((r["low"], r["high"]), np.quantile(out, [0.025, 0.975]))
