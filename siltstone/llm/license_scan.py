@@ -1,7 +1,9 @@
 """Licence scan: base phrases, and an exact set-similarity join of text blocks with licence templates.
 
 DataFrame functions only. A block is a line of the text; it matches a template when it holds at least `threshold` of the
-template's distinct words. Tokens are put in global order, rarest first, by their counts over the blocks of all
+template's distinct words. A notice wrapped over lines is found by windows of as many consecutive words as the template
+has, looked at only in texts that hold enough of its words in all; a window is a block of its own when it holds more of
+them than every line it touches. Tokens are put in global order, rarest first, by their counts over the blocks of all
 documents. A block that reaches the threshold must share one of the first |T| - need + 1 tokens of the template (prefix
 filter), have at least need distinct words (length filter), and its first shared token must leave enough of the
 template behind it (positional filter); what passes is verified exactly.
@@ -44,7 +46,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score is the best containment of a matching block, 1 with a base phrase, else 0; blocks lists (block, label, containment)
-    of every match. Null and empty texts have no words and no labels; null or repeated ids and equal rows are each
+    of every match; a wrapped notice has the number of its first line, and the best windows that do not overlap are given. Null and empty texts have no words and no labels; null or repeated ids and equal rows are each
     answered by themselves (rows are told apart by a key given when they are staged); other columns are ignored; an
     empty table gives no rows. Blocks of one document never meet in one task except as that document's own matches.
     """
@@ -52,6 +54,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     sets = {label: t for label, t in sets.items() if t}
     vocab = F.array(*[F.lit(w) for w in sorted({w for t in sets.values() for w in t})]).cast("array<string>")
     need = {label: max(1, math.ceil(threshold * len(t) - 1e-9)) for label, t in sets.items()}
+    width = {label: len(words_of(templates[label])) for label in sets}
 
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
     rows = docs.select(F.col(id_col).alias("doc_id"), plain.alias("__plain"))
@@ -77,10 +80,16 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
         return F.struct(i.cast("bigint").alias("block"), F.size(w).alias("n"), F.array_intersect(w, vocab).alias("toks"))
 
     blocks = F.filter(F.transform(F.split("__plain", "\n"), block), lambda b: F.size(b["toks"]) > 0)
+    held = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["toks"])))
+    near = reduce(lambda a, b: a | b, [F.size(F.array_intersect(held, F.array(*map(F.lit, t)))) >= need[label] for label, t in sets.items()], F.lit(False))
+    # (line, word) of all words, then the place of those that templates have; only for texts that may hold a template.
+    words = F.flatten(F.transform(F.split("__plain", "\n"), lambda x, i: F.transform(F.filter(F.split(x, " +"), lambda w: w != ""), lambda w: F.struct(i.cast("bigint").alias("line"), w.alias("tok")))))
+    numbered = F.transform(words, lambda x, i: F.struct(i.alias("pos"), x["line"].alias("line"), x["tok"].alias("tok")))
+    places_of = F.when(near & F.contains("__plain", F.lit("\n")), F.filter(numbered, lambda x: F.array_contains(vocab, x["tok"])))
     kept = staged(
         rows.select(
             F.monotonically_increasing_id().alias("__rid"), "doc_id", n_words.alias("n_words"), F.size(every).cast("bigint").alias("n_base"),
-            F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"), base.alias("__base"), blocks.alias("__blocks"),
+            F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"), base.alias("__base"), blocks.alias("__blocks"), places_of.alias("__places"),
         ),
         "license-rows",
     )
@@ -95,7 +104,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     hits = hits.filter((F.col("n") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))
     shared = F.size(F.array_intersect("toks", "words"))
     hits = hits.filter(shared >= F.col("need")).select("__rid", F.struct("block", "label", (shared / F.col("size")).alias("containment")).alias("m"))
-    per_doc = hits.groupBy("__rid").agg(F.array_sort(F.collect_set("m")).alias("blocks"))
+    per_doc = hits.unionByName(wrapped(kept, sets, need, width)).groupBy("__rid").agg(F.array_sort(F.collect_set("m")).alias("blocks"))
     out = kept.join(per_doc, "__rid", "left")
     found_labels = F.coalesce(F.col("blocks.label"), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
@@ -106,6 +115,30 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     )
 
 
+def wrapped(kept: DataFrame, sets: dict[str, list[str]], need: dict[str, int], width: dict[str, int]) -> DataFrame:
+    """(__rid, m) of windows over line breaks that hold more of a template than each line they touch."""
+    given = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, t)).alias("words"), F.lit(need[label]).alias("need"), F.lit(width[label]).alias("width")) for label, t in sets.items()])
+    if not sets:
+        return kept.sparkSession.createDataFrame([], "__rid bigint, m struct<block: bigint, label: string, containment: double>")
+    each = kept.filter("__places IS NOT NULL").select("__rid", "__blocks", "__places", F.explode(given).alias("t")).select("__rid", "__blocks", "t.*", F.filter("__places", lambda x: F.array_contains(F.col("t.words"), x["tok"])).alias("at"))
+    each = each.filter(F.size(F.array_distinct("at.tok")) >= F.col("need"))
+
+    def window(x, i):
+        inside = F.filter(F.slice("at", i + 1, F.col("width")), lambda y: y["pos"] < x["pos"] + F.col("width"))
+        return F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.array_max(F.transform(inside, lambda y: y["line"])).alias("last"), F.size(F.array_distinct(F.transform(inside, lambda y: y["tok"]))).alias("n"))
+
+    # The rows of a text stay as arrays up to here; the filter is over a generated column, so windows are counted once.
+    found = each.select("__rid", "__blocks", "label", "words", "need", "width", F.explode(F.transform("at", window)).alias("w")).filter("w.n >= need AND w.last > w.line")
+    lines = F.filter("__blocks", lambda b: (b["block"] >= F.col("w.line")) & (b["block"] <= F.col("w.last")))
+    best = F.coalesce(F.array_max(F.transform(lines, lambda b: F.size(F.array_intersect(b["toks"], F.col("words"))))), F.lit(0))
+    found = found.filter(F.col("w.n") > best)
+    order = F.struct((-F.col("w.n")).alias("less"), F.col("w.pos").alias("pos"), F.col("w.line").alias("line"))
+    by_text = found.groupBy("__rid", "label").agg(F.array_sort(F.collect_list(order)).alias("all"), F.first("width").alias("width"), F.first(F.size("words")).alias("size"))
+    apart = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: F.abs(y["pos"] - x["pos"]) < F.col("width")), acc).otherwise(F.concat(acc, F.array(x))))
+    one = by_text.select("__rid", "label", "size", F.explode(apart).alias("w"))
+    return one.select("__rid", F.struct(F.col("w.line").alias("block"), "label", (-F.col("w.less") / F.col("size")).alias("containment")).alias("m"))
+
+
 def oracle_sql(threshold: float = 0.8) -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     rows = ", ".join(f"('{label}', {quoted(dict.fromkeys(words_of(t)))})" for label, t in TEMPLATES.items())

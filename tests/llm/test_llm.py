@@ -395,3 +395,40 @@ def test_pipeline_near_duplicates_by_brute_force(spark, odd, small):
         assert rows_of(shingle_dedup.near_duplicates(docs), "doc_id", "component_id") == want
         stay = Counter({(d,): n for (d, c), n in want.items() if d is None or d == c})
         assert rows_of(corpus_pipeline.near_duplicates(spark, docs, SF), "doc_id") == stay
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    rng = random.Random(11)
+    wrapped = {}
+    for k, (label, t) in enumerate(license_scan.TEMPLATES.items()):
+        w = t.split()
+        cut = len(w) // 2
+        wrapped[k] = (label, 1, "intro line\n" + " ".join(w[:cut]) + "\n" + " ".join(w[cut:]) + "\nnext line")
+        thirds = [w[: len(w) // 3], w[len(w) // 3 : 2 * len(w) // 3], w[2 * len(w) // 3 :]]
+        wrapped[100 + k] = (label, 0, "\n".join(" * " + " ".join(x) for x in thirds))
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in wrapped.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    for i, (label, line, _) in wrapped.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+        assert (line, label, 1.0) in {(m["block"], m["label"], m["containment"]) for m in got[i]["blocks"]}
+
+    vocab = sorted({w for t in license_scan.TEMPLATES.values() for w in license_scan.words_of(t)})
+    rows = []
+    for i in range(150):  # pieces of templates with words left out, broken anywhere
+        words = []
+        for t in rng.choices(list(license_scan.TEMPLATES.values()), k=3):
+            words += [w for w in license_scan.words_of(t) if rng.random() > 0.1] + rng.choices([*vocab, "x", "y", "z"], k=rng.randint(0, 4))
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words)))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        every, want = license_scan.words_of(text), {}
+        for label, t in license_scan.TEMPLATES.items():
+            t, width = set(license_scan.words_of(t)), len(license_scan.words_of(t))
+            parts = [license_scan.words_of(x) for x in text.split("\n")] + [every[k : k + width] for k in range(len(every))]
+            best = max(len(t & set(x)) for x in parts)
+            if best >= 0.8 * len(t) - 1e-9:
+                want[label] = best / len(t)
+        best = defaultdict(float)
+        for m in got[i]["blocks"] or []:
+            best[m["label"]] = max(best[m["label"]], m["containment"])
+        assert best == want
