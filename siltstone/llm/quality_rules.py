@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row
+from siltstone.llm.common import each_row, staged
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_cased")
@@ -66,7 +66,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """One row per row of docs: doc_id, the measurements, and fail_bits (bit i: rule i of RULES fails).
 
     A null text has no words; it fails only too_few_words. Null or repeated ids and rows are carried as they are, other
-    columns are ignored, an empty table gives an empty ledger. No shuffle; a text is held alone, whatever its length.
+    columns are ignored, an empty table gives an empty ledger. Written once below spark.checkpoint.dir and read from there. No shuffle; a text is held alone, whatever its length.
     """
 
     def run(batches):
@@ -76,7 +76,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LEDGER_SCHEMA)
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0)).cast("bigint")
-    return rows.withColumn("fail_bits", bits)
+    return staged(rows.withColumn("fail_bits", bits), "quality-ledger")
 
 
 def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:

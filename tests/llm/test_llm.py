@@ -432,3 +432,11 @@ def test_license_notices_wrapped_over_lines(spark):
         for m in got[i]["blocks"] or []:
             best[m["label"]] = max(best[m["label"]], m["containment"])
         assert best == want
+
+
+def test_quality_ledger_reads_the_texts_once(spark, small, tmp_path):
+    small.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = quality_rules.ledger(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    (tmp_path / "documents.parquet").rename(tmp_path / "gone")
+    assert quality_rules.apply_policy(rows, "v1").count() == small.count()
+    assert quality_rules.ablations(rows, "v2").count() == len(quality_rules.RULES)
