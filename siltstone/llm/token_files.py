@@ -1,10 +1,10 @@
 """Flat token files: unsigned integers, and 64-bit document offsets beside them, for memory mapping.
 
-Documents are range-partitioned and sorted by id; each partition becomes a shard of three files: NNNNN.bin, the ids of its
-documents one after another; NNNNN.idx, little-endian 64-bit offsets in ids, one more than documents; and NNNNN.doc, their
-ids. A manifest (Parquet) holds each shard's counts; its prefix sums are the shards' bases. Ids take 16 bits where the
-vocabulary allows, else 32. A shard is written under a name of its attempt and renamed when whole, so a repeated or
-speculative task leaves the same files.
+Texts are encoded where they lie; only packed ids, 16 bits wide where the vocabulary allows, else 32, are range-partitioned
+and sorted by document id. Each partition becomes a shard of three files: NNNNN.bin, the ids of its documents one after
+another; NNNNN.idx, little-endian 64-bit offsets in ids, one more than documents; and NNNNN.doc, their ids. A manifest
+(Parquet) holds each shard's counts; its prefix sums are the shards' bases. A shard is written under a name of its attempt
+and renamed when whole, so a repeated or speculative task leaves the same files.
 """
 
 from __future__ import annotations
@@ -30,37 +30,53 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, shard_bytes: int = 32 << 20) -> DataFrame:
-    """Encode docs into shards under path; returns the manifest: shard, n_docs, n_tokens, base (ids in earlier shards), doc_base, dtype."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, ids, n): each document's packed ids, the end id included, staged so that ranges are cut without encoding again."""
+
+    def run(batches):
+        e = encoder(tokenizer)
+        kind, end = kind_of(e.tokenizer.get_vocab_size(), end_id), np.array([end_id], dtype="<u4").tobytes()
+        for b in batches:
+            ids, packed = b.column(0), [np.frombuffer(x + end, dtype="<u4").astype(kind).tobytes() for x in e.encode_all(text for _, text in each_row(b))]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), pa.array([len(x) // kind.itemsize for x in packed], pa.int64())], ["doc_id", "ids", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return staged(rows.mapInArrow(run, "doc_id bigint, ids binary, n bigint"), "token-ids")
+
+
+def kind_of(vocabulary: int, end_id: int) -> np.dtype:
+    return np.dtype("<u2") if vocabulary <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Encode docs into shards of about shard_bytes under path; returns the manifest: shard, n_docs, n_tokens, base (ids in
+    earlier shards), doc_base, dtype."""
     spark = docs.sparkSession
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = tasks_for(spark, total, shard_bytes)
-    tie = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(*tie)
+    rows = encoded(docs, tokenizer, end_id)
+    total = rows.select(F.sum("n")).first()[0] or 0
+    kind = kind_of(encoder(tokenizer).tokenizer.get_vocab_size(), end_id)
+    n = tasks_for(spark, total * kind.itemsize, shard_bytes)
+    tie = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    ordered = rows.select("doc_id", "ids").repartitionByRange(n, *tie).sortWithinPartitions(*tie, "ids")
 
     def run(batches):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         store, top = _store(path)
-        e = encoder(tokenizer)
-        kind = np.dtype("<u2") if e.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
-        end = np.array([end_id], dtype="<u4").tobytes()
         ids, lengths, name = [], [], f"{top}/_tmp-{shard:05d}-{uuid.uuid4().hex}"
         with store.open_output_stream(f"{name}.bin") as out:
             for b in batches:
-                for doc_id, packed in zip(b.column(0).to_pylist(), e.encode_all(text for _, text in each_row(b))):
-                    got = np.frombuffer(packed + end, dtype="<u4")
-                    out.write(got.astype(kind).tobytes())
+                for doc_id, packed in each_row(b):
+                    out.write(packed)
                     ids.append(NO_ID if doc_id is None else doc_id)
-                    lengths.append(len(got))
+                    lengths.append(len(packed) // kind.itemsize)
         if not ids:
             store.delete_file(f"{name}.bin")
             return
-        for kind_of, values in (("idx", np.concatenate([[0], np.cumsum(lengths)])), ("doc", np.array(ids))):
-            with store.open_output_stream(f"{name}.{kind_of}") as out:
+        for end_of, values in (("idx", np.concatenate([[0], np.cumsum(lengths)])), ("doc", np.array(ids))):
+            with store.open_output_stream(f"{name}.{end_of}") as out:
                 out.write(values.astype("<i8").tobytes())
         for end_of in ("bin", "idx", "doc"):
             store.move(f"{name}.{end_of}", f"{top}/{shard:05d}.{end_of}")
@@ -109,7 +125,7 @@ def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFram
     """Write docs as token files and read them back.
 
     A null or empty text is its end id alone. Documents lie in ascending id, nulls first, repeated ids in the order of a
-    hash of their texts; equal rows are written as often as they come. An empty table gives no shards and no rows. Other
+    hash of their ids; equal rows are written as often as they come. A very long text is one row and lies in one shard. An empty table gives no shards and no rows. Other
     columns are ignored. One id that many rows share is spread by the hash unless the texts are equal too.
     """
     path = path or fresh_path(docs.sparkSession, "token-files")

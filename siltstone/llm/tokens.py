@@ -1,9 +1,10 @@
 """Exact, fast encoding with the tokenizers library.
 
-A text whose characters all lie in a set where Python's classes agree with the tokenizer's is cut into pre-tokens by a
-compiled pattern, and a bounded memory maps pre-tokens to ids; the library encodes a pre-token when it is first seen.
-Merges never cross pre-tokens, so the ids equal the library's for the whole text. Any other text, and any that contains a
-special token's string, goes to the library whole.
+A text whose characters all lie in a set where Python's classes agree with the tokenizer's is cut at white space, where
+pre-tokens end whatever stands around, and a bounded memory maps its words to ids; a word that is new is encoded by the
+library, many of them as one text. Where spaces are kept and a space stands beside other white space, the text is cut into
+pre-tokens by a compiled pattern instead, with a memory of its own. Merges never cross pre-tokens, so the ids equal the
+library's for the whole text. Any other text, and any that contains a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,16 +13,21 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 from siltstone.llm.common import CACHES
 
 #: Characters on which str classes and the tokenizers' Unicode classes agree: no other numerals, separators or marks.
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MEMORY = 1_200_000  #: pre-tokens kept per worker
-FEW = 50  #: new pre-tokens below which each is encoded on its own
-RUN = 500  #: new pre-tokens encoded as one text
+MEMORY = 1_200_000  #: words and pre-tokens kept per worker
+LONG = 64  #: characters beyond which a word is not kept
+FEW = 50  #: new words below which each is encoded on its own
+RUN = 500  #: new words encoded as one text
 TOGETHER = 1 << 18  #: characters at which a group of texts that are looked up together ends
+#: Where one of these stands, a space may belong to a run of white space.
+_RUNS = ("  ", "\n ", " \n", "\t", "\x0b", "\x0c", "\r", "\x85", "\xa0")
 
 
 class Encoder:
@@ -39,9 +45,12 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         #: Ids that end a word, or, where spaces are kept, that start with one (which the vocabulary writes as U+0120).
-        self.marks = {i for t, i in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.lower else t.startswith("\u0120"))}
-        self.memory: dict[str, bytes] = {}
-        CACHES.append(self.memory)
+        vocab = self.tokenizer.get_vocab()
+        self.marks = np.zeros(max(vocab.values()) + 1, bool)
+        self.marks[[i for t, i in vocab.items() if (t.endswith("</w>") if self.lower else t.startswith("\u0120"))]] = True
+        self.memory: dict[str, bytes] = {}  #: pre-token -> ids
+        self.words: dict[str, bytes] = {}  #: word -> ids; where spaces are kept, of the word after a space
+        CACHES.extend((self.memory, self.words))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -51,60 +60,55 @@ class Encoder:
 
     def pieces(self, text: str) -> list[bytes]:
         """Packed ids of each pre-token of a plain text."""
-        found = self.pattern.findall(text.lower() if self.lower else text)
-        out = list(map(self.memory.get, found))
-        if None in out:
-            new = list({w for w, ids in zip(found, out) if ids is None})
-            self._learn(new if self._has_room(len(new)) else list(set(found)))
-            out = list(map(self.memory.get, found))
-        return out
+        return self._look_up([self.pattern.findall(text.lower() if self.lower else text)], self.memory, self._pre_tokens)[0]
 
-    def _has_room(self, n: int) -> bool:
-        """Whether n more pre-tokens fit; if not, all are forgotten."""
-        if len(self.memory) + n <= MEMORY:
-            return True
-        self.memory.clear()
-        return False
-
-    def _look_up(self, texts: list[str]) -> list[list[bytes]]:
-        found = [self.pattern.findall(t.lower() if self.lower else t) for t in texts]
-        memory = self.memory
+    def _look_up(self, found: list[list[str]], memory: dict[str, bytes], learn) -> list[list[bytes]]:
+        """The ids of each word of each list; learn(words) gives those of words that memory lacks, which keeps the short ones."""
         out = [list(map(memory.get, words)) for words in found]
         gaps = [k for k, ids in enumerate(out) if None in ids]
         if gaps:
-            new = list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None})
-            if not self._has_room(len(new)):
-                new, gaps = list({w for words in found for w in words}), range(len(found))
-            self._learn(new)
+            fresh = learn(list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None}))
             for k in gaps:
-                out[k] = list(map(memory.get, found[k]))
+                out[k] = [fresh[w] if ids is None else ids for w, ids in zip(found[k], out[k])]
+            if len(memory) + len(fresh) > MEMORY:
+                memory.clear()
+            memory.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
+        return out
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pre_tokens(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            out.update(zip(part, self._one_by_one(part)))
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new pre-tokens. Where a space parts pre-tokens for certain, many are encoded as one text, and its ids are
-        cut at those that the vocabulary marks as the end (or the start) of a word."""
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Many are encoded as one text, with spaces between, and its ids are cut at those that the
+        vocabulary marks as the end (or the start) of a word; a word that holds several pre-tokens has as many ends."""
+        before = "" if self.lower else " "
         if len(words) < FEW:
-            self.memory.update((w, array("I", e.ids).tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)))
-            return
-        runs = words if self.lower else [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace()]
-        alone = [] if self.lower else [w for w in words if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
-        parts = [runs[at : at + RUN] for at in range(0, len(runs), RUN)]
+            return dict(zip(words, self._one_by_one([before + w for w in words])))
+        out: dict[str, bytes] = {}
+        parts, alone = [words[at : at + RUN] for at in range(0, len(words), RUN)], []
         for at in range(0, len(parts), 8):
             group = parts[at : at + 8]
-            texts = [(" " if self.lower else "").join(part) for part in group]
-            for part, e in zip(group, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = array("I", e.ids)
-                marked = [k for k, i in enumerate(ids) if i in self.marks]
-                if len(marked) != len(part):
+            for part, e in zip(group, self.tokenizer.encode_batch_fast([before + " ".join(part) for part in group], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=np.uint32)
+                marked = np.flatnonzero(self.marks[ids])
+                ends = np.cumsum([len(self.pattern.findall(w)) for w in part]) if self.lower else np.arange(1, len(part) + 1)
+                if len(marked) != ends[-1]:
                     alone += part
                     continue
-                cuts = [0, *(k + 1 for k in marked)] if self.lower else [*marked, len(ids)]
+                cuts = [0, *(marked[ends - 1] + 1).tolist()] if self.lower else [*marked.tolist(), len(ids)]
                 raw = ids.tobytes()
-                self.memory.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
+                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
         for at in range(0, len(alone), 20_000):
             part = alone[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memory[w] = array("I", e.ids).tobytes()
+            out.update(zip(part, self._one_by_one([before + w for w in part])))
+        return out
 
     def encode_all(self, texts):
         """Packed ids of each text, in order; short texts are looked up together."""
@@ -117,10 +121,27 @@ class Encoder:
                 group, size = [], 0
         yield from self._encoded(group)
 
-    def _encoded(self, group: list[str]):
-        plain = [self.plain(t) for t in group]
-        known = iter(self._look_up([t for t, p in zip(group, plain) if p]))
-        return [b"".join(next(known)) if p else self.whole(t) for t, p in zip(group, plain)]
+    def _encoded(self, group: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(group)
+        by_word, by_piece = [], []
+        for k, t in enumerate(group):
+            if not self.plain(t):
+                out[k] = self.whole(t)
+            elif self.lower or not (t[:1].isspace() or t[-1:].isspace() or any(r in t for r in _RUNS)):
+                by_word.append(k)
+            elif t:
+                by_piece.append(k)
+        if self.lower:
+            for k, ids in zip(by_word, self._look_up([group[k].lower().split() for k in by_word], self.words, self._new_words)):
+                out[k] = b"".join(ids)
+        else:
+            cut = [group[k].split(" ") for k in by_word]
+            first = self._look_up([self.pattern.findall(words[0]) for words in cut], self.memory, self._pre_tokens)
+            for k, head, ids in zip(by_word, first, self._look_up([words[1:] for words in cut], self.words, self._new_words)):
+                out[k] = b"".join(head) + b"".join(ids)
+            for k, ids in zip(by_piece, self._look_up([self.pattern.findall(group[k]) for k in by_piece], self.memory, self._pre_tokens)):
+                out[k] = b"".join(ids)
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
