@@ -1,8 +1,10 @@
 """BPE encoding by content-defined chunks, and decoding.
 
 A rolling hash cuts a text where it meets a mask, so documents that share passages share chunks; a bounded memory in each
-worker encodes a chunk once. Joins are then repaired: the text from the last safe cut before a join to the first one after
-it is encoded again with a widening margin, until the new ids agree with both sides beyond the margin.
+worker encodes a chunk once. A chunk's ids hold for its middle, from a place near its start to one near its end where a
+pre-token ends whatever stands further off; those places move inwards until the chunk's own ids agree exactly with the
+ids of the parts. What lies between the middles of neighbouring chunks, the join, is encoded again as one piece, so each
+character is encoded at most twice more, also where chunks hold no such place and a join spans many of them.
 """
 
 from __future__ import annotations
@@ -14,15 +16,20 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row
-from siltstone.llm.tokens import Encoder, encoder, file_of
+from siltstone.llm.common import CACHES, each_row
+from siltstone.llm.tokens import Encoder, byte_alphabet, encoder, file_of
 
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
-#: Where white space follows anything else, a pre-token ends and the next begins, whatever stands further off.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+MOST = 48 << 20  #: characters of chunks that a worker keeps
+#: A letter, numeral or sign (no apostrophe) before something of another kind: a pre-token ends there whatever stands
+#: further off. The first form is for texts on which Python's classes agree with the tokenizer's, the second for all.
+_EDGE = re.compile(r"(?<=[^\W\d_])(?=[\W\d_])|(?<=\d)(?=\D)|(?<=[^\w\s'])(?=[^\W_]|\s)")
+_ANY_EDGE = regex.compile(r"(?<=\p{L})(?=[\P{L}--\p{Cn}])|(?<=\p{N})(?=[\P{N}--\p{Cn}])|(?<=[\p{P}\p{S}--['_]])(?=[\p{L}\p{N} \n])", regex.V1)
+NEAR = 48  #: characters from a chunk's end in which its last such place is looked for first
 _POWERS = np.array([pow(0x100000001B3, WINDOW - 1 - i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
 
 
@@ -32,76 +39,91 @@ def cuts(text: str) -> list[int]:
     n = len(codes)
     if n <= WINDOW + LEAST:
         return [n]
-    h = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-    for i in range(WINDOW):
-        h += codes[i : n - WINDOW + 1 + i].astype(np.uint64) * _POWERS[i]
-    at = np.flatnonzero((h >> np.uint64(24)) & np.uint64(MASK) == 0) + WINDOW
     out, last = [], 0
-    for c in at.tolist():
-        if c - last >= LEAST and n - c >= LEAST:
-            out.append(c)
-            last = c
+    for lo in range(0, n - WINDOW + 1, 1 << 20):  # hashed in parts, so that a very long text takes no memory of many times its size
+        part = codes[lo : lo + (1 << 20) + WINDOW - 1].astype(np.uint64)
+        m = len(part) - WINDOW + 1
+        h = np.zeros(m, dtype=np.uint64)
+        for i in range(WINDOW):
+            h += part[i : m + i] * _POWERS[i]
+        for c in (np.flatnonzero((h >> np.uint64(24)) & np.uint64(MASK) == 0) + (WINDOW + lo)).tolist():
+            if c - last >= LEAST and n - c >= LEAST:
+                out.append(c)
+                last = c
     return [*out, n]
 
 
 class ChunkEncoder:
-    def __init__(self, base: Encoder, most: int = 20_000):
-        self.base, self.most = base, most
-        self.memory: OrderedDict[str, bytes] = OrderedDict()
+    """Encodes texts by chunks. A remembered chunk is (where its middle begins and ends, the middle's ids); a chunk with no
+    middle is all join."""
+
+    def __init__(self, base: Encoder, most: int = MOST):
+        self.base, self.most, self.size = base, most, 0
+        self.memory: OrderedDict[str, tuple[int, int, bytes]] = OrderedDict()
         self.hits = self.misses = 0
+        CACHES.append(self)
+
+    def clear(self) -> None:
+        self.memory.clear()
+        self.size = 0
 
-    def chunk(self, text: str) -> bytes:
+    def chunk(self, text: str, plain: bool) -> tuple[int, int, bytes]:
         got = self.memory.get(text)
         if got is None:
             self.misses += 1
-            self.memory[text] = got = self.base.encode(text)
-            if len(self.memory) > self.most:
-                self.memory.popitem(last=False)
+            self.memory[text] = got = self.middle(text, plain)
+            self.size += len(text)
+            while self.size > self.most:
+                self.size -= len(self.memory.popitem(last=False)[0])
         else:
             self.hits += 1
             self.memory.move_to_end(text)
         return got
 
+    def middle(self, text: str, plain: bool) -> tuple[int, int, bytes]:
+        edge, encode = (_EDGE, self.base.encode) if plain else (_ANY_EDGE, self.base.whole)
+        first = edge.search(text, 1)
+        if first is None:
+            return 0, 0, b""
+        ids, a, b = encode(text), first.start(), 0
+        for m in edge.finditer(text, max(a, len(text) - NEAR)):
+            b = m.start()
+        places = None
+        while True:
+            if a < b:
+                head, tail = encode(text[:a]), encode(text[b:])
+                if ids.startswith(head) and ids.endswith(tail) and len(head) + len(tail) <= len(ids):
+                    return a, b, ids[len(head) : len(ids) - len(tail)]
+            places = [m.start() for m in edge.finditer(text)] if places is None else places[1:-1]
+            if len(places) < 2:
+                return 0, 0, b""
+            a, b = places[0], places[-1]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, equal to the library's."""
         if not text:
             return b""
-        if not self.base.plain(text):  # a special token's string or a character class may span any join
+        if self.base.special and self.base.special.search(text):  # a special token's string may span any join
             return self.base.whole(text)
-        ends = cuts(text)
-        out = bytearray(self.chunk(text[: ends[0]]))
-        for cut, end in zip(ends, ends[1:]):
-            self.join(text, out, cut, end, self.chunk(text[cut:end]))
-        return bytes(out)
-
-    def join(self, text: str, out: bytearray, cut: int, end: int, right: bytes) -> None:
-        """out holds text[:cut] and right text[cut:end], each exact by itself; out becomes exact for text[:end]."""
-        margin = 32
-        while True:
-            lo, hi = max(0, cut - margin), min(end, cut + margin)
-            a = next((m.start() for m in _SAFE.finditer(text, lo, cut) if lo < m.start()), None)
-            b = next((m.start() for m in _SAFE.finditer(text, cut + 1, hi)), None)
-            a, b = 0 if a is None and lo == 0 else a, end if b is None and hi == end else b
-            if a is not None and b is not None:
-                old_left, old_right = self.base.encode(text[a:cut]), self.base.encode(text[cut:b])
-                if out.endswith(old_left) and right.startswith(old_right):
-                    del out[len(out) - len(old_left) :]
-                    out += self.base.encode(text[a:b]) + right[len(old_right) :]
-                    return
-            if lo == 0 and hi == end:
-                out[:] = self.base.encode(text[:end])
-                return
-            margin *= 4
+        plain = self.base.plain(text)
+        joined = self.base.encode if plain else self.base.whole
+        out, start, done = [], 0, 0  # text[:done] is encoded
+        for end in cuts(text):
+            a, b, ids = self.chunk(text[start:end], plain)
+            if b > a:
+                out.append(joined(text[done : start + a]))
+                out.append(ids)
+                done = start + b
+            start = end
+        out.append(joined(text[done:]))
+        return b"".join(out)
 
 
 class Decoder:
     """decode(ids, skip_special_tokens=False) of a byte-level tokenizer, from a table of each id's bytes."""
 
     def __init__(self, tokenizer):
-        # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(own)]
-        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+        byte = {c: b for b, c in byte_alphabet().items()}
         self.table = {}
         added = tokenizer.get_added_tokens_decoder()
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
@@ -126,7 +148,8 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests: bool =
 
     A null or empty text has no ids and decodes to the empty text. Null or repeated ids and equal rows are each encoded;
     other columns are ignored; an empty table gives no rows. No shuffle: chunks are shared through each worker's memory,
-    which is bounded, and a copy's chunks cost a lookup.
+    which is bounded, and a copy's chunks cost a lookup. A very long text is worked through chunk by chunk in time in
+    proportion to its length, unless it holds one run of letters that long, which is one pre-token.
     """
     path = tokenizer or file_of("byte_bpe_50k.json")
 

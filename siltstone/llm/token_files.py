@@ -1,7 +1,7 @@
 """Flat token files: unsigned integers, and 64-bit document offsets beside them, for memory mapping.
 
-Texts are encoded where they lie; only packed ids, 16 bits wide where the vocabulary allows, else 32, are range-partitioned
-and sorted by document id. Each partition becomes a shard of three files: NNNNN.bin, the ids of its documents one after
+Texts are encoded where they lie; only packed ids, 16 bits wide where the vocabulary allows, else 32, are dealt to shards by
+ranges of document ids, cut by a sample, and sorted. A shard is three files: NNNNN.bin, the ids of its documents one after
 another; NNNNN.idx, little-endian 64-bit offsets in ids, one more than documents; and NNNNN.doc, their ids. A manifest
 (Parquet) holds each shard's counts; its prefix sums are the shards' bases. A shard is written under a name of its attempt
 and renamed when whole, so a repeated or speculative task leaves the same files.
@@ -10,10 +10,12 @@ and renamed when whole, so a repeated or speculative task leaves the same files.
 from __future__ import annotations
 
 import uuid
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,61 +32,69 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, n): each document's packed ids, the end id included, staged so that ranges are cut without encoding again."""
-
-    def run(batches):
-        e = encoder(tokenizer)
-        kind, end = kind_of(e.tokenizer.get_vocab_size(), end_id), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
-            ids, packed = b.column(0), [np.frombuffer(x + end, dtype="<u4").astype(kind).tobytes() for x in e.encode_all(text for _, text in each_row(b))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), pa.array([len(x) // kind.itemsize for x in packed], pa.int64())], ["doc_id", "ids", "n"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return staged(rows.mapInArrow(run, "doc_id bigint, ids binary, n bigint"), "token-ids")
+SAMPLE = 20  #: ids sampled for each shard, to cut the ranges
 
 
 def kind_of(vocabulary: int, end_id: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, shard_bytes: int = 256 << 20) -> DataFrame:
-    """Encode docs into shards of about shard_bytes under path; returns the manifest: shard, n_docs, n_tokens, base (ids in
-    earlier shards), doc_base, dtype."""
+def range_ends(ids: DataFrame, shards: int) -> np.ndarray:
+    """Where the ranges of shards begin, ascending, from a sample of doc_id; an id that holds many rows comes repeatedly."""
+    share = min(1.0, 2 * SAMPLE * shards / max(1, ids.count()))
+    got = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d")).sample(share, seed=5) if share < 1 else ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
+    found = np.sort(np.array([r[0] for r in got.collect()], dtype=np.int64))  # some SAMPLE for each shard
+    return found[(np.arange(1, shards) * len(found)) // shards] if len(found) else found
+
+
+def shards_of(ids: np.ndarray, spots: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The shard of each id; an id at which several ranges begin is dealt to them in the order of spots (32 bits)."""
+    low, high = np.searchsorted(ends, ids, "left"), np.searchsorted(ends, ids, "right")
+    return low + ((spots * (high - low + 1)) >> 32)
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Encode docs into shards for about shard_bytes of text each under path; returns the manifest: shard, n_docs, n_tokens,
+    base (ids in earlier shards), doc_base, dtype."""
     spark = docs.sparkSession
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
-    rows = encoded(docs, tokenizer, end_id)
-    total = rows.select(F.sum("n")).first()[0] or 0
-    kind = kind_of(encoder(tokenizer).tokenizer.get_vocab_size(), end_id)
-    n = tasks_for(spark, total * kind.itemsize, shard_bytes)
-    tie = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
-    ordered = rows.select("doc_id", "ids").repartitionByRange(n, *tie).sortWithinPartitions(*tie, "ids")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = tasks_for(spark, total, shard_bytes)
+    ends = spark.sparkContext.broadcast(range_ends(rows.select("doc_id"), n))  # 8 bytes for each shard
 
-    def run(batches):
-        from pyspark import TaskContext
+    def encoded(batches):
+        e = encoder(tokenizer)
+        kind, end = kind_of(e.tokenizer.get_vocab_size(), end_id), np.array([end_id], dtype="<u4").tobytes()
+        for b in batches:
+            packed = [np.frombuffer(x + end, dtype="<u4").astype(kind).tobytes() for x in e.encode_all(text for _, text in each_row(b))]
+            spots = np.array([xxhash.xxh32_intdigest(x) for x in packed], dtype=np.int64)
+            ids = b.column(0).fill_null(NO_ID).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(shards_of(ids, spots, ends.value).astype(np.int32)), pa.array(ids), pa.array(spots), pa.array(packed, pa.binary())], ["shard", "doc_id", "spot", "ids"])
+
+    ids = rows.mapInArrow(encoded, "shard int, doc_id bigint, spot bigint, ids binary")
+    ordered = ids.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "spot", "ids")
 
-        shard = TaskContext.get().partitionId()
+    def write(batches):
         store, top = _store(path)
-        ids, lengths, name = [], [], f"{top}/_tmp-{shard:05d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(f"{name}.bin") as out:
-            for b in batches:
-                for doc_id, packed in each_row(b):
+        kind = kind_of(encoder(tokenizer).tokenizer.get_vocab_size(), end_id)
+        for shard, part in groupby((row for b in batches for row in each_row(b)), key=lambda r: r[0]):
+            ids, lengths, name = [], [], f"{top}/_tmp-{shard:05d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(f"{name}.bin") as out:
+                for _, doc_id, _, packed in part:
                     out.write(packed)
-                    ids.append(NO_ID if doc_id is None else doc_id)
+                    ids.append(doc_id)
                     lengths.append(len(packed) // kind.itemsize)
-        if not ids:
-            store.delete_file(f"{name}.bin")
-            return
-        for end_of, values in (("idx", np.concatenate([[0], np.cumsum(lengths)])), ("doc", np.array(ids))):
-            with store.open_output_stream(f"{name}.{end_of}") as out:
-                out.write(values.astype("<i8").tobytes())
-        for end_of in ("bin", "idx", "doc"):
-            store.move(f"{name}.{end_of}", f"{top}/{shard:05d}.{end_of}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [int(sum(lengths))], "dtype": [kind.str]})
+            for end_of, values in (("idx", np.concatenate([[0], np.cumsum(lengths)])), ("doc", np.array(ids))):
+                with store.open_output_stream(f"{name}.{end_of}") as out:
+                    out.write(values.astype("<i8").tobytes())
+            for end_of in ("bin", "idx", "doc"):
+                store.move(f"{name}.{end_of}", f"{top}/{shard:05d}.{end_of}")
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_tokens": [int(sum(lengths))], "dtype": [kind.str]})
 
     store, top = _store(path)
     store.create_dir(top, recursive=True)
-    shards = staged(ordered.mapInArrow(run, "shard bigint, n_docs bigint, n_tokens bigint, dtype string"), "shards")
+    shards = staged(ordered.mapInArrow(write, "shard bigint, n_docs bigint, n_tokens bigint, dtype string"), "shards")
     w = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0))
     manifest = shards.withColumn("base", before("n_tokens")).withColumn("doc_base", before("n_docs"))
@@ -125,8 +135,9 @@ def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFram
     """Write docs as token files and read them back.
 
     A null or empty text is its end id alone. Documents lie in ascending id, nulls first, repeated ids in the order of a
-    hash of their ids; equal rows are written as often as they come. A very long text is one row and lies in one shard. An empty table gives no shards and no rows. Other
-    columns are ignored. One id that many rows share is spread by the hash unless the texts are equal too.
+    hash of their token ids; equal rows are written as often as they come. A very long text is one row and lies in one
+    shard. An empty table gives no shards and no rows. Other columns are ignored. One id that many rows share is spread by
+    the hash unless the texts are equal too.
     """
     path = path or fresh_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, **options)

@@ -321,14 +321,32 @@ def test_chunked_bpe(spark, odd, small):
 def test_chunks_are_shared_and_joined(spark):
     enc, _ = chunked_bpe.opened(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(1)
-    alphabet = ["the", " and", "  ", "\n", "'s", "ing", "42", "##", " é", "x", ". "]
-    for _ in range(200):
-        text = "".join(rng.choice(alphabet, int(rng.integers(1, 1500))))
-        assert enc.encode(text) == enc.base.whole(text)
-    before = enc.hits
-    shared = " ".join(f"word{i % 97}x{i}" for i in range(3000))
-    enc.encode("one start " + shared), enc.encode("another way to begin it " + shared)
-    assert enc.hits - before > 20
+    for alphabet in (
+        ["the", " and", "  ", "\n", "'s", "ing", "42", "##", " é", "x", ". ", "_", "-_", "''", "'", "\x00", "\t"],
+        ["数字", "は", "。", " α", "βγ", "שלום ", "हिन्दी", "😀", "👩\u200d💻", "e\u0301", "²", "½", "'s", "1", " ", "\u3000", "\u2028", "، ", "_'", "ǅ", "\x1f"],
+    ):
+        for _ in range(200):
+            text = "".join(rng.choice(alphabet, int(rng.integers(1, 1500))))
+            assert enc.encode(text) == enc.base.whole(text)
+    for shared in (" ".join(f"word{i % 97}x{i}" for i in range(3000)), "".join(f"数{i}は文字、" for i in range(2000))):
+        before = enc.hits
+        enc.encode("one start " + shared), enc.encode("another way to begin it " + shared)
+        assert enc.hits - before > 20
+
+
+def test_long_texts_without_white_space_take_time_in_proportion():
+    import time
+
+    enc, dec = chunked_bpe.opened(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz", "数字文本漢語", "ab+/"):
+        text = "".join(rng.choices(letters, k=400_000))
+        began = time.time()
+        want = enc.base.whole(text)
+        library, began = time.time() - began, time.time()
+        got = enc.encode(text)
+        assert got == want and time.time() - began < 4 * library + 2
+        assert dec.decode(array("I", got)) == text
 
 
 def test_pipeline(spark):
