@@ -2,9 +2,9 @@
 
 A rolling hash cuts a text where it meets a mask, so documents that share passages share chunks; a bounded memory in each
 worker encodes a chunk once. A chunk's ids hold for its middle, from a place near its start to one near its end where a
-pre-token ends whatever stands further off; those places move inwards until the chunk's own ids agree exactly with the
-ids of the parts. What lies between the middles of neighbouring chunks, the join, is encoded again as one piece, so each
-character is encoded at most twice more, also where chunks hold no such place and a join spans many of them.
+pre-token ends whatever stands further off. What lies between the middles of neighbouring chunks is repaired: it is encoded
+again together with the last piece before it and the first one after it, and must agree exactly with the ids of both; else
+the whole text is encoded again. Chunks that hold no such place become part of a join, so time stays in proportion.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import CACHES, each_row
-from siltstone.llm.tokens import Encoder, byte_alphabet, encoder, file_of
+from siltstone.llm.tokens import TOGETHER, Encoder, byte_alphabet, encoder, file_of
 
 WINDOW, MASK, LEAST = 16, (1 << 9) - 1, 64
 MOST = 48 << 20  #: characters of chunks that a worker keeps
@@ -53,13 +53,17 @@ def cuts(text: str) -> list[int]:
     return [*out, n]
 
 
+#: Ends of a chunk's middle and of its first and last piece, and the ids of the three.
+Chunk = tuple[int, int, int, int, bytes, bytes, bytes]
+NO_MIDDLE: Chunk = (0, 0, 0, 0, b"", b"", b"")
+
+
 class ChunkEncoder:
-    """Encodes texts by chunks. A remembered chunk is (where its middle begins and ends, the middle's ids); a chunk with no
-    middle is all join."""
+    """Encodes texts by chunks. Of a chunk, the ids of its middle are remembered; a chunk with no middle is all join."""
 
     def __init__(self, base: Encoder, most: int = MOST):
         self.base, self.most, self.size = base, most, 0
-        self.memory: OrderedDict[str, tuple[int, int, bytes]] = OrderedDict()
+        self.memory: OrderedDict[str, Chunk] = OrderedDict()
         self.hits = self.misses = 0
         CACHES.append(self)
 
@@ -67,56 +71,100 @@ class ChunkEncoder:
         self.memory.clear()
         self.size = 0
 
-    def chunk(self, text: str, plain: bool) -> tuple[int, int, bytes]:
-        got = self.memory.get(text)
-        if got is None:
-            self.misses += 1
-            self.memory[text] = got = self.middle(text, plain)
-            self.size += len(text)
-            while self.size > self.most:
-                self.size -= len(self.memory.popitem(last=False)[0])
-        else:
-            self.hits += 1
-            self.memory.move_to_end(text)
-        return got
-
-    def middle(self, text: str, plain: bool) -> tuple[int, int, bytes]:
-        edge, encode = (_EDGE, self.base.encode) if plain else (_ANY_EDGE, self.base.whole)
-        first = edge.search(text, 1)
+    def _ends(self, chunk: str) -> tuple[int, int, int, int]:
+        """Places a <= c <= d <= b: the middle is chunk[a:b], chunk[a:c] and chunk[d:b] its first and its last piece. a = b if there is none."""
+        edge = _EDGE if self.base.plain(chunk) else _ANY_EDGE
+        first = edge.search(chunk, 1)
         if first is None:
-            return 0, 0, b""
-        ids, a, b = encode(text), first.start(), 0
-        for m in edge.finditer(text, max(a, len(text) - NEAR)):
-            b = m.start()
-        places = None
-        while True:
-            if a < b:
-                head, tail = encode(text[:a]), encode(text[b:])
-                if ids.startswith(head) and ids.endswith(tail) and len(head) + len(tail) <= len(ids):
-                    return a, b, ids[len(head) : len(ids) - len(tail)]
-            places = [m.start() for m in edge.finditer(text)] if places is None else places[1:-1]
-            if len(places) < 2:
-                return 0, 0, b""
-            a, b = places[0], places[-1]
+            return 0, 0, 0, 0
+        a = first.start()
+        last = [m.start() for m in edge.finditer(chunk, max(a, len(chunk) - NEAR))]
+        if not last:  # a long run ends the chunk
+            last = [m.start() for m in edge.finditer(chunk, a)]
+        b = last[-1]
+        if b <= a:
+            return 0, 0, 0, 0
+        return a, min(b, edge.search(chunk, a + 1).start()), max(a, last[-2]) if len(last) > 1 else a, b
+
+    def _learn(self, chunks: list[str]) -> dict[str, Chunk]:
+        ends = [self._ends(c) for c in chunks]
+        with_middle = [(c, e) for c, e in zip(chunks, ends) if e[3]]
+        ids = self.base.encode_group([x for t, (a, c, d, b) in with_middle for x in (t[a:b], t[a:c], t[d:b])])
+        out = dict.fromkeys(chunks, NO_MIDDLE)
+        for (t, e), middle, first, last in zip(with_middle, ids[::3], ids[1::3], ids[2::3]):
+            if middle.startswith(first) and middle.endswith(last):
+                out[t] = (*e, middle, first, last)
+        return out
+
+    def _chunks(self, texts: list[list[str]]) -> dict[str, Chunk]:
+        """What is known of every chunk of some texts; what is new is learnt together."""
+        here: dict[str, Chunk | None] = {}
+        for c in (c for chunks in texts for c in chunks):
+            if c in here:
+                self.hits += 1
+                continue
+            here[c] = got = self.memory.get(c)
+            if got is None:
+                self.misses += 1
+            else:
+                self.hits += 1
+                self.memory.move_to_end(c)
+        fresh = self._learn([c for c, got in here.items() if got is None])
+        here.update(fresh)
+        for c, got in fresh.items():
+            self.memory[c] = got
+            self.size += len(c)
+        while self.size > self.most:
+            self.size -= len(self.memory.popitem(last=False)[0])
+        return here
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for t in texts:
+            ends = cuts(t)
+            cut.append([t[a:b] for a, b in zip([0, *ends], ends)])
+        known = self._chunks(cut)
+        joins, plans = [], []
+        for t, chunks in zip(texts, cut):
+            start, held, before, left = 0, [], 0, b""  # the join begins at before, with a piece whose ids are left
+            for text in chunks:
+                a, c, d, b, middle, first, last = known[text]
+                if b:
+                    joins.append(t[before : start + c])
+                    held.append((left, first, middle))
+                    before, left = start + d, last
+                start += len(text)
+            joins.append(t[before:])
+            plans.append((held, left))
+        repaired, out = iter(self.base.encode_group(joins)), []
+        for t, (held, left) in zip(texts, plans):
+            parts, agree = [], True
+            for left_, right, middle in [*held, (left, b"", b"")]:
+                ids = next(repaired)
+                agree &= ids.startswith(left_) and ids.endswith(right) and len(left_) + len(right) <= len(ids)
+                parts += (ids[len(left_) : len(ids) - len(right)], middle)
+            out.append(b"".join(parts) if agree else self.base.whole(t))
+        return out
+
+    def encode_all(self, texts):
+        """The ids of each whole text, equal to the library's."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= TOGETHER:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        # A special token's string may span any join.
+        whole = [bool(self.base.special and self.base.special.search(t)) for t in texts]
+        chunked = iter(self._encoded([t for t, w in zip(texts, whole) if not w]))
+        return [self.base.whole(t) if w else next(chunked) for t, w in zip(texts, whole)]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of the whole text, equal to the library's."""
-        if not text:
-            return b""
-        if self.base.special and self.base.special.search(text):  # a special token's string may span any join
-            return self.base.whole(text)
-        plain = self.base.plain(text)
-        joined = self.base.encode if plain else self.base.whole
-        out, start, done = [], 0, 0  # text[:done] is encoded
-        for end in cuts(text):
-            a, b, ids = self.chunk(text[start:end], plain)
-            if b > a:
-                out.append(joined(text[done : start + a]))
-                out.append(ids)
-                done = start + b
-            start = end
-        out.append(joined(text[done:]))
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
 
 class Decoder:
@@ -157,8 +205,8 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests: bool =
         enc, dec = opened(path)
         for b in batches:
             out = []
-            for _, text in each_row(b):
-                ids = array("I", enc.encode(text))
+            for packed in enc.encode_all(text for _, text in each_row(b)):
+                ids = array("I", packed)
                 back = dec.decode(ids)
                 out.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(back.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), back))
             n, x, y = list(zip(*out)) or [(), (), ()]

@@ -64,6 +64,49 @@ def with_rank(df: DataFrame, keys: list[str], order: list, rank: str, label: str
     return numbered.join(base, on).withColumn(rank, F.col(at) + F.col("__base")).drop(part, at, "__p", "__base", *[f"__k{i}" for i in range(len(keys))])
 
 
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 21  #: 64-bit words of a bit filter: 32 KB to 16 MB
+
+
+class BitFilter:
+    """Which hashes may be among some: a bit set of about 16 bits for each, at most 16 MB, that the executors get by a
+    broadcast join. It says no only of hashes that are not among them; beyond some 8 million hashes it says yes too often,
+    never wrongly no, and what it lets through must still be looked up."""
+
+    def __init__(self, hashes: DataFrame, label: str):
+        """hashes: one bigint column."""
+        held = staged(hashes.toDF("__h").distinct(), f"{label}-hashes")
+        n = held.count()
+        words = LEAST_WORDS
+        while words < min(MOST_WORDS, n // 4):
+            words *= 2
+        self.words = words
+        spot = F.pmod("__h", F.lit(64 * words))
+        self.bits = staged(held.groupBy(self._word(spot).alias("__w")).agg(F.bit_or(self._bit(spot)).alias("__b")), f"{label}-filter")
+
+    @staticmethod
+    def _bit(spot):
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
+
+    @staticmethod
+    def _word(spot):
+        return F.floor(spot / 64).cast("int")
+
+    def mark(self, df: DataFrame, h, name: str) -> DataFrame:
+        """df with the flag name: whether the hash h (a column that is not null) may be among them."""
+        spot = F.pmod(h, F.lit(64 * self.words))
+        hit = df.withColumn("__spot", spot).join(F.broadcast(self.bits), self._word(F.col("__spot")) == F.col("__w"), "left")  # at most MOST_WORDS rows
+        return hit.withColumn(name, F.coalesce(F.col("__b").bitwiseAND(self._bit(F.col("__spot"))) != 0, F.lit(False))).drop("__spot", "__w", "__b")
+
+
+def without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
+    """docs less the rows whose (doc_id, xxhash64 of the text, null as empty) is in dropped (doc_id, th; distinct). Only rows that a bit
+    filter flags are shuffled; the others stay where they are."""
+    dropped = staged(dropped.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), f"{label}-dropped")
+    marked = BitFilter(dropped.select(F.xxhash64("__id", "__th")), label).mark(docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit("")))), F.xxhash64(F.col("doc_id").cast("bigint"), F.col("__t")), "__may")
+    some = marked.filter("__may").join(dropped, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_anti")
+    return some.select(*docs.columns).unionByName(marked.filter("NOT __may").select(*docs.columns))
+
+
 def each_row(batch, step: int = 128):
     """The rows of an Arrow batch as tuples, a few at a time, so that a batch of long texts is not copied whole."""
     for at in range(0, batch.num_rows, step):

@@ -1,10 +1,13 @@
-"""Near-duplicates by word shingles: groups of texts linked at a Jaccard similarity, for the pipeline.
-
-Texts reduce to distinct shingle sets. A set of n shingles that reaches the similarity s with another shares one of its
-first n - ceil(s n) + 1 shingles in any global order with the other's first (prefix filter), so no pair is lost. The order
-puts shingles that are frequent in a bounded sample last, then goes by hash. What meets under a shingle is first checked
-against one member of it, so a large group of copies costs one check a member; members that this leaves in different
-groups are then checked with each other. Size and position filters precede; every candidate is verified on its whole sets.
+"""Near-duplicates by SimHash and Jaccard similarity of word shingles: what the pipeline's near-dedup stage asks of simhash.py.
+
+Texts reduce to distinct shingle sets. Fingerprints of the shingles, linked by the vantage-point trees, give the first
+candidates. They miss pairs, so the rest come from the sets: a set of n shingles that reaches the similarity s with another
+shares one of its first n - ceil(s n) + 1 shingles in any global order with the other's first (prefix filter), and the order
+puts frequent shingles last, by counts over all documents in hashed buckets. Sets that share such a shingle form a list;
+lists of equal members are one. A parity sketch, the bits of an odd number of shingles, differs in no more places than the
+sets do, so it rules pairs out for certain before any text is fetched. In each list, stars of pairs that the sketch thinks
+alike are verified first, twice, around different members; what is still apart and not ruled out is then verified in full.
+Every candidate is verified on its whole sets, so no pair is lost and none is linked wrongly.
 """
 
 from __future__ import annotations
@@ -15,37 +18,89 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import drop_caches, each_row, staged
-from siltstone.llm.simhash import SEED, components
+from siltstone.llm.common import BitFilter, drop_caches, each_row, staged, without
+from siltstone.llm.simhash import SEED, components, majority, star_edges
 
 SHINGLE, SIMILARITY = 5, 0.8
-SAMPLE = 4_000  #: texts whose shingles are counted for the order
-MOST_FREQUENT = 100_000  #: shingles that the order holds counts of
+COUNTERS = 1 << 18  #: hashed counts of shingles, whatever the corpus
+SLICES = 16  #: parts in which the counts travel
+SKETCH = 128  #: bytes of a parity sketch
+BLOCK = 16_384  #: members of a list that are compared in one piece
 KEPT = 64  #: shingle sets that a verifying task keeps
+PART = 1 << 20  #: bytes of text that are hashed at once
+BASE = 0x9E3779B97F4A7C15  #: odd, so that it has an inverse
+_TO = np.arange(256, dtype=np.uint8)  #: A-Z to a-z, white space to space
+_TO[65:91] += 32
+_TO[9:14] = 32
+_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 of word shingles, sorted; of the whole sequence if it is shorter; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def _grown(name: str, n: int) -> np.ndarray:
+    """Powers of BASE, or of its inverse, up to n at least."""
+    if len(_powers[name]) < n:
+        step = np.uint64(BASE if name == "up" else pow(BASE, -1, 1 << 64))
+        steps = np.full(max(n, 1 << 16), step, np.uint64)
+        steps[0] = 1
+        _powers[name] = np.multiply.accumulate(steps)
+    return _powers[name][:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of each word shingle, repeats included; of the whole sequence if it is shorter; none without words.
+
+    A polynomial over the bytes of the words, one space between them, from prefix sums; long texts go in parts.
+    """
+    low = _TO[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    gap = low == 32
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
+    w = len(start)
+    if not w:
         return np.zeros(0, np.uint64)
-    line, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([h(line, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-shingle] + 1])
-    return np.unique(np.fromiter((h(line[s:e], SEED) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(starts)))
+    size, out, at = min(w, shingle), [], 0
+    while at <= w - size:
+        upto = max(at + 1, min(w - size + 1, int(np.searchsorted(start, start[at] + PART))))  # shingles that begin here
+        s, e = start[at : upto + size - 1], end[at : upto + size - 1]
+        keep = ~gap[s[0] : e[-1]]
+        keep[s[1:] - s[0] - 1] = True
+        line = low[s[0] : e[-1]][keep]
+        ends = np.cumsum(e - s + 1) - 1
+        begins = ends - (e - s)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _grown("up", len(line)))])
+        a, b = begins[: upto - at], ends[size - 1 :]
+        out.append(_mixed((sums[b] - sums[a]) * _grown("down", len(line))[a] + (b - a).astype(np.uint64)))
+        at = upto
+    return np.concatenate(out)
 
 
-def required(n: np.ndarray | int, similarity: float):
-    """Shingles of n that a set must share with any set it reaches the similarity with."""
-    return np.maximum(1, np.ceil(similarity * n - 1e-9)).astype(np.int64)
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def key_of(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
-def possible(n1, p1, n2, p2, similarity: float):
-    """Whether sets of n1 and n2 shingles can reach the similarity when p1 and p2 are where their first shared one stands."""
-    most = np.minimum(n1 - p1, n2 - p2)
-    return (np.minimum(n1, n2) >= similarity * np.maximum(n1, n2) - 1e-9) & (most * (1 + similarity) >= similarity * (n1 + n2) - 1e-9)
+def sketch_of(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of 8 * SKETCH buckets."""
+    return np.packbits(np.bincount((s & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1).tobytes()
+
+
+def most_apart(n1, n2, similarity: float):
+    """How many shingles two sets of these sizes may not share, to reach the similarity."""
+    return np.floor((n1 + n2) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def required(n: int, similarity: float) -> int:
+    """Shingles of n that a set must share with any set it reaches the similarity with."""
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
 
 
 def gathered(parts, names: list[str], least: int = 1 << 16):
@@ -62,138 +117,226 @@ def gathered(parts, names: list[str], least: int = 1 << 16):
 
 
 def runs(batches):
-    """Record batches sorted by their first column, cut anew so that no value of it is divided."""
-    rest = None
+    """Tables sorted by their first column, cut anew so that no value of it is divided."""
+    held: list[pa.Table] = []
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        tok = t.column(0).to_numpy()
-        at = int(np.searchsorted(tok, tok[-1], "left"))
-        if at:
-            yield t.slice(0, at)
-        rest = t.slice(at)
-    if rest is not None:
-        yield rest
+        t = pa.Table.from_batches([b])
+        first = t.column(0).to_numpy()
+        if last is not None and first[-1] == last:
+            held.append(t)
+            continue
+        at = int(np.searchsorted(first, first[-1], "left"))
+        whole = [*held, t.slice(0, at)] if at or held else []
+        if whole:
+            yield pa.concat_tables(whole)
+        held, last = [t.slice(at)], first[-1]
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _alike(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of others, against i: whether the sketch rules the pair out not, and whether it thinks it alike."""
+    apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
+    most = most_apart(n[others], n[i], similarity)
+    open_ = (apart <= most) & (np.abs(n[others] - n[i]) <= most)
+    bits = 8.0 * SKETCH
+    guess = -bits / 2 * np.log(np.maximum(1e-9, 1 - 2 * np.minimum(apart, bits / 2 - 1) / bits))
+    return open_, open_ & (guess <= most)
+
+
+def stars(key, n, sketch, root, similarity: float):
+    """(a, b) of each leader with the members that it is thought alike to; those of its own group need no pair."""
+    left = np.arange(len(key))
+    while len(left) > 1:
+        lead, rest = left[0], left[1:]
+        same = root[rest] == root[lead]
+        like = _alike(sketch, n, lead, rest, similarity)[1] & ~same
+        if like.any():
+            yield np.full(int(like.sum()), key[lead]), key[rest[like]]
+        left = rest[~(like | same)]
+
+
+def across(key, n, sketch, root, similarity: float):
+    """(a, b) of all members of different groups whose pair is not ruled out. The largest group is not compared with itself."""
+    names, group = np.unique(root, return_inverse=True)
+    major = np.bincount(group).argmax()
+    for i in np.flatnonzero(group != major):
+        others = np.flatnonzero((group != group[i]) & ((group == major) | (np.arange(len(key)) < i)))
+        for at in range(0, len(others), BLOCK):
+            part = others[at : at + BLOCK]
+            part = part[_alike(sketch, n, i, part, similarity)[0]]
+            if len(part):
+                yield np.full(len(part), key[i]), key[part]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of docs: doc_id, component_id, the smallest id linked by pairs of at least this Jaccard similarity.
+    """One row per row of docs: doc_id, th (xxhash64 of the text), component_id, the smallest id linked by pairs of at least
+    this Jaccard similarity.
 
     Texts without words are alike. Null ids take part but name a component only where it has no other id (then it is
-    null). Equal rows and repeated ids are each answered. An empty table gives no rows; other columns are ignored.
+    null). Equal rows and repeated ids are each answered. An empty table gives no rows; other columns are ignored. Very
+    long texts are hashed in parts.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
     def keyed(batches):
+        """The rows' keys, and, at the task's end, its counts."""
         drop_caches()
+        counts, pending, size = np.zeros(COUNTERS, np.int64), [], 0
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["doc_id", "th", "key", "fp", "n", "sketch", "slice", "counts"]
         for b in batches:
-            sets = ((d, t, shingles(x, shingle)) for d, t, x in each_row(b))
-            out = [(d, t, xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s)) for d, t, s in sets]
-            d, t, key, n = zip(*out) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(n, pa.int32())], ["doc_id", "th", "key", "n"])
-
-    rows = staged(texts.mapInArrow(keyed, "doc_id bigint, th bigint, key bigint, n int"), "shingle-keys")
-    sets = staged(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")), "shingle-sets")
-    share = max(1, sets.count() // SAMPLE)
-
-    def all_of(batches):
-        yield from gathered(((shingles(t, shingle).view(np.int64),) for b in batches for (t,) in each_row(b)), ["tok"])
-
-    sample = texts.filter(F.pmod("th", F.lit(share)) == 0).select("text").mapInArrow(all_of, "tok bigint")
-    top = sample.groupBy("tok").count().filter("count > 2").orderBy(F.col("count").desc(), "tok").limit(MOST_FREQUENT).collect()
-    frequent = np.array(sorted((r[0], r[1]) for r in top), dtype=np.int64).reshape(-1, 2)
-    order = spark.sparkContext.broadcast((np.ascontiguousarray(frequent[:, 0]), np.ascontiguousarray(frequent[:, 1])))
-
-    def first_of(text: str | None):
+            out = []
+            for d, t, text in each_row(b):
+                h = shingle_hashes(text, shingle)
+                s = np.unique(h)
+                out.append((d, t, np.uint64(key_of(s)).astype(np.int64), np.uint64(majority(h)).astype(np.int64), len(s), sketch_of(s), None, None))
+                pending.append((s >> np.uint64(46)).astype(np.int64))
+                size += len(s)
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+                    pending, size = [], 0
+            cols = list(zip(*out)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        if pending:
+            counts += np.bincount(np.concatenate(pending), minlength=COUNTERS)
+        if counts.any():
+            packed = [pa.Codec("zstd").compress(part.astype("<i8").tobytes(), asbytes=True) for part in counts.reshape(SLICES, -1)]
+            cols = [[None] * SLICES] * 6 + [list(range(SLICES)), packed]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, body in each_row(b):
+                got = np.frombuffer(pa.Codec("zstd").decompress(body, decompressed_size=8 * COUNTERS // SLICES, asbytes=True), "<i8")
+                total[part] = total[part] + got if part in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
+
+    first = staged(texts.mapInArrow(keyed, "doc_id bigint, th bigint, key bigint, fp bigint, n int, sketch binary, slice int, counts binary"), "shingle-keys")
+    rows = first.filter("slice IS NULL").select("doc_id", "th", "key")
+    kept = first.filter("slice IS NULL").select("doc_id", "th", "key", "fp", "n", "sketch")
+    sets = staged(kept.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "shingle-sets")
+    slices = first.filter("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(summed, "slice int, counts binary").collect()  # SLICES rows in all
+    counts = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in slices:
+        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+    order = spark.sparkContext.broadcast(np.minimum(counts.reshape(-1), (1 << 31) - 1).astype(np.int32))  # 1 MB
+
+    def first_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         s = shingles(text, shingle)
-        tok, (known, counts) = s.view(np.int64), order.value
-        count = np.zeros(len(s), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
-            count = np.where(known[at] == tok, counts[at], 0)
-        m = len(s) - int(required(len(s), similarity)) + 1 if len(s) else 0
-        key = np.full(m, xxhash.xxh64_intdigest(s.tobytes(), SEED), np.uint64).view(np.int64)
-        return tok[np.lexsort((tok, count))[:m]], key, np.full(m, len(s), np.int32), np.arange(m, dtype=np.int32)
+        m = len(s) - required(len(s), similarity) + 1 if len(s) else 0
+        rare = np.argsort(order.value[(s >> np.uint64(46)).astype(np.int64)], kind="stable")[:m]  # s ascends, so ties go by hash
+        return s[rare].view(np.int64), np.full(m, key_of(s), np.uint64).view(np.int64)
 
     def prefixes(batches):
         drop_caches()
-        yield from gathered((first_of(t) for b in batches for (t,) in each_row(b)), ["tok", "key", "n", "p"])
+        yield from gathered((first_of(t) for b in batches for (t,) in each_row(b)), ["tok", "key"])
 
     def shared(batches):
-        for t in runs(batches):
-            tok, key, n, p = (c.to_numpy() for c in t.columns)
-            first = np.concatenate([[True], (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])])  # a text in several rows comes once
-            tok, key, n, p = tok[first], key[first], n[first], p[first]
-            start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            size = np.diff(np.append(start, len(tok)))
-            hub, keep = np.repeat(start, size), np.repeat(size > 1, size)
-            ok = possible(n, p, n[hub], p[hub], similarity) & (hub != np.arange(len(tok)))
-            cols = [x[keep] for x in (tok, key, n, p, key[hub], ok)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["tok", "key", "n", "p", "hub", "ok"])
-
-    prefix = texts.select("text").mapInArrow(prefixes, "tok bigint, key bigint, n int, p int").repartition("tok").sortWithinPartitions("tok", "key")
-    met = staged(prefix.mapInArrow(shared, "tok bigint, key bigint, n int, p int, hub bigint, ok boolean"), "shared-shingles")
+        """The members of each shingle that several sets share, under a name that equal member sets have in common."""
+
+        def lists():
+            for t in runs(batches):
+                tok, key = (c.to_numpy() for c in t.columns)
+                new = np.append(True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1]))  # a set in several rows comes once
+                tok, key = tok[new], key[new]
+                start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+                size = np.diff(np.append(start, len(tok)))
+                name = _mixed(np.add.reduceat(_mixed(key.view(np.uint64)), start) + size.astype(np.uint64)).view(np.int64)
+                some = np.repeat(size > 1, size)
+                if some.any():
+                    yield np.repeat(name, size)[some], key[some]
+
+        yield from gathered(lists(), ["list", "key"])
+
+    prefix = texts.select("text").mapInArrow(prefixes, "tok bigint, key bigint").repartition("tok").sortWithinPartitions("tok", "key")
+    lists = staged(prefix.mapInArrow(shared, "list bigint, key bigint").distinct(), "shingle-lists")
+    sized = lists.join(lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "list")
+    members = staged(sized.join(sets.select("key", "n", "sketch"), "key"), "shingle-members")
 
     def alike(batches):
         drop_caches()
-        kept: dict[int, np.ndarray] = {}
+        known: dict[int, np.ndarray] = {}
 
         def of(key: int, text: str | None) -> np.ndarray:
-            if key not in kept:
-                if len(kept) >= KEPT:
-                    kept.pop(next(iter(kept)))
-                kept[key] = shingles(text, shingle)
-            return kept[key]
+            if key not in known:
+                if len(known) >= KEPT:
+                    known.pop(next(iter(known)))
+                known[key] = shingles(text, shingle)
+            return known[key]
 
         for b in batches:
             out = []
             for x, y, t, u in each_row(b):
                 s, v = of(x, t), of(y, u)
                 both = len(np.intersect1d(s, v, assume_unique=True))
-                if both >= similarity * (len(s) + len(v) - both) - 1e-9:
-                    out.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that reach the similarity."""
-        pairs = staged(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "shingle-candidates")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets, "key").select("key", "th")
-        text = texts.select("th", "text").join(keys, "th").groupBy("key").agg(F.first("text").alias("text"))
+                out.append((x, y, both >= similarity * (len(s) + len(v) - both) - 1e-9))
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
+
+    def verified(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        """pairs (a, b) that before has not, with linked; only the texts of their sets are shuffled."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if before is not None:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = staged(pairs, "shingle-candidates")
+        keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets, "key").select("key", "th"), "candidate-keys")
+        may = BitFilter(keys.select("th"), "candidates").mark(texts.select("th", "text"), F.col("th"), "may").filter("may")
+        text = may.join(keys, "th").groupBy("key").agg(F.first("text").alias("text"))
         text = staged(text, "candidate-texts")
-        both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
-        return staged(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint"), "shingle-links")
-
-    near = verified(met.filter("ok").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-    root = components(near)
-    apart = met.join(root.withColumnRenamed("node", "key"), "key", "left").select("tok", "key", "n", "p", F.coalesce("root", "key").alias("root"))
-    mixed = apart.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tok")
-
-    def pairs_of(batches):
-        for t in runs(batches):
-            tok, key, n, p, root = (c.to_numpy() for c in t.columns)
-            start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(tok)]):
-                for i in range(lo + 1, hi):
-                    z = slice(lo, i)
-                    b = key[z][(root[z] != root[i]) & possible(n[z], p[z], n[i], p[i], similarity)]
-                    if len(b):
-                        yield np.full(len(b), key[i]), b
-
-    def across(batches):
-        yield from gathered(pairs_of(batches), ["a", "b"])
-
-    rest = apart.join(mixed, "tok").select("tok", "key", "n", "p", "root").repartition("tok").sortWithinPartitions("tok", "key").mapInArrow(across, "a bigint, b bigint")
-    rest = rest.join(near, (F.greatest(rest.a, rest.b) == near.a) & (F.least(rest.a, rest.b) == near.b), "left_anti")
-    roots = components(near.unionByName(verified(rest)))
+        both = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b").sortWithinPartitions("b", "a")
+        got = staged(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint, linked boolean"), "shingle-pairs")
+        return got if before is None else before.unionByName(got)
+
+    def compared(turn: int, roots: DataFrame, how) -> DataFrame:
+        """Candidate pairs of lists that hold several groups, each list in blocks that the turn deals anew."""
+        at = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = at.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list")
+        at = at.join(mixed, "list")
+        spot = F.xxhash64("key", F.lit(turn))
+        if how is across:  # a block has its share of the list's largest group, and every member of the others
+            sizes = at.groupBy("list", "root").agg(F.count("*").alias("c")).groupBy("list").agg(F.max(F.struct("c", "root")).alias("m")).select("list", F.col("m.root").alias("major"))
+            spread = F.when(F.col("root") == F.col("major"), F.array(F.pmod(spot, F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+            at = at.join(sizes, "list").withColumn("block", F.explode(spread))
+        else:
+            at = at.withColumn("block", F.pmod(spot, F.col("blocks")).cast("int"))
+
+        def run(batches):
+            drop_caches()
+
+            def pairs():
+                for t in runs(batches):
+                    run_, key, n, root = (t.column(c).to_numpy() for c in ("run", "key", "n", "root"))
+                    flat = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+                    start = np.flatnonzero(np.append(True, run_[1:] != run_[:-1]))
+                    for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+                        yield from how(key[lo:hi], n[lo:hi].astype(np.int64), flat[lo:hi], root[lo:hi], similarity)
+
+            yield from gathered(pairs(), ["a", "b"])
+
+        keyed_ = at.select(F.xxhash64("list", "block").alias("run"), "key", "n", "root", "sketch", spot.alias("spot"))
+        return keyed_.repartition("run").sortWithinPartitions("run", "spot").mapInArrow(run, "a bigint, b bigint")
+
+    prints = staged(sets.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fingerprints")
+    near = star_edges(prints.select("fp")).join(prints.toDF("a", "ka"), "a").join(prints.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    twins = sets.select("fp", "key").join(prints.toDF("fp", "one"), "fp").filter("key <> one").select(F.col("key").alias("a"), F.col("one").alias("b"))
+    tested = verified(near.unionByName(twins), None)
+    for turn, how in enumerate((stars, stars, across)):
+        tested = verified(compared(turn, components(tested.filter("linked").select("a", "b")), how), tested)
+    roots = components(tested.filter("linked").select("a", "b"))
     member = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = staged(member.join(named, "root").select("key", "component_id"), "shingle-components")
-    return rows.join(of_key, "key").select("doc_id", "component_id")
+    return rows.join(of_key, "key").select("doc_id", "th", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: the smallest id of each component (a repeated id stays with all its rows; null ids stay)."""
-    kept = near_duplicates(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that stay, with their own columns: those of the smallest id of each group. A repeated id stays with
+    all its rows that are in groups which it names; null ids stay. Null texts count as empty; an empty table stays empty."""
+    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id", "th").distinct()
+    return without(docs, gone, "near")

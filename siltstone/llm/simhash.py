@@ -33,10 +33,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return h(line, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: -shingle] + 1])
-    ends = ends[shingle - 1 :]
-    ones, n = np.zeros(64, np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        block = np.array([h(line[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist())], dtype="<u8")
+    return majority(np.fromiter((h(line[s:e], SEED) for s, e in zip(starts.tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without any."""
+    ones, n = np.zeros(64, np.int64), len(hashes)
+    for at in range(0, n, 1 << 14):
+        block = hashes[at : at + (1 << 14)].astype("<u8")
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 

@@ -1,10 +1,10 @@
 """Exact, fast encoding with the tokenizers library.
 
 A text whose characters all lie in a set where Python's classes agree with the tokenizer's is cut at white space, where
-pre-tokens end whatever stands around. A bounded memory maps its words to ids; a new word is cut into pre-tokens by a
-compiled pattern, which have a memory of their own, and the library's model encodes the new ones, many at a time. Merges
-never cross pre-tokens, so the ids equal the library's for the whole text. Any other text, and any that contains a special
-token's string, goes to the library whole.
+pre-tokens end whatever stands around, and a bounded memory maps its words to ids; a word that is new is encoded by the
+library, many of them as one text. Where spaces are kept and a space stands beside other white space, the text is cut into
+pre-tokens by a compiled pattern instead, with a memory of its own. Merges never cross pre-tokens, so the ids equal the
+library's for the whole text. Any other text, and any that contains a special token's string, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from siltstone.llm.common import CACHES
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-KEPT = 700_000  #: entries of a memory; when it would hold more it starts anew
+MEMORY = 600_000  #: words and pre-tokens kept per worker
 LONG = 64  #: characters beyond which a word is not kept
-RUN = 500  #: new pre-tokens encoded together
-TOGETHER = 1 << 20  #: characters at which a group of texts that are looked up together ends
+FEW = 50  #: new words below which each is encoded on its own
+RUN = 500  #: new words encoded as one text
+TOGETHER = 1 << 18  #: characters at which a group of texts that are looked up together ends
 #: Where one of these stands, a space may belong to a run of white space.
 _RUNS = ("  ", "\n ", " \n", "\t", "\x0b", "\x0c", "\r", "\x85", "\xa0")
 
@@ -36,35 +37,12 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTE_LEVEL = byte_alphabet()  #: the letter of 0xFF, which is in no UTF-8 text, parts pre-tokens
-
-
-class Memory(dict):
-    """A bounded map from words to ids."""
-
-    def of(self, words: set[str], learn) -> dict[str, bytes]:
-        """The ids of each of the words; learn(list) gives those of words that are not known, in order. Long ones are not kept."""
-        here = dict(zip(words, map(self.get, words)))
-        new = [w for w, ids in here.items() if ids is None]
-        if new:
-            ids = learn(new)
-            here.update(zip(new, ids))
-            if len(self) + len(new) > KEPT:
-                self.clear()
-            if max(map(len, new)) > LONG:
-                self.update((w, x) for w, x in zip(new, ids) if len(w) <= LONG)
-            else:
-                self.update(zip(new, ids))
-        return here
-
-
 class Encoder:
     """Encodes whole texts to packed unsigned 32-bit ids (native order, little-endian on all supported hosts)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -73,11 +51,12 @@ class Encoder:
         self.pattern = _WORD if self.lower else _BYTE
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.model = Tokenizer(self.tokenizer.model)  # without the text steps that plain pre-tokens no longer need
-        self.model.pre_tokenizer = Split(_BYTE_LEVEL[0xFF], "isolated")
-        self.border = self.model.encode(_BYTE_LEVEL[0xFF], add_special_tokens=False).ids[0]
-        self.memory = Memory()  #: pre-token -> ids
-        self.words = Memory()  #: word -> ids; where spaces are kept, of the word after a space
+        #: Ids that end a word, or, where spaces are kept, that start with one (which the vocabulary writes as U+0120).
+        vocab = self.tokenizer.get_vocab()
+        self.marks = np.zeros(max(vocab.values()) + 1, bool)
+        self.marks[[i for t, i in vocab.items() if (t.endswith("</w>") if self.lower else t.startswith("\u0120"))]] = True
+        self.memory: dict[str, bytes] = {}  #: pre-token -> ids
+        self.words: dict[str, bytes] = {}  #: word -> ids; where spaces are kept, of the word after a space
         CACHES.extend((self.memory, self.words))
 
     def whole(self, text: str) -> bytes:
@@ -86,32 +65,57 @@ class Encoder:
     def plain(self, text: str) -> bool:
         return not _ODD.search(text) and not (self.special and self.special.search(text))
 
-    def pieces(self, text: str) -> bytes:
-        """Packed ids of a plain text, by its pre-tokens."""
+    def pieces(self, text: str) -> list[bytes]:
+        """Packed ids of each pre-token of a plain text."""
         return self._look_up([self.pattern.findall(text.lower() if self.lower else text)], self.memory, self._pre_tokens)[0]
 
-    def _look_up(self, found: list[list[str]], memory: Memory, learn) -> list[bytes]:
-        """The joined ids of each list of words."""
-        of = memory.of(set().union(*found), learn).__getitem__  # small beside the memory, so quicker to look up in
-        return [b"".join(map(of, words)) for words in found]
-
-    def _pre_tokens(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens from the tokenizer's model alone, many at a time."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 8 * RUN):
-            parts = [words[k : k + RUN] for k in range(at, min(at + 8 * RUN, len(words)), RUN)]
-            texts = [b"\xff".join(map(str.encode, part)).decode("latin-1").translate(_BYTE_LEVEL) for part in parts]
-            for part, e in zip(parts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, dtype=np.uint32)
-                ends = [*(4 * np.flatnonzero(ids == self.border)).tolist(), 4 * len(ids)]
-                raw, at_byte = ids.tobytes(), [0, *(x + 4 for x in ends)]
-                out += [raw[a:b] for a, b in zip(at_byte, ends)]
+    def _look_up(self, found: list[list[str]], memory: dict[str, bytes], learn) -> list[list[bytes]]:
+        """The ids of each word of each list; learn(words) gives those of words that memory lacks, which keeps the short ones."""
+        out = [list(map(memory.get, words)) for words in found]
+        gaps = [k for k, ids in enumerate(out) if None in ids]
+        if gaps:
+            fresh = learn(list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None}))
+            for k in gaps:
+                out[k] = [fresh[w] if ids is None else ids for w, ids in zip(found[k], out[k])]
+            if len(memory) + len(fresh) > MEMORY:
+                memory.clear()
+            memory.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
         return out
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words by their pre-tokens; where spaces are kept, of words that follow one."""
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pre_tokens(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            out.update(zip(part, self._one_by_one(part)))
+        return out
+
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words. Many are encoded as one text, with spaces between, and its ids are cut at those that the
+        vocabulary marks as the end (or the start) of a word; a word that holds several pre-tokens has as many ends."""
         before = "" if self.lower else " "
-        return self._look_up([self.pattern.findall(before + w) for w in words], self.memory, self._pre_tokens)
+        if len(words) < FEW:
+            return dict(zip(words, self._one_by_one([before + w for w in words])))
+        out: dict[str, bytes] = {}
+        parts, alone = [words[at : at + RUN] for at in range(0, len(words), RUN)], []
+        for at in range(0, len(parts), 8):
+            group = parts[at : at + 8]
+            for part, e in zip(group, self.tokenizer.encode_batch_fast([before + " ".join(part) for part in group], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=np.uint32)
+                marked = np.flatnonzero(self.marks[ids])
+                ends = np.cumsum([len(self.pattern.findall(w)) for w in part]) if self.lower else np.arange(1, len(part) + 1)
+                if len(marked) != ends[-1]:
+                    alone += part
+                    continue
+                cuts = [0, *(marked[ends - 1] + 1).tolist()] if self.lower else [*marked.tolist(), len(ids)]
+                raw = ids.tobytes()
+                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:]))
+        for at in range(0, len(alone), 20_000):
+            part = alone[at : at + 20_000]
+            out.update(zip(part, self._one_by_one([before + w for w in part])))
+        return out
 
     def encode_all(self, texts):
         """Packed ids of each text, in order; short texts are looked up together."""
@@ -120,36 +124,36 @@ class Encoder:
             group.append(text or "")
             size += len(group[-1])
             if size >= TOGETHER:
-                yield from self._encoded(group)
+                yield from self.encode_group(group)
                 group, size = [], 0
-        yield from self._encoded(group)
+        yield from self.encode_group(group)
 
-    def _encoded(self, group: list[str]) -> list[bytes]:
+    def encode_group(self, group: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(group)
         by_word, by_piece = [], []
         for k, t in enumerate(group):
             if not self.plain(t):
                 out[k] = self.whole(t)
-            elif self.lower or not (t[:1].isspace() or t[-1:].isspace() or any(r in t for r in _RUNS)):
+            elif self.lower or not (t[-1:].isspace() or any(r in t for r in _RUNS)):
                 by_word.append(k)
             elif t:
                 by_piece.append(k)
         if self.lower:
             for k, ids in zip(by_word, self._look_up([group[k].lower().split() for k in by_word], self.words, self._new_words)):
-                out[k] = ids
+                out[k] = b"".join(ids)
         else:
             cut = [group[k].split(" ") for k in by_word]
             first = self._look_up([self.pattern.findall(words[0]) for words in cut], self.memory, self._pre_tokens)
             for k, head, ids in zip(by_word, first, self._look_up([words[1:] for words in cut], self.words, self._new_words)):
-                out[k] = head + ids
+                out[k] = b"".join(head) + b"".join(ids)
             for k, ids in zip(by_piece, self._look_up([self.pattern.findall(group[k]) for k in by_piece], self.memory, self._pre_tokens)):
-                out[k] = ids
+                out[k] = b"".join(ids)
         return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return self.pieces(text) if self.plain(text) else self.whole(text)
+        return self.encode_group([text])[0]
 
 
 _OPEN: dict[str, Encoder] = {}
