@@ -39,6 +39,34 @@ def conditional_update(rows: DataFrame, outcome: DataFrame, columns: list[str])
     return out.drop("__id", "__by", "__hit", *[f"__{c}" for c in columns])
 
 
+def cas_misses(rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Rows of outcome whose id is no longer claimed by their worker: conditional_update passes over them."""
+    held = rows.select("id", "claimed_by")
+    same = (outcome["id"] == held["id"]) & outcome["claimed_by"].eqNullSafe(held["claimed_by"])
+    return outcome.join(held, same, "left_anti")
+
+
+def settle(rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """Mark outcomes (id, claimed_by, ok, reason, elapsed): done or failed with the reason, where the claim still holds."""
+    ok = F.col("ok")
+    new = outcome.select("id", "claimed_by", F.when(ok, "done").otherwise("failed").alias("status"), F.when(~ok, F.col("reason")).alias("failure_reason"), F.col("elapsed").alias("processing_time_sec"))
+    return conditional_update(rows, new, ["status", "failure_reason", "processing_time_sec"])
+
+
+def worker_id(host: Column, slot: Column) -> Column:
+    return F.concat_ws("-", host, slot.cast("string"))
+
+
+def scratch_path(root: str, repo: Column, worker: Column) -> Column:
+    """A folder of its own for each repository and worker."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), F.concat_ws("-", worker, repo.cast("string")))
+
+
+def last_before(rows: DataFrame, key: str, value: str, at: str, cutoff: Column) -> DataFrame:
+    """(key, value) of the latest row of each key before cutoff, ties to the larger value; keys without one are left out."""
+    return rows.filter(F.col(at) < cutoff).groupBy(key).agg(F.max(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))).alias("m")).select(key, F.col("m.v").alias(value))
+
+
 def backfill(rows: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Fill columns that are null; what is there stays, so a second run changes nothing."""
     new = fresh.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ELIGIBLE = ("seen", "skipped")
@@ -27,6 +27,13 @@ class Sampling:
             out = F.when(commits >= lo, F.lit(lo).cast("bigint")).otherwise(out)
         return out
 
+    def bounds(self, lo: int) -> tuple[int, int | None]:
+        """The half-open range of commits of the bin that begins at lo; the last has no end."""
+        if lo not in self.bins:
+            raise ValueError(f"no bin begins at {lo}")
+        at = self.bins.index(lo) + 1
+        return lo, self.bins[at] if at < len(self.bins) else None
+
     def order(self, id_col: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(self.seed)), id_col.cast("string")))
 
@@ -37,6 +44,18 @@ def profane(repos: DataFrame, n: int, conf: Sampling = Sampling()) -> DataFrame:
     return ok.orderBy(F.col("rate").desc(), "id").limit(n).select("id", "commits", conf.bin_of(F.col("commits")).alias("bin"))
 
 
+def bin_bounds(spark: SparkSession, conf: Sampling = Sampling()) -> DataFrame:
+    """(bin, low, high) of every bin, high null for the last. One row for each bin, so the window's one task is small."""
+    edges = spark.createDataFrame([(b,) for b in conf.bins], "bin bigint")
+    return edges.select("bin", F.col("bin").alias("low"), F.lead("bin").over(Window.partitionBy(F.lit(0)).orderBy("bin")).alias("high"))
+
+
+def in_bins(rows: DataFrame, bounds: DataFrame, commits: str = "commits") -> DataFrame:
+    """rows with the bin whose range holds their commits, by a range join with the few bounds; the rest are dropped."""
+    c = F.col(commits)
+    return rows.join(F.broadcast(bounds), (c >= F.col("low")) & (F.col("high").isNull() | (c < F.col("high")))).drop("low", "high")
+
+
 def bin_counts(cohort: DataFrame, conf: Sampling = Sampling()) -> DataFrame:
     """(bin, n) for every bin, zeros too."""
     edges = cohort.sparkSession.createDataFrame([(b,) for b in conf.bins], "bin bigint")
@@ -83,8 +102,11 @@ def shortfall(quota: DataFrame, drawn: DataFrame, conf: Sampling = Sampling()) -
 
 
 def demote_missing(repos: DataFrame, missing: Column) -> DataFrame:
-    hit = missing & F.col("status").isin("pending", "claimed")
-    return repos.withColumns({"status": F.when(hit, "missing").otherwise(F.col("status")), "claimed_by": F.when(~hit, F.col("claimed_by"))})
+    """Cohort rows found missing leave the queue: pending, claimed and failed ones become missing and lose their claim.
+    A null predicate is no finding."""
+    hit = F.coalesce(missing, F.lit(False)) & F.col("cohort").isNotNull() & F.col("status").isin("pending", "claimed", "failed")
+    claim = {c: F.when(~hit, F.col(c)) for c in ("claimed_by", "claimed_at") if c in repos.columns}
+    return repos.withColumns({"status": F.when(hit, "missing").otherwise(F.col("status")), **claim})
 
 
 LIVE = ("pending", "claimed", "done", "failed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,15 +17,38 @@ def unpivot(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return rows.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(ids, metrics, "metric", "x").filter("x IS NOT NULL")
 
 
+EXACT_SIDE = 8  #: a side of at most so many values, and no ties: the exact distribution of U
+
+
+def exact_two_sided(u: float, n1: int, n2: int) -> float:
+    """P of a U at least as far out, by counting the orders of n1 and n2 values: the coefficients of a Gaussian binomial."""
+    small, large = sorted((n1, n2))
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1.0
+    for k in range(1, small + 1):  # times (1 - q^(large+k)) / (1 - q^k)
+        top = large + k
+        if top < len(ways):
+            ways[top:] = ways[top:] - ways[:-top]
+        for at in range(k, len(ways)):
+            ways[at] += ways[at - k]
+    far = int(round(max(u, n1 * n2 - u)))
+    return min(1.0, 2.0 * float(ways[far:].sum() / ways.sum()))
+
+
 @F.pandas_udf(DoubleType())
-def normal_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    """Two-sided p of U by the normal approximation, corrected for ties and continuity."""
+def two_sided_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+    """Two-sided p of U: exact for a small side without ties, else the normal approximation, corrected for ties and continuity."""
     out = []
     for a, p, q, t in zip(u, n1, n2, ties):
-        n = p + q
-        var = p * q / 12 * ((n + 1) - t / (n * (n - 1))) if n > 1 else 0
-        z = (max(a, p * q - a) - p * q / 2 - 0.5) / math.sqrt(var) if var > 0 else float("nan")
-        out.append(None if math.isnan(z) else min(1.0, math.erfc(z / math.sqrt(2))))
+        if a is None or math.isnan(a):
+            out.append(None)
+        elif min(p, q) <= EXACT_SIDE and not t:
+            out.append(exact_two_sided(a, int(p), int(q)))
+        else:
+            n = p + q
+            var = p * q / 12 * ((n + 1) - t / (n * (n - 1))) if n > 1 else 0
+            z = (max(a, p * q - a) - p * q / 2 - 0.5) / math.sqrt(var) if var > 0 else float("nan")
+            out.append(None if math.isnan(z) else min(1.0, math.erfc(z / math.sqrt(2))))
     return pd.Series(out, dtype="float64")
 
 
@@ -44,11 +68,42 @@ def mann_whitney(long: DataFrame, first: str = "clean", second: str = "profane",
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     out = sums.join(medians, "metric").withColumn("u", F.when(enough, u))
     out = out.withColumn("r_rb", F.when(enough, 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))))
-    out = out.withColumn("p", F.when(enough, normal_p("u", F.col("n1").cast("double"), F.col("n2").cast("double"), "ties")))
+    out = out.withColumn("p", F.when(enough, two_sided_p("u", F.col("n1").cast("double"), F.col("n2").cast("double"), "ties")))
     m = F.count("*").over(Window.partitionBy(F.lit(0)))  # one row for each metric
     return out.withColumn("significant", F.col("p") < F.lit(alpha) / m).drop("r1", "ties")
 
 
+def in_subsets(long: DataFrame, column: str, subsets: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Rows of long once for each subset that they belong to, with its name as subset; an empty tuple takes every row."""
+    held = [F.when(F.lit(True) if not v else F.col(column).isin(*v), F.lit(k)) for k, v in subsets.items()]
+    return long.withColumn("subset", F.explode(F.array_compact(F.array(*held))))
+
+
+def mwu_tables(long: DataFrame, metrics: dict[str, tuple[str, ...]], family: int, alpha: float = 0.05, **options) -> DataFrame:
+    """Rank tests by subset: long has subset, metric, cohort, x; metrics names the metrics of each subset. One job for all
+    tables. significant: p below alpha over the size of the a-priori family, whatever the subset. Best read by subset and p."""
+    listed = reduce(lambda a, b: a | b, [(F.col("subset") == k) & F.col("metric").isin(*v) for k, v in metrics.items()])
+    keyed = long.filter(listed).select(F.concat_ws("\x1f", "subset", "metric").alias("metric"), "cohort", "x")
+    out = mann_whitney(keyed, alpha=alpha, **options).withColumn("significant", F.col("p") < alpha / family)
+    parts = F.split("metric", "\x1f")
+    return out.withColumn("subset", parts[0]).withColumn("metric", parts[1]).orderBy("subset", F.col("p").asc_nulls_last(), "metric")
+
+
+def forest(long: DataFrame, alpha: float = 0.05, **options) -> DataFrame:
+    """Rank test and interval of each metric, by effect."""
+    return mann_whitney(long, alpha=alpha).join(bootstrap_effect(long, **options), "metric").orderBy(F.col("r_rb").asc_nulls_last(), "metric")
+
+
+def median_rows(long: DataFrame, family: int, alpha: float = 0.05, **options) -> DataFrame:
+    """The per-language panel: a row for each subset and metric with both cohorts' counts, medians and intervals, p and significance."""
+    tests = mann_whitney(long.withColumn("metric", F.concat_ws("\x1f", "subset", "metric")), alpha=alpha)
+    parts = F.split("metric", "\x1f")
+    tests = tests.select(parts[0].alias("subset"), parts[1].alias("metric"), F.col("n1").alias("n_clean"), F.col("n2").alias("n_profane"), "p", (F.col("p") < alpha / family).alias("significant"))
+    spans = bootstrap_median(long, by=("subset", "metric", "cohort"), **options)
+    of = lambda c: spans.filter(F.col("cohort") == c).select("subset", "metric", *[F.col(x).alias(f"{x}_{c}") for x in ("median", "low", "high")])
+    return tests.join(of("clean"), ["subset", "metric"], "left").join(of("profane"), ["subset", "metric"], "left")
+
+
 def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profane", resamples: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
     """(metric, low, high): the 2.5 and 97.5 % quantiles of r_rb over resamples; null where a side has fewer than least values.
 

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import lifecycle, reports, rollup, sampling, stats
+from siltstone.plans import registry
+from siltstone.plans.registry import LEX_CTE, LEXICON, NOW, QUERIES, SQL, TOKEN, dealt, emoji_sql, p_value_sql, query, table
 from siltstone.sources import archive, metadata, tree
-from siltstone.streaming import ingest
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
-#: Parameter lexicon: words that the tables hold.
-LEXICON = {"en": ["idiot", "moron", "scum", "loser", "stupid", "trash", "pathetic", "this"], "es": ["que", "para"], "fr": ["pour", "sur"], "de": ["nicht", "auch"]}
-NOW = datetime(2024, 1, 2)
 CONF = sampling.Sampling(bins=(1, 5, 10, 15), min_commits=1)
 
-TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'']*[\p{L}\p{N}_])?"
-LEX_CTE = "lex(lang, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, v in LEXICON.items() for w in v) + ")"
 HITS_CTE = f"""{LEX_CTE},
 toks AS (SELECT doc_id, lang, source, text, unnest(list_distinct(list_concat(regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}'), regexp_extract_all(translate(lower(coalesce(text, '')), '4103$5@!', 'aioessai'), '{TOKEN}')))) AS word FROM documents),
 hits AS (SELECT DISTINCT doc_id, source, word FROM toks t WHERE EXISTS (SELECT 1 FROM lex WHERE lex.word = t.word AND lex.lang IN (t.lang, 'en')))"""
@@ -38,25 +27,11 @@ ranked AS (SELECT id, commits, bin, row_number() OVER (PARTITION BY bin ORDER BY
 clean AS (SELECT r.id, r.commits, r.bin FROM ranked r JOIN quota q ON q.bin = r.bin AND r.rank <= q.quota)"""
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def scored(spark, sf_dir):
+    return dealt(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", "lang", "text", T.lexicon_hits(F.col("text"), F.col("lang"), LEXICON).alias("hits"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", T.lexicon_hits(F.col("text"), F.col("lang"), LEXICON).alias("hits"))
-
-
-def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repos(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("commits"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("hits"))
     zero = F.lit(0).cast("bigint")
     out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(orders, "id", "left").select("id", F.coalesce("commits", zero).alias("commits"), F.coalesce("hits", zero).alias("hits"))
@@ -98,24 +73,6 @@ def languages_by_source(spark, sf_dir):
     return rollup.histogram(table(spark, sf_dir, "documents"), F.array(T.language_code(F.col("lang"))), ("source",))
 
 
-@query("SELECT conv_id, arg_min(text, turn) AS first_text, min(turn) AS first_turn, array_to_string(list_sort(list(DISTINCT role)), ',') AS authors FROM conversations GROUP BY conv_id")
-def first_seen_and_authors(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"), F.min("turn").alias("first_turn"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("authors"))
-
-
-@query(f"WITH {HITS_CTE}, f AS (SELECT DISTINCT doc_id, source FROM hits) SELECT f.source, f.doc_id, row_number() OVER (PARTITION BY f.source ORDER BY f.doc_id)::INTEGER AS rank, left(d.text, 200) AS sample FROM f JOIN documents d USING (doc_id) QUALIFY rank <= 5")
-def sample_messages_capped(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return scored(spark, sf_dir).filter(F.size("hits") > 0).select("source", "doc_id", F.substring("text", 1, 200).alias("sample")).withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
-
-
-@query("SELECT event_type, (json_extract(props, '$.k')::BIGINT % 10) AS bucket, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total FROM events WHERE json_type(props) = 'OBJECT' GROUP BY ALL")
-def event_flatten_scored(spark, sf_dir):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    rows = table(spark, sf_dir, "events").filter(F.schema_of_variant(F.try_parse_json("props")).startswith("OBJECT"))
-    return rows.withColumn("k", k).groupBy("event_type", (F.col("k") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
-
-
 BOT_SQL = "coalesce(login <> '' AND (lower(login) LIKE '%[bot]' OR lower(login) IN (" + ", ".join(f"'{b}'" for b in T.BOT_LOGINS) + f") OR regexp_matches(login, '(?i){T.BOT_PATTERN}')), false)"
 LOGIN_SQL = "CASE user_id % 7 WHEN 0 THEN 'dependabot[bot]' WHEN 1 THEN 'Stale' WHEN 2 THEN NULL WHEN 3 THEN 'robotics-fan' ELSE 'user' || user_id END"
 
@@ -168,11 +125,6 @@ def tool_coverage_pct(spark, sf_dir):
     return reports.coverage(table(spark, sf_dir, "documents"), "lang", {"a": ("en",), "b": ("fr", "es")})
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS metric, count({m}) FILTER (WHERE cohort = 'clean') AS n_first, count({m}) FILTER (WHERE cohort = 'profane') AS n_second, 100.0::DOUBLE * count(*) FILTER (WHERE {m} IS NULL) / count(*) AS pct_missing FROM ({COHORT_SQL})" for m in ("n_chars", "quality")))
-def missingness(spark, sf_dir):
-    return reports.missingness(cohorts(spark, sf_dir), "cohort", ["n_chars", "quality"], "clean", "profane")
-
-
 @query(f"WITH {COHORT_CTE} SELECT * FROM prof")
 def topn_by_rate(spark, sf_dir):
     return sampling.profane(repos(spark, sf_dir), 60, CONF)
@@ -218,25 +170,6 @@ def stale_reclaim(spark, sf_dir):
     return lifecycle.reclaim(rows, F.lit(NOW).cast("timestamp_ntz"), "6 HOURS").drop("claimed_at")
 
 
-@query("""SELECT l_orderkey, count(*) AS functions, max(l_quantity)::BIGINT AS max_ccn, (sum(l_quantity::BIGINT) / count(*))::DOUBLE AS avg_ccn, CASE WHEN count(*) >= 2 THEN quantile_cont(l_quantity::DOUBLE, 0.5) END AS ccn_p50,
-CASE WHEN count(*) >= 2 THEN trunc(round(quantile_cont(l_quantity::DOUBLE, 0.9), 6))::BIGINT END AS nloc_p90 FROM lineitem GROUP BY l_orderkey""")
-def function_complexity(spark, sf_dir):
-    q = F.col("l_quantity").cast("double")
-    two = lambda c: F.when(F.count("*") >= 2, c)
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("functions"), F.max("l_quantity").cast("bigint").alias("max_ccn"), (F.sum(F.col("l_quantity").cast("bigint")) / F.count("*")).alias("avg_ccn"),
-        two(F.percentile(q, F.lit(0.5))).alias("ccn_p50"), two(F.round(F.percentile(q, F.lit(0.9)), 6).cast("bigint")).alias("nloc_p90"),
-    )
-
-
-@query("""SELECT l_suppkey, count(*) AS issues, count(*) FILTER (WHERE regexp_matches(p_brand, '^Brand#[12]')) AS bugs, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[12]')) AS style,
-CASE WHEN sum(p_size) > 0 THEN count(*) / (sum(p_size) / 1000.0::DOUBLE) END AS issues_per_kloc FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey""")
-def lint_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    bug = F.col("p_brand").rlike("^Brand#[12]")
-    return rows.groupBy("l_suppkey").agg(F.count("*").alias("issues"), F.count_if(bug).alias("bugs"), F.count_if(~bug).alias("style"), T.per_kloc(F.count("*"), F.sum("p_size")).alias("issues_per_kloc"))
-
-
 @query(r"""WITH c AS (SELECT page_id, html, regexp_extract_all(html, '(?s)<!--.*?-->') AS comments FROM pages)
 SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda x: regexp_replace(x, '[ \t\r\x0B\f]', '', 'g') <> ''))::BIGINT AS loc_total, list_sum(list_transform(comments, lambda x: len(x) - len(replace(x, chr(10), '')) + 1))::BIGINT AS comment_nloc FROM c WHERE len(comments) > 0""")
 def comment_lines(spark, sf_dir):
@@ -253,7 +186,7 @@ def primary_language(spark, sf_dir):
     return tree.primary_language(rows, ["host"])
 
 
-@query("""SELECT c_custkey, n_name AS language, CASE WHEN c_custkey % 11 = 0 THEN 'archived' WHEN c_custkey % 13 = 0 THEN 'disabled' WHEN c_custkey * 1000 > 1024 * 1024 THEN 'too large' END AS skip_reason FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
+@query("""SELECT c_custkey, n_name AS language, CASE WHEN c_custkey % 11 = 0 THEN 'archived' WHEN c_custkey % 13 = 0 THEN 'disabled' WHEN c_custkey * 1000 > 1024 * 1024 THEN 'oversize: ' || (c_custkey * 1000 // 1024) || ' MiB' END AS skip_reason FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def metadata_enrich_skip(spark, sf_dir):
     payload = F.to_json(F.struct(F.col("n_name").alias("language"), (F.col("c_custkey") * 1000).alias("size"), (F.col("c_custkey") % 11 == 0).alias("archived"), (F.col("c_custkey") % 13 == 0).alias("disabled")))
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")  # nation has 25 rows
@@ -291,24 +224,6 @@ def mwu_table(spark, sf_dir):
     return stats.mann_whitney(metric_frame(spark, sf_dir)).select("metric", F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"), "median_1", "median_2", "u", "r_rb")
 
 
-@query()
-def mwu_significance(spark, sf_dir):
-    return stats.mann_whitney(metric_frame(spark, sf_dir)).select("metric", "u", "p", "significant")
-
-
-@query()
-def forest_rows(spark, sf_dir):
-    long = metric_frame(spark, sf_dir)
-    return stats.mann_whitney(long).join(stats.bootstrap_effect(long), "metric").select("metric", "r_rb", "low", "high")
-
-
-@query()
-def median_panel(spark, sf_dir):
-    long = metric_frame(spark, sf_dir, "lang")
-    subset = F.filter(F.array(F.lit("pooled"), "lang"), lambda x: x.isNotNull())
-    return stats.bootstrap_median(long.select(F.explode(subset).alias("subset"), "metric", "cohort", "x"), by=("subset", "metric", "cohort"))
-
-
 REASON_SQL = "CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'git: exit ' || o_custkey WHEN o_orderstatus = 'F' THEN 'timeout' WHEN o_orderstatus = 'P' THEN 'skip: archived' END"
 
 
@@ -321,13 +236,6 @@ def failure_histogram(spark, sf_dir):
 
 
 GLYPHS = [(1, "ok 😀😀 👍🏽"), (2, "👩‍💻 and ❤️"), (3, "🇺🇸 🇫🇷 1️⃣"), (4, ":smile: none"), (5, None)]
-GLYPH_ROWS = [(1, "😀", 2), (1, "👍", 1), (2, "👩‍💻", 1), (2, "❤", 1), (3, "🇺🇸", 1), (3, "🇫🇷", 1), (3, "1⃣", 1)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{g}', {n}::BIGINT)" for i, g, n in GLYPH_ROWS) + ") AS t(id, glyph, n)")
-def emoji_counts(spark, sf_dir):
-    rows = spark.createDataFrame(GLYPHS, "id bigint, text string").unionByName(table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("id"), "text"))
-    return rows.select("id", F.explode(T.emoji(F.col("text"))).alias("glyph")).groupBy("id", "glyph").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS clicks, CASE WHEN bool_or(event_id % 2 = 0) THEN min(event_id) FILTER (WHERE event_id % 2 = 0) ELSE min(event_id) END AS first_event FROM events GROUP BY user_id""")
@@ -351,13 +259,35 @@ def backfill_missing(spark, sf_dir):
     return lifecycle.backfill(rows, table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("bigint").alias("eslint_errors")), "p_partkey", ["eslint_errors"])
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d-%H') AS file_id, event_type, count(*) AS n FROM events GROUP BY ALL")
-def stream_ingest_equiv(spark, sf_dir):
-    return ingest.event_stream_counts(spark, sf_dir)
+#: Texts of the documents are given emoji by their ids, so that the grammar has work in every part of the table.
+PLANTED = ["😀😀 ok", "👍🏽", "👩‍💻 and ❤️", "🇺🇸🇫🇷", "1️⃣ :smile:", "™ ©", "👨‍👩‍👧 x", "plain"]
+PLANTED_SQL = f"coalesce(text, '') || ' ' || (['" + "', '".join(PLANTED) + f"'])[1 + doc_id % {len(PLANTED)}]"
+
+
+_GLYPHS = ", ".join(f"({i}, " + ("NULL" if t is None else f"'{t}'") + ")" for i, t in GLYPHS)
 
 
-@query(f"""WITH {COHORT_CTE}, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE hits > 0) AS h FROM rated)
-SELECT * FROM (SELECT 'enough repos' AS "check", n >= 100 AS ok, n::BIGINT AS detail FROM a UNION ALL SELECT 'a lexicon hit', h >= 1, h::BIGINT FROM a UNION ALL SELECT 'an emoji hit', false, 0 UNION ALL SELECT 'enough done', false, 0 UNION ALL SELECT 'done rows have lines', true, 0 UNION ALL SELECT 'live rows have a cohort', true, 0)""")
+@query(f"""WITH l(id, text) AS (VALUES {_GLYPHS}),
+u AS (SELECT id::BIGINT AS id, text FROM l UNION ALL SELECT -doc_id - 1, {PLANTED_SQL} FROM documents),
+g AS (SELECT id, unnest({emoji_sql("coalesce(text, '')")}) AS glyph FROM u) SELECT id, glyph, count(*) AS n FROM g GROUP BY id, glyph""")
+def emoji_counts(spark, sf_dir):
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    planted = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    rows = spark.createDataFrame(GLYPHS, "id bigint, text string").unionByName(docs.select((-F.col("doc_id") - 1).alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), planted).alias("text")))
+    return rows.select("id", F.explode(T.emoji(F.col("text"))).alias("glyph")).groupBy("id", "glyph").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {COHORT_CTE}, promoted AS (SELECT r.id, r.commits, r.hits, CASE WHEN p.id IS NOT NULL OR c.id IS NOT NULL THEN CASE WHEN r.id % 2 = 0 THEN 'done' ELSE 'pending' END ELSE 'skipped' END AS status,
+CASE WHEN p.id IS NOT NULL THEN 'profane' WHEN c.id IS NOT NULL THEN 'clean' END AS cohort, r.commits % 3 AS emoji_hits, CASE WHEN r.id % 7 <> 0 THEN r.commits * 10 END AS loc_total FROM rated r LEFT JOIN prof p ON p.id = r.id LEFT JOIN clean c ON c.id = r.id),
+a AS (SELECT count(*) AS n, count(*) FILTER (WHERE hits > 0) AS h, count(*) FILTER (WHERE emoji_hits > 0) AS e, count(*) FILTER (WHERE status = 'done') AS d, count(*) FILTER (WHERE status = 'done' AND coalesce(loc_total, 0) <= 0) AS l,
+count(*) FILTER (WHERE status IN ('pending', 'claimed', 'done', 'failed') AND coalesce(cohort NOT IN ('profane', 'clean'), true)) AS c FROM promoted)
+SELECT * FROM (SELECT 'enough repos' AS "check", n >= 100 AS ok, n AS detail FROM a UNION ALL SELECT 'a lexicon hit', h >= 1, h FROM a UNION ALL SELECT 'an emoji hit', e >= 1, e FROM a UNION ALL SELECT 'enough done', d >= 3, d FROM a
+UNION ALL SELECT 'done rows have lines', l = 0, l FROM a UNION ALL SELECT 'live rows have a cohort', c = 0, c FROM a)""")
 def dq_checks(spark, sf_dir):
-    rows = cohort_promote(spark, sf_dir).withColumn("emoji_hits", F.lit(0)).withColumn("loc_total", F.lit(None).cast("bigint"))
+    reports.database_guard("siltstone_test")
+    rows = cohort_promote(spark, sf_dir).withColumn("status", F.when((F.col("status") == "pending") & (F.col("id") % 2 == 0), "done").otherwise(F.col("status")))
+    rows = rows.withColumn("emoji_hits", F.col("commits") % 3).withColumn("loc_total", F.when(F.col("id") % 7 != 0, F.col("commits") * 10))
     return reports.checks(rows)
+
+
+from siltstone.plans import code_queries, ingest_queries, study_queries  # noqa: E402, F401  they add their queries to the register

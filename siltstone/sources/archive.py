@@ -32,11 +32,28 @@ def parse_file_id(value: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(value, r"-(\d)$", "-0$1"), F.lit("yyyy-MM-dd-HH"))
 
 
+BASE_URL = "https://data.gharchive.org"  # fixed value
+
+
+def url_for(file_id: Column, base: str = BASE_URL) -> Column:
+    """Where an hourly file is fetched from."""
+    return F.concat(F.lit(f"{base}/"), url_hour(parse_file_id(file_id)), F.lit(".json.gz"))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """(file_id, file_bytes, block, value) from a text source of NDJSON files; the id is the last YYYY-MM-DD-H[H] of the path."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"^.*(?<!\d)(\d{4}-\d{2}-\d{2}-\d{1,2})", 1)
+    return rows.select(F.regexp_replace(name, r"-(\d)$", "-0$1").alias("file_id"), F.col("_metadata.file_size").alias("file_bytes"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Add line_no, which orders the lines of a file: by the part of the file that a task reads, then as they come."""
+    return lines.withColumn("line_no", F.col("block") * (1 << 20) + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop("block")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, line_no, value) of gzipped or plain NDJSON files; the id is the name's YYYY-MM-DD-H[H]."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2}-\d{1,2})", 1)
-    lines = spark.read.text(path).select(F.regexp_replace(name, r"-(\d)$", "-0$1").alias("file_id"), F.monotonically_increasing_id().alias("line_no"), "value")
-    return lines
+    """(file_id, file_bytes, value, line_no) of gzipped or plain NDJSON files. A gzipped file is read by one task."""
+    return numbered(lines_of(spark.read.text(path)))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -68,7 +85,8 @@ def commits(parsed: DataFrame, now: datetime, lexicon: dict[str, list[str]], sam
 
 
 def ledger(parsed: DataFrame, scored: DataFrame) -> DataFrame:
-    """Per file: rows, push_events (by people), bots_filtered, commits_observed."""
-    lines = parsed.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("is_push") & ~F.col("is_bot")).alias("push_events"), F.count_if("is_bot").alias("bots_filtered"))
+    """Per file: bytes (as stored, null where the source does not say), rows, push_events (by people), bots_filtered, commits_observed."""
+    size = F.max("file_bytes") if "file_bytes" in parsed.columns else F.lit(None).cast("bigint")
+    lines = parsed.groupBy("file_id").agg(size.alias("bytes"), F.count("*").alias("rows"), F.count_if(F.col("is_push") & ~F.col("is_bot")).alias("push_events"), F.count_if("is_bot").alias("bots_filtered"))
     seen = scored.groupBy("file_id").agg(F.count("*").alias("commits_observed"))
     return lines.join(seen, "file_id", "left").withColumn("commits_observed", F.coalesce("commits_observed", F.lit(0).cast("bigint")))

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """(lang, word): trimmed, lower-cased, distinct; blank and # lines and .md files are left out."""
-    name = F.col("_metadata.file_name")
-    rows = spark.read.text(path).select(name.alias("name"), F.lower(F.trim("value")).alias("word"))
+def parsed(lines: DataFrame) -> DataFrame:
+    """(lang, word) from (name of the file, value): trimmed, lower-cased, distinct; blank and # lines and .md files are left out."""
+    rows = lines.select("name", F.lower(F.trim("value")).alias("word"))
     rows = rows.filter(~F.col("name").endswith(".md") & (F.col("word") != "") & ~F.col("word").startswith("#"))
     return rows.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("lang"), "word").distinct()
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
 def as_map(lexicon: DataFrame) -> dict[str, list[str]]:
     """For the driver: a lexicon is a parameter of a few thousand words."""
     out: dict[str, list[str]] = {}

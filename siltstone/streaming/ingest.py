@@ -1,48 +1,77 @@
 """Incremental ingest: each batch of archive files becomes partial rows keyed by file, and repositories are merged from them.
 
 A replayed batch overwrites its own files' partitions, so nothing is counted twice, and a late file is one more partition:
-there is no watermark and nothing is dropped.
+there is no watermark and nothing is dropped. finalize is the batch job that runs once the stream has ended.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import rollup
 from siltstone.sources import archive
 
 
+def flush(frame: DataFrame, path: str) -> int:
+    """Overwrite the partitions (file_id) of the files that frame holds; the rows written, counted on the way."""
+    seen = Observation()
+    frame.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
+    return seen.get["rows"]
+
+
+def land(lines: DataFrame, out: str, lexicon: dict[str, list[str]], now: datetime) -> dict[str, int]:
+    """Partials, counters and ledger rows of the files in lines; rows written for each table."""
+    parsed = archive.parse_lines(lines)
+    scored = archive.commits(parsed, now, lexicon)
+    tables = {"partials": rollup.partials(scored), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
+    return {name: flush(frame, f"{out}/{name}") for name, frame in tables.items()}
+
+
 def start(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, files_per_batch: int = 8):
-    """Process what is new below source and stop; call again for more."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2}-\d{1,2})", 1)
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source).select(F.regexp_replace(name, r"-(\d)$", "-0$1").alias("file_id"), "value")
+    """Process what is new below source and stop; call again for more. files_per_batch bounds what is in flight."""
+    lines = archive.lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = archive.parse_lines(batch.withColumn("line_no", F.monotonically_increasing_id()))
-        scored = archive.commits(parsed, now, lexicon)
-        for frame, table in ((rollup.partials(scored), "partials"), (archive.ledger(parsed, scored), "ledger")):
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{out}/{table}")
+        land(archive.numbered(batch), out, lexicon, now)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_one_file(spark: SparkSession, path: str, out: str, lexicon: dict[str, list[str]], now: datetime) -> dict[str, int]:
+    """Process one file outside the stream, again if need be."""
+    return land(archive.read_lines(spark, path), out, lexicon, now)
+
+
+def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{out}/{name}").withColumn("file_id", F.col("file_id").cast("string"))
+
+
 def repositories(spark: SparkSession, out: str) -> DataFrame:
-    return rollup.merge(spark.read.parquet(f"{out}/partials").withColumn("file_id", F.col("file_id").cast("string")))
-
-
-def event_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events read as a file stream and counted by hour and type through one availableNow run; the stateful form of the ledger."""
-    import tempfile
-    import uuid
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    name = f"event_counts_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counts = stream.groupBy(archive.file_id(F.col("ts")).alias("file_id"), "event_type").agg(F.count("*").alias("n"))
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Repositories as all files so far make them, maps whole."""
+    return rollup.with_maps(rollup.merge(_table(spark, out, "partials")), rollup.merged_maps(_table(spark, out, "counters")))
+
+
+def ledger(spark: SparkSession, out: str) -> DataFrame:
+    """The file ledger with what each file did to the repositories."""
+    effects = rollup.file_effects(_table(spark, out, "partials"))
+    zero = F.lit(0).cast("bigint")
+    return _table(spark, out, "ledger").join(effects, "file_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("upserted", "modified")})
+
+
+def finalize(spark: SparkSession, out: str, top: int = 20) -> DataFrame:
+    """After the last file: rates, and maps cut to their largest counters."""
+    return rollup.finalize(repositories(spark, out), top)
+
+
+def run(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, timeout: float | None = None, **options) -> DataFrame | None:
+    """Drain source, then finalize. Past timeout (seconds) the stream is stopped, what it has landed stays, and nothing is finalized."""
+    query = start(spark, source, out, checkpoint, lexicon, now, **options)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        return None
+    return finalize(spark, out, options.get("top", 20))

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siltstone.plans import catalog
+from siltstone.plans import catalog, study_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,7 +40,7 @@ def test_query(spark, con, name):
 
 def test_bootstrap_queries_do_all_resamples_and_subsets(spark):
     long = catalog.metric_frame(spark, SF, "lang").toPandas()
-    panel = {(r["subset"], r["metric"], r["cohort"]): tuple(math.nan if r[c] is None else r[c] for c in ("median", "low", "high")) for r in catalog.median_panel(spark, SF).collect()}
+    panel = {(r["subset"], r["metric"], r["cohort"]): tuple(math.nan if r[c] is None else r[c] for c in ("median", "low", "high")) for r in study_queries.median_panel(spark, SF).collect()}
     want = {}
     for subset in ["pooled", *long.lang.dropna().unique()]:
         for (metric, cohort), g in long[(long.lang == subset) | (subset == "pooled")].groupby(["metric", "cohort"]):
@@ -49,7 +49,7 @@ def test_bootstrap_queries_do_all_resamples_and_subsets(spark):
             want[subset, metric, cohort] = (np.median(x), *np.quantile(got, [0.025, 0.975])) if len(x) >= 5 else (math.nan,) * 3
     assert len({k[0] for k in want}) > 2 and set(panel) == set(want)
     assert all(np.allclose(panel[k], want[k], equal_nan=True) for k in want)
-    for r in catalog.forest_rows(spark, SF).collect():
+    for r in study_queries.forest_rows(spark, SF).collect():
         g = long[long.metric == r["metric"]].sort_values(["cohort", "x"])
         a, b = (g.x[g.cohort == c].to_numpy() for c in ("clean", "profane"))
         rng, out = np.random.default_rng(42), []
