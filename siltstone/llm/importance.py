@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHES, drop_caches, each_row, staged, with_rank
+from siltstone.llm.common import CACHES, drop_caches, each_row, staged, with_rank, without
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -95,14 +95,8 @@ def gumbel(doc_id: F.Column, seed: int) -> F.Column:
     return -F.log(-F.log(u))
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, slack: float = 0.01, sample_limit: int = 20_000, smoothing: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row per row of docs: doc_id, n_grams, log_weight, score (with Gumbel noise), kept (among the top k).
-
-    k is share of all rows; by default the share of good rows among the labelled, and slack more, so that clean documents
-    are not crowded out by noise at the edge. Ties are broken by id, then n_grams; null ids come last. A null or empty
-    text has weight 0. Repeated ids get the same noise; of equal rows at the edge any one is taken. Without labels all
-    rows stay; an empty table gives no rows. Other columns are ignored.
-    """
+def _ranked(docs: DataFrame, labels: DataFrame, share: float | None = None, slack: float = 0.01, sample_limit: int = 20_000, smoothing: float = 1.0, seed: int = 7) -> DataFrame:
+    """importance_resample's rows, with th, the hash of the text."""
     raw, aim, good = model_counts(docs, labels, sample_limit)
     if aim.sum() == 0:
         aim, good = raw, 1.0
@@ -112,17 +106,34 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     def run(batches):
         _drop_others()
         for b in batches:
-            found = [(len(x), float(shared.value[x].sum())) for x in (buckets_of(t) for _, t in each_row(b))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], ["doc_id", "n_grams", "log_weight"])
+            found = [(len(x), float(shared.value[x].sum())) for x in (buckets_of(t) for _, t, _ in each_row(b))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], ["doc_id", "th", "n_grams", "log_weight"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_grams bigint, log_weight double")
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, n_grams bigint, log_weight double")
     scored = staged(scored.withColumn("score", F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1)), seed)), "importance")
     k = math.ceil(min(1.0, share if share is not None else good + slack) * scored.count())
     ranked = with_rank(scored, [], [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_grams")], "rank", "importance-rank")
-    return ranked.select("doc_id", "n_grams", "log_weight", "score", (F.col("rank") < k).alias("kept"))
+    return ranked.select("doc_id", "th", "n_grams", "log_weight", "score", (F.col("rank") < k).alias("kept"))
+
+
+def importance_resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, n_grams, log_weight, score (with Gumbel noise), kept (among the top k).
+
+    Options: share, slack, sample_limit, smoothing, seed. k is share of all rows; by default the share of good rows among
+    the labelled, and slack more, so that clean documents are not crowded out by noise at the edge. The target's model
+    takes at most sample_limit good rows; the raw one all rows. Ties are broken by id, then n_grams; null ids come last. A
+    null or empty text has weight 0. Repeated ids get the same noise; of equal rows at the edge any one is taken. Without
+    labels all rows stay; an empty table gives no rows. Other columns are ignored. Very long texts are counted whole.
+    """
+    return _ranked(docs, labels, **options).drop("th")
 
 
 def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, with their own columns (a repeated id stays if any of its rows does)."""
-    kept = importance_resample(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs that stay, with their own columns; rows of equal id and text stay if any of them does.
+
+    Nulls, ties and missing labels count as in importance_resample; an empty table stays empty. Only rows that may have to
+    go are shuffled.
+    """
+    rows = _ranked(docs, labels, **options)
+    gone = rows.groupBy("doc_id", "th").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id", "th")
+    return without(docs, gone, "importance")

@@ -4,9 +4,9 @@ DataFrame functions only. A block is a line of the text; it matches a template w
 template's distinct words. A notice wrapped over lines is found by windows of as many consecutive words as the template
 has, looked at only in texts that hold enough of its words in all; a window is a block of its own when it holds more of
 them than every line it touches. Tokens are put in global order, rarest first, by their counts over the blocks of all
-documents. A block that reaches the threshold must share one of the first |T| - need + 1 tokens of the template (prefix
-filter), have at least need distinct words (length filter), and its first shared token must leave enough of the
-template behind it (positional filter); what passes is verified exactly.
+documents. A block reaches the threshold only if it has need distinct words of the templates' (length filter), and the
+first word in that order that it shares with a template is among the template's first |T| - need + 1 (prefix filter) and
+leaves need words, itself included, in the block (positional filter); what passes is verified exactly.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
 
     score is the best containment of a matching block, 1 with a base phrase, else 0; blocks lists (block, label, containment)
-    of every match; a wrapped notice has the number of its first line, and the best windows that do not overlap are given. Null and empty texts have no words and no labels; null or repeated ids and equal rows are each
-    answered by themselves (rows are told apart by a key given when they are staged); other columns are ignored; an
-    empty table gives no rows. Blocks of one document never meet in one task except as that document's own matches.
+    of every match; a wrapped notice has the number of its first line, and the best windows that do not overlap are given.
+    Null and empty texts have no words and no labels; null or repeated ids and equal rows are each answered by themselves
+    (rows are told apart by a key given when they are staged); of windows that tie, the first counts. Other columns are
+    ignored; an empty table gives no rows. A very long text is one row until its blocks are exploded. Blocks of one
+    document never meet in one task except as that document's own matches.
     """
     sets = {label: list(dict.fromkeys(words_of(t))) for label, t in templates.items()}
     sets = {label: t for label, t in sets.items() if t}
@@ -76,8 +78,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     base = F.filter(F.array(*[F.when(F.size(at) > 0, F.lit(label)) for at, label in zip(found, BASE_PHRASES.values())]), lambda x: x.isNotNull())
 
     def block(text: F.Column, i: F.Column) -> F.Column:
-        w = F.split(text, " +")
-        return F.struct(i.cast("bigint").alias("block"), F.size(w).alias("n"), F.array_intersect(w, vocab).alias("toks"))
+        return F.struct(i.cast("bigint").alias("block"), F.array_intersect(F.split(text, " +"), vocab).alias("toks"))
 
     blocks = F.filter(F.transform(F.split("__plain", "\n"), block), lambda b: F.size(b["toks"]) > 0)
     held = F.array_distinct(F.flatten(F.transform(blocks, lambda b: b["toks"])))
@@ -96,12 +97,17 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     each = kept.select("__rid", F.explode("__blocks").alias("b")).select("__rid", "b.*")
     counts = dict(each.select(F.explode("toks").alias("tok")).groupBy("tok").count().collect())  # at most one row per template word
 
-    order = {label: sorted(t, key=lambda w: (counts.get(w, 0), w)) for label, t in sets.items()}
-    prefixes = [(w, label, p, len(t), need[label], t) for label, t in order.items() for p, w in enumerate(t[: len(t) - need[label] + 1])]
+    rank = {w: i for i, w in enumerate(sorted({w for t in sets.values() for w in t}, key=lambda w: (counts.get(w, 0), w)))}
+    prefixes = [(w, label, len(t), need[label], t) for label, t in sets.items() for w in sorted(t, key=rank.get)[: len(t) - need[label] + 1]]
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(prefixes, "tok string, label string, p int, size int, need int, words array<string>"))
-    hits = each.select("__rid", "block", "n", "toks", F.explode("toks").alias("tok")).join(table, "tok")
-    hits = hits.filter((F.col("n") >= F.col("need")) & (F.col("size") - F.col("p") >= F.col("need")))
+    table = F.broadcast(spark.createDataFrame(prefixes, "tok string, label string, size int, need int, words array<string>"))
+    places = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]) if rank else F.create_map().cast("map<string,int>")
+    in_order = F.array_sort(F.transform("toks", lambda w: F.struct(F.try_element_at(places, w).alias("rank"), w.alias("tok"))))
+    least = min(need.values(), default=1)
+    # A block's own prefix: past it, fewer distinct words are left than the least that any template needs.
+    first = F.slice(in_order, 1, F.greatest(F.size("toks") - least + 1, F.lit(0)))
+    hits = each.filter(F.size("toks") >= least).select("__rid", "block", "toks", F.posexplode(first).alias("pos", "at")).select("__rid", "block", "toks", "pos", "at.tok").join(table, "tok")
+    hits = hits.filter(F.size("toks") - F.col("pos") >= F.col("need"))
     shared = F.size(F.array_intersect("toks", "words"))
     hits = hits.filter(shared >= F.col("need")).select("__rid", F.struct("block", "label", (shared / F.col("size")).alias("containment")).alias("m"))
     per_doc = hits.unionByName(wrapped(kept, sets, need, width)).groupBy("__rid").agg(F.array_sort(F.collect_set("m")).alias("blocks"))

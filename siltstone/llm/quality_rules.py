@@ -7,6 +7,7 @@ masked bit patterns alone, so a new policy or a what-if never reads a text again
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import each_row, staged
 
 SYMBOLS = "#*$%&|<>"
+UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+BEYOND = re.compile("[^\x00-\x7f]")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_cased")
 
 #: Rule name -> SQL over the measurements, true where the document fails. The position is the rule's bit; append only.
@@ -53,20 +56,22 @@ def measure(text: str | None) -> tuple[int, ...]:
             if found[w] > 1:
                 repeated += i + 3 - max(i, upto)
                 upto = i + 3
-    lower, upper = text.lower(), text.upper()
-    n_upper = n_cased = 0
-    if lower != text:
-        n_upper = sum(a != b for a, b in zip(text, lower)) if len(lower) == len(text) else sum(c.isupper() for c in text)
-    if len(upper) == len(text) and lower != text:
-        n_cased = n_upper + sum(a != b for a, b in zip(text, upper))
-    return n, len(text) - gaps, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), n_upper, n_cased
+    data = text.encode("utf-8", "surrogatepass")
+    n_upper = len(data) - len(data.translate(None, UPPER))
+    n_lower = len(data) - len(data.translate(None, LOWER))
+    if len(data) > len(text):
+        beyond = Counter(BEYOND.findall(text))
+        n_upper += sum(k for c, k in beyond.items() if c.isupper())
+        n_lower += sum(k for c, k in beyond.items() if c.islower())
+    return n, len(text) - gaps, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), n_upper, n_upper + n_lower
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, the measurements, and fail_bits (bit i: rule i of RULES fails).
 
     A null text has no words; it fails only too_few_words. Null or repeated ids and rows are carried as they are, other
-    columns are ignored, an empty table gives an empty ledger. Written once below spark.checkpoint.dir and read from there. No shuffle; a text is held alone, whatever its length.
+    columns are ignored, an empty table gives an empty ledger. Written once below spark.checkpoint.dir and read from there.
+    No shuffle; a text is held alone, whatever its length.
     """
 
     def run(batches):

@@ -19,8 +19,8 @@ from siltstone.llm.common import drop_caches, each_row, staged
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SAMPLE = 20_000  #: fingerprints that shape the tree
 SHARD_BASE = 512  #: shards grow as the square root of the fingerprints over this, which balances visits against comparisons
-MOST_SHARDS = 1024
-BLOCK = 65_536  #: homes of a shard beyond which it is dealt out in blocks
+BLOCK = 65_536  #: points of a shard beyond which it is compared in pairs of blocks
+BRUTE = 1 << 20  #: comparisons below which a local tree does not branch any more
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -101,13 +101,31 @@ class Tree:
         return i[keep], shard[keep], home[keep].astype(bool)
 
 
-def local_stars(home: np.ndarray, guests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between homes and all points, as (point, smallest point of its local group) for points with a link."""
-    points = np.unique(np.concatenate([home, guests]))
-    vantage = home[0]
-    ring = np.bitwise_count(points ^ vantage).astype(np.int64)
-    order = np.argsort(ring, kind="stable")
-    sorted_points, sorted_ring = points[order], ring[order]
+def near_pairs(points: np.ndarray, mine: np.ndarray, others: np.ndarray, depth: int = 4):
+    """(i, those of others within RADIUS of it) for i of mine, places in points: a local vantage-point tree. A node takes a
+    vantage point and branches by the distance to it; a ring's pairs lie in the rings that the triangle bounds leave."""
+    if not len(mine) or not len(others):
+        return
+    if depth and len(mine) * len(others) > BRUTE:
+        vantage = points[mine[len(mine) // 2]]
+        d, e = np.bitwise_count(points[mine] ^ vantage), np.bitwise_count(points[others] ^ vantage)
+        order = np.argsort(e, kind="stable")
+        e = e[order].astype(np.int64)
+        for r in np.unique(d).tolist():
+            lo, hi = np.searchsorted(e, [r - RADIUS, r + RADIUS + 1])
+            yield from near_pairs(points, mine[d == r], others[order[lo:hi]], depth - 1)
+        return
+    step = max(1, (1 << 22) // len(others))
+    for k in range(0, len(mine), step):
+        part = mine[k : k + step]
+        close = np.bitwise_count(points[part][:, None] ^ points[others][None, :]) <= RADIUS
+        for j in np.flatnonzero(close.any(1)):
+            yield part[j], others[close[j]]
+
+
+def local_stars(home: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between homes and others, as (point, smallest point of its local group) for points with a link."""
+    points = np.unique(np.concatenate([home, others]))
     parent = np.arange(len(points))
 
     def roots(x: np.ndarray) -> np.ndarray:
@@ -118,19 +136,9 @@ def local_stars(home: np.ndarray, guests: np.ndarray) -> tuple[np.ndarray, np.nd
             parent[x] = parent[y]
             x = y
 
-    home_at = np.searchsorted(points, np.unique(home))
-    home_ring = ring[home_at]
-    for r in np.unique(home_ring):
-        lo, hi = np.searchsorted(sorted_ring, [r - RADIUS, r + RADIUS + 1])
-        near, near_at = sorted_points[lo:hi], order[lo:hi]
-        mine = home_at[home_ring == r]
-        step = max(1, (1 << 22) // max(1, len(near)))
-        for k in range(0, len(mine), step):
-            part = mine[k : k + step]
-            close = np.bitwise_count(points[part][:, None] ^ near[None, :]) <= RADIUS
-            for j in np.flatnonzero(close.sum(1) > 1):
-                found = np.unique(roots(near_at[close[j]]))
-                parent[found] = found[0]
+    for i, near in near_pairs(points, np.searchsorted(points, np.unique(home)), np.searchsorted(points, np.unique(others))):
+        found = np.unique(roots(np.append(near, i)))
+        parent[found] = found[0]
     root = roots(np.arange(len(points)))
     linked = np.flatnonzero(root != np.arange(len(points)))
     return points[linked], points[root[linked]]
@@ -146,8 +154,10 @@ def star_edges(fps: DataFrame) -> DataFrame:
     n = fps.count()
     if not n:
         return spark.createDataFrame([], "a bigint, b bigint")
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(1, min(MOST_SHARDS, int((n / SHARD_BASE) ** 0.5)))))
+    shards = max(1, int((n / SHARD_BASE) ** 0.5))
+    most = max(SAMPLE, 32 * shards)  # grows as the square root of the fingerprints
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(most).collect()], dtype=np.int64).view(np.uint64)
+    tree = spark.sparkContext.broadcast(Tree(sample, shards))
 
     def route(batches):
         for b in batches:
@@ -155,15 +165,17 @@ def star_edges(fps: DataFrame) -> DataFrame:
             i, shard, home = tree.value.route(fp.astype(np.int64).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(shard.astype(np.int32)), pa.array(home)], ["fp", "shard", "home"])
 
-    routed = fps.select("fp").mapInArrow(route, "fp bigint, shard int, home boolean")
-    held = fps.select("fp").mapInArrow(route, "fp bigint, shard int, home boolean").filter("home").groupBy("shard").count().collect()  # at most MOST_SHARDS rows
+    routed = staged(fps.select("fp").mapInArrow(route, "fp bigint, shard int, home boolean"), "routed")
+    held = routed.groupBy("shard").count().collect()  # a row for each shard
     blocks = {s: -(-c // BLOCK) for s, c in held if c > BLOCK}
     n_blocks = F.lit(1)
     for s, c in blocks.items():
         n_blocks = F.when(F.col("shard") == s, c).otherwise(n_blocks)
-    spread = routed.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
-    # A block holds its share of the shard's homes and sees every point of the shard: stated queries against it, in bounded blocks.
-    units = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("fp", "shard", F.col("block").cast("int").alias("block"), (F.col("home") & (F.col("own") == F.col("block"))).alias("home"))
+    spread = routed.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    # A shard of n blocks is compared as n * n pairs of them: homes of one with all points of the other.
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    asked = spread.filter("home").select("fp", "shard", F.col("own").alias("i"), every).select("fp", "shard", "i", F.col("other").alias("j"), F.lit(True).alias("home"))
+    met = spread.select("fp", "shard", F.col("own").alias("j"), every).select("fp", "shard", F.col("other").alias("i"), "j", F.lit(False).alias("home"))
 
     def links(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
@@ -171,7 +183,7 @@ def star_edges(fps: DataFrame) -> DataFrame:
         a, b = local_stars(fp[home], fp[~home]) if home.any() else (fp[:0], fp[:0])
         return pa.table({"a": _signed(a), "b": _signed(b)})
 
-    return units.groupBy("shard", "block").applyInArrow(links, "a bigint, b bigint").distinct()
+    return asked.unionByName(met).groupBy("shard", "i", "j").applyInArrow(links, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

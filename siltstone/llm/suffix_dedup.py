@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import drop_caches, each_row, staged, tasks_for, trim_memory
+from siltstone.llm.common import BitFilter, drop_caches, each_row, staged, tasks_for, trim_memory
 
 SPAN, K = 50, 16
 REACH = SPAN - K  #: bytes of an anchor's windows before it
@@ -25,6 +25,7 @@ WIDTH = REACH + SPAN  #: bytes of text that an anchor's windows can cover
 ROW = 88  #: WIDTH, first and last window, zeros up to whole 8-byte words
 GROUP = 4 << 20  #: bytes of text whose anchors a sender compares and packs together
 PART = 1 << 19  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
+MOST_SPLITTERS = 1 << 17  #: beyond, ranges are cut by a hash of the bytes after the leading ones
 SUB = 4  #: buckets that travel and arrive together, packed, and are unpacked one at a time
 NO_ID = (1 << 63) - 1  #: a null id: larger than every other
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
@@ -193,10 +194,13 @@ def _ranges(which: np.ndarray, start: np.ndarray, end: np.ndarray):
         yield int(which[a]), np.stack([s, e], 1).astype("<i8").tobytes()
 
 
-def bucket_of(rows: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+def bucket_of(rows: np.ndarray, splitters: np.ndarray, parts: int = 1) -> np.ndarray:
+    """The bucket of each anchor: the range of its leading bytes, cut into parts by the bytes after them. A splitter that
+    repeats is spread over its ranges in the same way, so equal anchors share a bucket."""
     gram = np.ascontiguousarray(rows[:, REACH : REACH + K]).view(">u8").astype(np.uint64)
     low, high = np.searchsorted(splitters, gram[:, 0], "left"), np.searchsorted(splitters, gram[:, 0], "right")
-    return low + (_mix(gram[:, 1]) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+    width = ((high - low + 1) * parts).astype(np.uint64)
+    return low * parts + (_mix(gram[:, 1]) % width).astype(np.int64)
 
 
 def _pack(rows: np.ndarray, doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> bytes:
@@ -226,7 +230,7 @@ def _segments(doc: int, tag: int, text: bytes):
 
 
 def sample_splitters(docs: DataFrame, buckets: int, limit: int = 2000) -> np.ndarray:
-    """Quantiles of the leading 8 bytes of anchors in at most limit documents, chosen by a hash of the id."""
+    """Quantiles of the leading 8 bytes of anchors in about 2 * limit documents, chosen by a hash of the id; for balance only."""
     def run(batches):
         for b in batches:
             out = []
@@ -253,7 +257,9 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = tasks_for(spark, total, SUB * GROUP)
-    splitters = spark.sparkContext.broadcast(sample_splitters(docs, n * SUB))
+    parts = -(-n * SUB // MOST_SPLITTERS)  # so that what is broadcast has a bound
+    n = -(-n // parts) * parts
+    splitters = spark.sparkContext.broadcast(sample_splitters(docs, n * SUB // parts))
 
     def send(batches):
         drop_caches()
@@ -297,7 +303,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
         for p, blob in _ranges(which[k], first[k], last[k] + SPAN):
             local.setdefault(group[p][:2], []).append(blob)
         k = order[~known]
-        bucket = bucket_of(rows[k], splitters.value) // SUB
+        bucket = bucket_of(rows[k], splitters.value, parts) // SUB
         by = np.lexsort((first[k], which[k], bucket))
         k, bucket = k[by], bucket[by]
         out = [(-1, None, d, t, b"".join(x)) for (d, t), x in local.items()]
@@ -333,7 +339,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             part = []
             for body, size in bodies:
                 rows, refs = _unpack(pa.Codec("zstd").decompress(body, decompressed_size=size, asbytes=True))
-                mine = bucket_of(rows, splitters.value) % SUB == sub
+                mine = bucket_of(rows, splitters.value, parts) % SUB == sub
                 part.append((rows[mine], refs[mine]))
             rows, refs = (np.concatenate(x) for x in zip(*part))
             part.clear()
@@ -394,37 +400,12 @@ def _kept(text: str | None, blobs: list[bytes] | None) -> tuple[bytes, bytes, np
     return data, b"".join([*out, data[at:]]), s, e
 
 
-FILTER_WORDS = 1 << 18  #: 64-bit words of the filter of affected documents: 2 MB, whatever the corpus
-
-
-def affected_filter(found: DataFrame, words: int = FILTER_WORDS):
-    """A function that adds __may to keyed documents: false only for those that lose nothing. A hashed bit set of fixed
-    size, so a larger corpus lets more pass than it must; what passes still meets its ranges in the join."""
-    bit = lambda spot: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(spot, F.lit(64)).cast("int"))
-    word = lambda spot: F.floor(spot / 64).cast("int")
-    spot = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(64 * words))
-    bits = staged(found.select(spot.alias("spot")).groupBy(word(F.col("spot")).alias("__w")).agg(F.bit_or(bit(F.col("spot"))).alias("__b")), "affected")
-
-    def mark(docs: DataFrame) -> DataFrame:
-        at = docs.withColumn("__spot", F.pmod(F.xxhash64("__key", "__th"), F.lit(64 * words)))
-        hit = at.join(F.broadcast(bits), word(F.col("__spot")) == F.col("__w"), "left")  # at most words rows
-        return hit.withColumn("__may", F.coalesce(F.col("__b").bitwiseAND(bit(F.col("__spot"))) != 0, F.lit(False))).drop("__spot", "__w", "__b")
-
-    return mark
-
-
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, object]:
-    """docs with a key and a tag, their ranges, and the test of who may have some."""
-    found = removed_ranges(docs).groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("__ranges"))
-    found = staged(found, "removed-ranges")
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
-    return keyed, found.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__ranges"), affected_filter(found)
-
-
 def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that may lose bytes, with their ranges or none; the rest). Only the texts of the first are shuffled."""
-    keyed, found, may = _keyed(docs)
-    flagged = may(keyed)
+    found = removed_ranges(docs).groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("__ranges"))
+    found = staged(found, "removed-ranges").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), "__ranges")
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))).withColumn("__th", F.xxhash64("text"))
+    flagged = BitFilter(found.select(F.xxhash64("__doc", "__tag")), "affected").mark(keyed, F.xxhash64("__key", "__th"), "__may")
     some = flagged.filter("__may").join(found, (F.col("__key") == F.col("__doc")) & (F.col("__th") == F.col("__tag")), "left")
     return some, flagged.filter("NOT __may")
 
@@ -456,7 +437,11 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the removed bytes gone from text (n_chars follows, where there is one); a text that loses nothing is left as it is."""
+    """docs with the removed bytes gone from text (n_chars follows, where there is one); a text that loses nothing is left as it is.
+
+    Judged as by suffix_dedup, null and repeated ids as there: a null text stays null, an empty one empty, an empty table
+    empty. A character that a removed run cuts goes with it. Very long texts are worked on in overlapping parts.
+    """
 
     @F.pandas_udf("string")
     def cut(text, ranges):

@@ -21,7 +21,7 @@ from siltstone.llm.common import CACHES
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MEMORY = 600_000  #: words and pre-tokens kept per worker
+MEMORY = 1_000_000  #: words and pre-tokens kept per worker
 LONG = 64  #: characters beyond which a word is not kept
 FEW = 50  #: new words below which each is encoded on its own
 RUN = 500  #: new words encoded as one text
@@ -72,14 +72,15 @@ class Encoder:
     def _look_up(self, found: list[list[str]], memory: dict[str, bytes], learn) -> list[list[bytes]]:
         """The ids of each word of each list; learn(words) gives those of words that memory lacks, which keeps the short ones."""
         out = [list(map(memory.get, words)) for words in found]
-        gaps = [k for k, ids in enumerate(out) if None in ids]
+        gaps = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(found, out) if None in ids]
         if gaps:
-            fresh = learn(list({w for k in gaps for w, ids in zip(found[k], out[k]) if ids is None}))
-            for k in gaps:
-                out[k] = [fresh[w] if ids is None else ids for w, ids in zip(found[k], out[k])]
+            fresh = learn(list({words[i] for words, _, at in gaps for i in at}))
+            for words, ids, at in gaps:
+                for i in at:
+                    ids[i] = fresh[words[i]]
             if len(memory) + len(fresh) > MEMORY:
                 memory.clear()
-            memory.update((w, ids) for w, ids in fresh.items() if len(w) <= LONG)
+            memory.update(fresh if max(map(len, fresh)) <= LONG else {w: ids for w, ids in fresh.items() if len(w) <= LONG})
         return out
 
     def _one_by_one(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +106,7 @@ class Encoder:
             for part, e in zip(group, self.tokenizer.encode_batch_fast([before + " ".join(part) for part in group], add_special_tokens=False)):
                 ids = np.array(e.ids, dtype=np.uint32)
                 marked = np.flatnonzero(self.marks[ids])
-                ends = np.cumsum([len(self.pattern.findall(w)) for w in part]) if self.lower else np.arange(1, len(part) + 1)
+                ends = np.cumsum([1 if w.isalpha() else len(self.pattern.findall(w)) for w in part]) if self.lower else np.arange(1, len(part) + 1)
                 if len(marked) != ends[-1]:
                     alone += part
                     continue

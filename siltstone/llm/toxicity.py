@@ -129,7 +129,8 @@ def fit_ordinal(docs: list[list[str]], toxic: np.ndarray, min_df: int = 3, max_f
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[list[list[str]], np.ndarray]:
-    """At most limit labelled rows, in halves by class, chosen by a hash of the id; their distinct words come back, not their texts."""
+    """At most limit labelled rows, in halves by class, chosen by a hash of the id; their distinct words come back, not their
+    texts, and once for an id that several rows have."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     halves = [known.filter(F.col("y") == y).orderBy("h", "doc_id").limit(limit // 2) for y in (0, 1)]
@@ -139,7 +140,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(words_of(t)) for t, *_ in each_row(b)], pa.string()), b.column(1), b.column(2)], ["words", "y", "h"])
 
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").mapInArrow(run, "words string, y int, h bigint").collect()
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h").mapInArrow(run, "words string, y int, h bigint")
+    got = found.groupBy("h").agg(F.min("words").alias("words"), F.min("y").alias("y")).collect()  # one row for each id, however often it comes
     got.sort(key=lambda r: (r["h"], r["words"]))
     return [r["words"].split() for r in got], np.array([r["y"] for r in got], dtype=int)
 
@@ -154,6 +156,8 @@ def score(docs: DataFrame, model: OrdinalModel, cut: float = 0.35) -> DataFrame:
 
     A null or empty text scores as one without words. Null or repeated ids and equal rows are each scored; other columns
     are ignored; an empty table gives no rows. With no labels at all, the model is a constant that calls nothing toxic.
+    Very long texts are scored whole. The labels are binary, so the grades that the model is fitted to are made from the
+    same words as its features: severity orders documents by how much they hold of what tells the classes apart.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features words
 

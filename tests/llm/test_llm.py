@@ -45,11 +45,43 @@ def rows_of(df, *cols):
     return Counter(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", [*sorted(QUERIES), "pipeline"])
 def test_empty_tables(spark, tmp_path, small, name):
+    import corpus_pipeline
+
     small.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
-    assert QUERIES[name](spark, str(tmp_path)).collect() == []
+    assert (QUERIES | {"pipeline": corpus_pipeline.run})[name](spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Every stage keeps the columns, takes all forms of rows, and leaves what it must."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(7, 1, 0), (9, 1, 0), (3, 0, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    assert texts_of(importance.resampled(odd, labels.limit(0))) and Counter(texts_of(importance.resampled(odd, labels.limit(0)))) == Counter(ODD)
+    kept = importance.resampled(odd, labels, share=0.5)
+    want = {(r["doc_id"], r["n_grams"]) for r in importance.importance_resample(odd, labels, share=0.5).filter("kept").collect()}
+    assert {(i, len(importance.buckets_of(t))) for i, t in texts_of(kept)} == want
+    docs = odd
+    for stage in (corpus_pipeline.exact_duplicates, corpus_pipeline.near_duplicates, corpus_pipeline.repeated_passages):
+        before = Counter(i for i, _ in texts_of(docs))
+        docs = corpus_pipeline.staged(stage(spark, docs, SF), "odd")
+        assert docs.columns == odd.columns and Counter(i for i, _ in texts_of(docs)) <= before
+    assert None in {i for i, _ in texts_of(docs)}
+    pieces_fit(corpus_pipeline.packed(spark, docs, SF).collect())
+
+
+def test_bit_filter_and_without(spark):
+    from siltstone.llm import common
+
+    hashes = spark.range(3000).select((common.F.col("id") * 7919 - 5_000_000).alias("h"))
+    marked = common.BitFilter(hashes, "t").mark(spark.range(-6_000_000, 6_000_000, 997).toDF("h").unionByName(hashes), common.F.col("h"), "may")
+    assert marked.join(hashes, "h").filter("NOT may").isEmpty() and marked.join(hashes, "h", "left_anti").filter("may").count() < 1500
+    assert common.BitFilter(hashes.limit(0), "none").mark(hashes, common.F.col("h"), "may").filter("may").isEmpty()
+    docs = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (None, "a", 2), (None, None, 3), (2, "", 4)], "doc_id int, text string, th int")
+    gone = spark.createDataFrame([(1, "b"), (None, "")], "doc_id bigint, t string").select("doc_id", common.F.xxhash64("t").alias("th"))
+    assert sorted(r["th"] for r in common.without(docs, gone, "t").collect()) == [0, 2, 4]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -61,31 +93,55 @@ def test_sql(spark, name):
     assert rows_of(got, *want.columns) == Counter(want.fetchall())
 
 
+def bare(t):
+    return "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+
+
 def test_exact_dedup(spark, odd):
     got = exact_dedup.exact_dedup(odd)
-    strip = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     groups = defaultdict(list)
     for i, t in ODD:
-        groups[strip(t)].append((-len(t or ""), i is None, i or 0, i))
+        groups[bare(t)].append((-len(t or ""), i is None, i or 0, i))
     want = Counter()
     for i, t in ODD:
-        g = groups[strip(t)]
+        g = groups[bare(t)]
         best = min(g)
-        want[(i, best[3], len(g), i == best[3] and len(t or "") == -best[0], sha256(strip(t).encode()).hexdigest())] += 1
-    assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
+        want[(i, best[3], len(g), sha256(bare(t).encode()).hexdigest())] += 1
+    assert rows_of(got, "doc_id", "keep_id", "group_size", "text_sha256") == want
+    kept = rows_of(got.filter("kept"), "doc_id", "text_sha256")
+    assert kept == Counter((min(g)[3], sha256(t.encode()).hexdigest()) for t, g in groups.items())  # one row of each text
+
+
+def test_deduplicated_leaves_no_copy(spark, odd):
+    rows = [(9, "a b"), (9, "a b"), (9, "ab"), (None, "c"), (None, "c"), (-(1 << 63), "d"), (5, "d"), (7, None), (8, ""), (6, " e"), (6, "e ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, digest int")
+    for frame in (docs, odd):
+        got = texts_of(exact_dedup.deduplicated(frame))
+        assert sorted(bare(t) for _, t in got) == sorted({bare(t) for _, t in texts_of(frame)})
+        assert exact_dedup.deduplicated(frame).columns == frame.columns
+    assert {(i, t) for i, t in texts_of(exact_dedup.deduplicated(docs))} >= {(9, "a b"), (None, "c"), (-(1 << 63), "d"), (7, None)}
 
 
 def test_digest_index_persists(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     path = f"file://{tmp_path}/index"
-    first = exact_dedup.exact_dedup(make([(1, "a b"), (2, "ab"), (3, "c")]), exact_dedup.DigestIndex(spark, path, 4))
-    assert rows_of(first, "doc_id", "keep_id", "kept") == Counter([(1, 1, True), (2, 1, False), (3, 3, True)])
-    index = exact_dedup.DigestIndex(spark, path, 4)
-    again = exact_dedup.exact_dedup(make([(7, "a  b"), (8, "d")]), index)
-    assert rows_of(again, "doc_id", "keep_id", "kept") == Counter([(7, 1, False), (8, 8, True)])
-    assert index.read().count() == 3
+    say = lambda rows, index, batch: rows_of(exact_dedup.exact_dedup(make(rows), index, batch), "doc_id", "keep_id", "kept")
+    one, two = [(1, "a b"), (2, "ab"), (3, "c")], [(7, "a  b"), (8, "d")]
+    first = Counter([(1, 1, True), (2, 1, False), (3, 3, True)])
+    assert say(one, exact_dedup.DigestIndex(spark, path, buckets=4), "one") == first
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 4
+    second = Counter([(7, 1, False), (8, 8, True)])
+    assert say(two, index, "two") == second
+    for _ in range(2):  # a batch that runs again, alone or after others, decides as before and adds nothing
+        assert say(two, index, "two") == second and say(one, index, "one") == first
+        assert index.read().count() == 3
+    assert say(one, index, "three") == Counter([(1, 1, False), (2, 1, False), (3, 3, False)])
+    small = index.compacted(f"file://{tmp_path}/compacted")
+    assert small.read().count() == 3 and say([(9, "a b"), (10, "new")], small, "four") == Counter([(9, 1, False), (10, 10, True)])
     plan = index.missing(make([(1, "x")]).select(exact_dedup.digest_of(exact_dedup.F.col("text")).alias("digest")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.close()
 
 
 def test_license_scan(odd):
@@ -125,6 +181,22 @@ def test_quality_rules(spark, odd, small):
                     dup += line in seen
                     seen.add(line)
             assert (i, len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in t), dup, len(inside)) in got
+    def cased(t):
+        return sum(c.isupper() for c in t), sum(c.isupper() or c.islower() for c in t)
+
+    loud = spark.createDataFrame([(1, "ALLES WIRD GUT ß " * 20), (2, "alles klein " * 20), (3, "ÀÉÎ ΣΑΣ ǅ ﬁ 数字 " * 12), (4, None)], "doc_id bigint, text string")
+    for docs in (loud, odd, small):
+        text = dict(texts_of(docs))
+        for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect():
+            t = text[r["doc_id"]] or ""
+            lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+            assert (r["n_upper"], r["n_cased"], r["n_lines"]) == (*cased(t), len(lines))
+            fails = [
+                r["n_words"] < 50, 100 * r["n_repeat_words"] > 50 * r["n_words"], 10 * r["n_symbols"] > 2 * r["n_words"], len(lines) >= 4 and 2 * r["n_dup_lines"] > len(lines),
+                r["word_chars"] > 25 * r["n_words"], r["word_chars"] < 2 * r["n_words"], r["n_cased"] >= 100 and 10 * r["n_upper"] > 6 * r["n_cased"],
+            ]
+            assert r["fail_bits"] == sum(1 << k for k, f in enumerate(fails) if f) and r["kept"] == (not any(fails))
+    assert [r["fail_bits"] >> 6 & 1 for r in quality_rules.ledger(loud).orderBy("doc_id").collect()] == [1, 0, 0, 0]
     ledger = quality_rules.ledger(small)
     bits = [r["fail_bits"] for r in ledger.collect()]
     mask = quality_rules.mask_of("v2")
@@ -144,6 +216,67 @@ def test_toxicity_recall(spark):
     assert np.mean(caught) > 0.88 and np.mean(clean) < 0.02  # about 6 % of the labels are noise
 
 
+def test_toxicity_against_brute_force(spark, odd):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}x" for k in range(30)]
+    docs = [sorted(set(rng.choice(words, 12).tolist() + (["vile", "vilest"] if k % 3 == 0 else []))) for k in range(120)]
+    toxic = np.array([k % 3 == 0 for k in range(120)], dtype=int)
+    model = toxicity.fit_ordinal(docs, toxic)
+    rows, names = toxicity.indexed(docs)
+    ratios = toxicity.contrast(rows, len(names), toxic, 3)
+    grades = toxicity.grade_labels(rows, ratios, toxic)
+    assert (grades > 0).tolist() == toxic.astype(bool).tolist() and grades.max() <= 3
+    vocab = sorted(model.weights)
+    held = np.array([[any(f == v for w in d for f in toxicity.word_features(w)) for v in vocab] for d in docs], dtype=float)
+
+    def loss(w, theta):
+        out = 0.0
+        for x, g in zip(held @ w, grades):
+            upto = [0.0, *(1 / (1 + np.exp(-(t - x))) for t in theta), 1.0]
+            out -= np.log(max(upto[g + 1] - upto[g], 1e-12))
+        return out / len(docs) + 0.5 * 1e-4 * float(w @ w)
+
+    w, theta = np.array([model.weights[v] for v in vocab]), model.theta
+    best = loss(w, theta)
+    for _ in range(60):  # no step near by is better by more than the fit's tolerance
+        assert loss(w + rng.normal(0, 0.05, len(w)), np.sort(theta + rng.normal(0, 0.05, len(theta)))) > best - 2e-3
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id bigint, text string")
+    for r in toxicity.score(frame, model).collect():
+        z = float(held[r["doc_id"]] @ w)
+        upto = np.array([0.0, *(1 / (1 + np.exp(-(t - z))) for t in theta), 1.0])
+        p = np.diff(upto)
+        assert abs(r["expected_severity"] - p @ np.arange(4)) < 1e-9 and r["grade"] == p.argmax() and abs(r["p_toxic"] - (1 - p[0])) < 1e-9
+    got = toxicity.score(odd, model).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in ODD) and len({r["p_toxic"] for r in got if r["doc_id"] in (1, 2, 3)}) == 1
+    repeated = frame.select((toxicity.F.col("doc_id") % 10).alias("doc_id"), "text")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(10)] + [(0, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    sample, y = toxicity.labelled_sample(repeated, labels, "toxic", 100)
+    assert len(sample) == 10 and sum(y) == 6  # one row for each id, its greatest label
+
+
+def test_importance_against_brute_force(spark, odd):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["good", "fine", "Text", "!!", "12", "bad", "junk"], k=rng.randint(0, 60)))) for k in range(80)] + list(ODD)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    raw, aim = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for i, t in rows:
+        c = np.bincount(importance.buckets_of(t), minlength=importance.BUCKETS)
+        raw += c
+        if i is not None and i < 60 and i % 4 == 0:
+            aim += c
+    ratio = np.log((aim + 1) / (aim.sum() + importance.BUCKETS)) - np.log((raw + 1) / (raw.sum() + importance.BUCKETS))
+    got = importance.importance_resample(docs, labels, share=0.4).collect()
+    want = Counter((i, len(importance.buckets_of(t)), round(float(ratio[importance.buckets_of(t)].sum()), 9)) for i, t in rows)
+    assert Counter((r["doc_id"], r["n_grams"], round(r["log_weight"], 9)) for r in got) == want
+    noise = {r[0]: r[1] for r in docs.select("doc_id", importance.gumbel(importance.F.coalesce("doc_id", importance.F.lit(-1)), 7)).collect()}
+    assert all(abs(r["score"] - r["log_weight"] - noise[r["doc_id"]]) < 1e-9 for r in got)
+    assert 0.2 < np.mean([v for v in noise.values()]) < 1.0  # the mean of standard Gumbel noise is 0.577
+    order = sorted(got, key=lambda r: (-r["score"], r["doc_id"] is None, r["doc_id"] or 0, r["n_grams"]))
+    k = int(np.ceil(0.4 * len(rows)))
+    assert Counter((r["doc_id"], r["n_grams"]) for r in got if r["kept"]) == Counter((r["doc_id"], r["n_grams"]) for r in order[:k])
+
+
 def test_importance(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = importance.importance_resample(docs, labels.filter("doc_id % 2 = 0"))
@@ -254,6 +387,29 @@ def test_suffix_dedup_hard(spark, monkeypatch):
         assert got == brute_suffix(rows)
 
 
+def test_suffix_dedup_with_one_string_in_every_document(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcd", k=rng.randint(0, 60))) + "=the same 16 b..=" * (1 + i % 3) + "".join(rng.choices("abcd", k=rng.randint(0, 60)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 300)
+    monkeypatch.setattr(suffix_dedup, "PART", 150)
+    for most in (1 << 17, 8):  # ranges alone, and ranges cut by a hash
+        monkeypatch.setattr(suffix_dedup, "MOST_SPLITTERS", most)
+        got = rows_of(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute_suffix(rows)
+
+
+def test_local_tree_loses_no_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    points = np.unique(np.concatenate([points, points ^ np.uint64(5), points[:100] ^ np.uint64(1 << 40)]))
+    monkeypatch.setattr(simhash, "BRUTE", 50)
+    mine = np.flatnonzero(rng.random(len(points)) < 0.6)
+    got = {(int(i), int(j)) for i, near in simhash.near_pairs(points, mine, np.arange(len(points))) for j in near}
+    close = np.bitwise_count(points[mine][:, None] ^ points[None, :]) <= 3
+    assert got == {(int(mine[i]), int(j)) for i, j in zip(*np.nonzero(close))}
+
+
 def brute_simhash(rows):
     prints = []
     for i, t in rows:
@@ -415,6 +571,40 @@ def test_pipeline_near_duplicates_by_brute_force(spark, odd, small):
         assert rows_of(corpus_pipeline.near_duplicates(spark, docs, SF), "doc_id") == stay
 
 
+def test_shingle_hashes(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", "  ", "one", "a b c d", "a b c d e", " A  b\tC d\n\ne f ", "é É ß"] + [" ".join(rng.choices("abcdef", k=rng.randint(1, 300))) for _ in range(50)]
+    plain = [shingle_dedup.shingle_hashes(t) for t in texts]
+    seen: dict = {}
+    for t, h in zip(texts, plain):
+        w = t.encode().lower().split()
+        parts = [b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        assert len(h) == len(parts)
+        for x, y in zip(h.tolist(), parts):
+            assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen)
+    monkeypatch.setattr(shingle_dedup, "PART", 7)  # long texts in parts
+    assert all((shingle_dedup.shingle_hashes(t) == h).all() for t, h in zip(texts, plain))
+
+
+def test_near_duplicates_in_large_lists(spark, monkeypatch):
+    """One passage in many texts, a large group of near copies, and lists cut into many blocks."""
+    rng = random.Random(13)
+    base, rows = [f"w{rng.randint(0, 300)}" for _ in range(90)], []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"n{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(w)))
+    for k in range(120, 200):
+        rows.append((k, " ".join([*base[:40], *(f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 14)))])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_similar(rows)
+    for block in (16_384, 7):
+        monkeypatch.setattr(shingle_dedup, "BLOCK", block)
+        assert rows_of(shingle_dedup.near_duplicates(docs), "doc_id", "component_id") == want
+
+
 def test_license_notices_wrapped_over_lines(spark):
     rng = random.Random(11)
     wrapped = {}
