@@ -22,6 +22,7 @@ _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 MEMORY = 1_000_000  #: words and pre-tokens kept per worker
+SIGNS = ".,;:!?)"  #: each a pre-token of its own after a letter or numeral at a word's end
 LONG = 64  #: characters beyond which a word is not kept
 FEW = 50  #: new words below which each is encoded on its own
 RUN = 500  #: new words encoded as one text
@@ -57,6 +58,7 @@ class Encoder:
         self.marks[[i for t, i in vocab.items() if (t.endswith("</w>") if self.lower else t.startswith("\u0120"))]] = True
         self.memory: dict[str, bytes] = {}  #: pre-token -> ids
         self.words: dict[str, bytes] = {}  #: word -> ids; where spaces are kept, of the word after a space
+        self.signs = dict(zip(SIGNS, self._one_by_one(list(SIGNS))))
         CACHES.extend((self.memory, self.words))
 
     def whole(self, text: str) -> bytes:
@@ -94,8 +96,26 @@ class Encoder:
         return out
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words. Many are encoded as one text, with spaces between, and its ids are cut at those that the
-        vocabulary marks as the end (or the start) of a word; a word that holds several pre-tokens has as many ends."""
+        """Ids of new words; one that ends in a sign after a letter or numeral is put together from its stem and the sign."""
+        known, stems, out, last = self.words, {}, {}, self.signs
+        rest = set()
+        for w in words:
+            if w[-1:] in last and w[-2:-1].isalnum():
+                stems[w] = w[:-1]
+                rest.add(w[:-1])
+            else:
+                rest.add(w)
+        rest = [w for w in rest if w not in known] if stems else words
+        fresh = self._encoded_words(rest) if rest else {}
+        for w, stem in stems.items():
+            ids = fresh.get(stem)
+            out[w] = (known[stem] if ids is None else ids) + last[w[-1]]
+        out.update(fresh)
+        return out
+
+    def _encoded_words(self, words: list[str]) -> dict[str, bytes]:
+        """Many are encoded as one text, with spaces between, and its ids are cut at those that the vocabulary marks as the
+        end (or the start) of a word; a word that holds several pre-tokens has as many ends."""
         before = "" if self.lower else " "
         if len(words) < FEW:
             return dict(zip(words, self._one_by_one([before + w for w in words])))
