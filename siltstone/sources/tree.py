@@ -59,13 +59,32 @@ _LEXED = StructType([StructField("comments", ArrayType(StringType())), StructFie
 
 
 @F.pandas_udf(_LEXED)
-def lexed(content: pd.Series, language: pd.Series) -> pd.DataFrame:
+def _by_lexer(content: pd.Series, language: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([lex(c or "", k) for c, k in zip(content, language)], columns=["comments", "identifiers", "comment_nloc"])
 
 
+def lexed(content: Column | str, language: Column | str) -> Column:
+    """comments, identifiers and comment_nloc of a file. Markup has neither strings nor names to tell apart, so a pattern
+    does; the lexers get only the other files' contents."""
+    content, language = (F.col(c) if isinstance(c, str) else c for c in (content, language))
+    markup = F.coalesce(language.isin(*[k for k, v in _FAMILY.items() if v == "html"]), F.lit(False))
+    found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?s)<!--.*?-->"), F.lit(0))
+    lines = F.aggregate(found, F.lit(0).cast("bigint"), lambda n, c: n + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
+    own = F.struct(found.alias("comments"), F.array().cast("array<string>").alias("identifiers"), lines.alias("comment_nloc"))
+    return F.when(markup, own).otherwise(_by_lexer(F.when(~markup, content), language))
+
+
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) below path, whatever is skipped already gone; the size filter reaches the scan."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= MAX_BYTES)
+    """(path, length, content) below path, whatever is skipped left out.
+
+    Folders are listed first, without contents, and only the files of wanted ones are read; the size filter reaches the
+    scan. A tree is one repository's, so its folders are few.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    folders = listed.filter(wanted(F.col("path"))).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()
+    if not folders:
+        return spark.createDataFrame([], "path string, length bigint, content string")
+    files = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", r["f"]) for r in folders]).filter(F.col("length") <= MAX_BYTES)
     return files.filter(wanted(F.col("path"))).select("path", "length", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("content"))
 
 
