@@ -24,7 +24,7 @@ from siltstone.llm.simhash import SEED, components, majority, star_edges
 SHINGLE, SIMILARITY = 5, 0.8
 COUNTERS = 1 << 18  #: hashed counts of shingles, whatever the corpus
 SLICES = 16  #: parts in which the counts travel
-SKETCH = 128  #: bytes of a parity sketch
+LEAST_BITS, BITS_EACH = 1024, 4  #: of a parity sketch, in all and for each shingle, rounded up to a power of two
 BLOCK = 16_384  #: members of a list that are compared in one piece
 KEPT = 64  #: shingle sets that a verifying task keeps
 PART = 1 << 20  #: bytes of text that are hashed at once
@@ -89,8 +89,36 @@ def key_of(s: np.ndarray) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of 8 * SKETCH buckets."""
-    return np.packbits(np.bincount((s & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1).tobytes()
+    """Parity of the number of shingles in each of some buckets, more for larger sets."""
+    bits = LEAST_BITS
+    while bits < BITS_EACH * len(s):
+        bits *= 2
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+class Sketches:
+    """The parity sketches of a list's members. One of twice another's size is folded to it: half its buckets on the other."""
+
+    def __init__(self, packed: list[bytes]):
+        self.size = np.array([len(x) // 8 for x in packed], np.int64)  # in 64-bit words
+        self.row = np.zeros(len(packed), np.int64)
+        self.of, self.half = {}, {}
+        for size in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            self.of[size] = m = np.frombuffer(b"".join(packed[i] for i in at), np.uint64).reshape(len(at), size)
+            self.half[size] = m[:, : size // 2] ^ m[:, size // 2 :]
+
+    def apart(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets in which i and each of others differ, buckets compared); 0 where sizes are further apart, as sets of such
+        sizes are never alike."""
+        out, bits, mine = np.zeros(len(others), np.int64), np.full(len(others), 64.0), int(self.size[i])
+        for size, table, own in ((mine, self.of, self.of[mine]), (2 * mine, self.half, self.of[mine]), (mine // 2, self.of, self.half[mine])):
+            at = np.flatnonzero(self.size[others] == size)
+            if len(at):
+                out[at] = np.bitwise_count(table[size][self.row[others[at]]] ^ own[self.row[i]]).sum(1, dtype=np.int64)
+                bits[at] = 64.0 * min(size, mine)
+        return out, bits
 
 
 def most_apart(n1, n2, similarity: float):
@@ -137,13 +165,16 @@ def runs(batches):
         yield pa.concat_tables(held)
 
 
-def _alike(sketch: np.ndarray, n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _alike(sketch: Sketches, n: np.ndarray, i: int, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Of others, against i: whether the sketch rules the pair out not, and whether it thinks it alike."""
-    apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1, dtype=np.int64)
     most = most_apart(n[others], n[i], similarity)
-    open_ = (apart <= most) & (np.abs(n[others] - n[i]) <= most)
-    bits = 8.0 * SKETCH
-    guess = -bits / 2 * np.log(np.maximum(1e-9, 1 - 2 * np.minimum(apart, bits / 2 - 1) / bits))
+    open_ = np.abs(n[others] - n[i]) <= most
+    near = others[open_]
+    apart, bits = sketch.apart(i, near)
+    open_[open_] = apart <= most[open_]
+    guess = np.full(len(others), np.inf)
+    kept = apart <= most_apart(n[near], n[i], similarity)
+    guess[open_] = (-bits / 2 * np.log(np.maximum(1e-9, 1 - 2 * np.minimum(apart, bits / 2 - 1) / bits)))[kept]
     return open_, open_ & (guess <= most)
 
 
@@ -312,10 +343,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             def pairs():
                 for t in runs(batches):
                     run_, key, n, root = (t.column(c).to_numpy() for c in ("run", "key", "n", "root"))
-                    flat = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+                    packed = t.column("sketch").to_pylist()
                     start = np.flatnonzero(np.append(True, run_[1:] != run_[:-1]))
                     for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
-                        yield from how(key[lo:hi], n[lo:hi].astype(np.int64), flat[lo:hi], root[lo:hi], similarity)
+                        yield from how(key[lo:hi], n[lo:hi].astype(np.int64), Sketches(packed[lo:hi]), root[lo:hi], similarity)
 
             yield from gathered(pairs(), ["a", "b"])
 
@@ -326,9 +357,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     near = star_edges(prints.select("fp")).join(prints.toDF("a", "ka"), "a").join(prints.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     twins = sets.select("fp", "key").join(prints.toDF("fp", "one"), "fp").filter("key <> one").select(F.col("key").alias("a"), F.col("one").alias("b"))
     tested = verified(near.unionByName(twins), None)
-    for turn, how in enumerate((stars, stars, across)):
-        tested = verified(compared(turn, components(tested.filter("linked").select("a", "b")), how), tested)
-    roots = components(tested.filter("linked").select("a", "b"))
+    known, roots = -1, None
+    for turn, how in enumerate((stars, stars, across, None)):
+        links = tested.filter("linked").select("a", "b")
+        n = links.count()
+        if n != known:
+            known, roots = n, components(links)
+        if how is not None:
+            tested = verified(compared(turn, roots, how), tested)
     member = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = staged(member.join(named, "root").select("key", "component_id"), "shingle-components")

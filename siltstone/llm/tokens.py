@@ -96,21 +96,26 @@ class Encoder:
         return out
 
     def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words; one that ends in a sign after a letter or numeral is put together from its stem and the sign."""
-        known, stems, out, last = self.words, {}, {}, self.signs
+        """Ids of new words. Those that hold a line break are put together from what stands before it and the pre-tokens
+        from it on; those that end in a sign after a letter or numeral, from their stem and the sign."""
+        known, stems, broken = self.words, {}, {}
+        if not self.lower:  # elsewhere words hold no white space
+            broken = {w: w.index("\n") for w in words if "\n" in w}
+            words = [*(w for w in words if w not in broken), *{w[:at] for w, at in broken.items()}]
         rest = set()
         for w in words:
-            if w[-1:] in last and w[-2:-1].isalnum():
+            if w[-1:] in self.signs and w[-2:-1].isalnum():
                 stems[w] = w[:-1]
                 rest.add(w[:-1])
             else:
                 rest.add(w)
-        rest = [w for w in rest if w not in known] if stems else words
-        fresh = self._encoded_words(rest) if rest else {}
-        for w, stem in stems.items():
-            ids = fresh.get(stem)
-            out[w] = (known[stem] if ids is None else ids) + last[w[-1]]
-        out.update(fresh)
+        rest = [w for w in rest if w not in known]
+        out = self._encoded_words(rest) if rest else {}
+        of = lambda w: known[w] if (ids := out.get(w)) is None else ids
+        out.update([(w, of(stem) + self.signs[w[-1]]) for w, stem in stems.items()])
+        if broken:
+            tails = self._look_up([self.pattern.findall(w[at:]) for w, at in broken.items()], self.memory, self._pre_tokens)
+            out.update([(w, of(w[:at]) + b"".join(tail)) for (w, at), tail in zip(broken.items(), tails)])
         return out
 
     def _encoded_words(self, words: list[str]) -> dict[str, bytes]:

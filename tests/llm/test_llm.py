@@ -587,6 +587,21 @@ def test_shingle_hashes(monkeypatch):
     assert all((shingle_dedup.shingle_hashes(t) == h).all() for t, h in zip(texts, plain))
 
 
+def test_sketches_never_rule_out_a_pair():
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in (1, 3, 200, 255, 256, 257, 300, 2000, 2100, 9000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.append(base[: int(size * 0.95) + 1], rng.integers(0, 1 << 63, size // 20, dtype=np.uint64))), np.unique(base[: int(size * 0.8) + 1])]
+    sketch, n = shingle_dedup.Sketches([shingle_dedup.sketch_of(s) for s in sets]), np.array([len(s) for s in sets])
+    every = np.arange(len(sets))
+    for i, s in enumerate(sets):
+        open_, like = shingle_dedup._alike(sketch, n, i, every, 0.8)
+        both = np.array([len(np.intersect1d(s, v)) for v in sets])
+        alike = both >= 0.8 * (n[i] + n - both) - 1e-9
+        assert (open_ | ~alike).all() and (open_ | ~like).all() and open_.sum() <= alike.sum() + 2
+
+
 def test_near_duplicates_in_large_lists(spark, monkeypatch):
     """One passage in many texts, a large group of near copies, and lists cut into many blocks."""
     rng = random.Random(13)
