@@ -23,7 +23,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays that pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more link."""
+    """One document of each group stays that pairs of five-word shingle sets with a Jaccard similarity of 0.8 or more link:
+    fingerprints give the first candidates, the sets the rest, so no pair is lost."""
     return shingle_dedup.representatives(docs)
 
 
