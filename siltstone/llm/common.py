@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Arrow batches of so many bytes instead of Spark's default, as a batch is held by the JVM and by a Python worker at once.
+BATCH_SETTING, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8388608b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_BYTES, unless its owner has set another size."""
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(DEFAULT_BATCH):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -33,6 +44,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors and fixes generated ids."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

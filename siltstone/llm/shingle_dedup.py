@@ -24,7 +24,7 @@ from siltstone.llm.simhash import SEED, components, majority, star_edges
 SHINGLE, SIMILARITY = 5, 0.8
 COUNTERS = 1 << 18  #: hashed counts of shingles, whatever the corpus
 SLICES = 16  #: parts in which the counts travel
-LEAST_BITS, BITS_EACH = 1024, 4  #: of a parity sketch, in all and for each shingle, rounded up to a power of two
+LEAST_BITS, BITS_EACH = 1024, 1  #: of a parity sketch, in all and for each shingle, rounded up to a power of two
 BLOCK = 16_384  #: members of a list that are compared in one piece
 KEPT = 64  #: shingle sets that a verifying task keeps
 PART = 1 << 20  #: bytes of text that are hashed at once

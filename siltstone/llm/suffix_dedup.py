@@ -322,15 +322,18 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
         drop_caches()
         held, at = [], None
         for b in batches:
-            for bucket, body, doc, tag, ranges in each_row(b, 16):
-                if body is None:
-                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "tag": tag, "ranges": ranges}], schema=OUT)
+            buckets, bodies = b.column(0).to_pylist(), b.column(1)
+            own = [i for i, k in enumerate(buckets) if k < 0]
+            if own:
+                yield b.take(pa.array(own)).select(["doc_id", "tag", "ranges"])
+            for i, (bucket, tag) in enumerate(zip(buckets, b.column(3).to_pylist())):
+                if bucket < 0:
                     continue
                 if bucket != at and held:
                     yield from compare(held)
                     held = []  # one bucket at a time, and packed
                 at = bucket
-                held.append((body, tag))
+                held.append((bodies[i].as_buffer(), tag))  # in the batch's memory, not copied
         if held:
             yield from compare(held)
 
