@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import CACHES, drop_caches, each_row, staged, with_rank, without
+from siltstone.llm.common import CACHES, drop_caches, each_row, staged, trim_memory, with_rank, without
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 14
@@ -79,6 +79,7 @@ def model_counts(docs: DataFrame, labels: DataFrame, sample_limit: int) -> tuple
                 if is_target:
                     aim += c
         at = np.flatnonzero(raw)
+        trim_memory()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(aim[at])], ["bucket", "raw", "aim"])
 
     marked = docs.select("doc_id", "text").join(target, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
@@ -108,6 +109,7 @@ def _ranked(docs: DataFrame, labels: DataFrame, share: float | None = None, slac
         for b in batches:
             found = [(len(x), float(shared.value[x].sum())) for x in (buckets_of(t) for _, t, _ in each_row(b))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for n, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], ["doc_id", "th", "n_grams", "log_weight"])
+        drop_caches()  # a reused worker keeps nothing for later stages
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).mapInArrow(run, "doc_id bigint, th bigint, n_grams bigint, log_weight double")
     scored = staged(scored.withColumn("score", F.col("log_weight") + gumbel(F.coalesce("doc_id", F.lit(-1)), seed)), "importance")

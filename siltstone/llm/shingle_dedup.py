@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             packed = [pa.Codec("zstd").compress(part.astype("<i8").tobytes(), asbytes=True) for part in counts.reshape(SLICES, -1)]
             cols = [[None] * SLICES] * 6 + [list(range(SLICES)), packed]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        drop_caches()
 
     def summed(batches):
         total: dict[int, np.ndarray] = {}
@@ -267,6 +268,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     def prefixes(batches):
         drop_caches()
         yield from gathered((first_of(t) for b in batches for (t,) in each_row(b)), ["tok", "key"])
+        drop_caches()
 
     def shared(batches):
         """The members of each shingle that several sets share, under a name that equal member sets have in common."""
@@ -309,6 +311,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
                 out.append((x, y, both >= similarity * (len(s) + len(v) - both) - 1e-9))
             cols = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
+        known.clear()
+        drop_caches()
 
     def verified(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         """pairs (a, b) that before has not, with linked; only the texts of their sets are shuffled."""

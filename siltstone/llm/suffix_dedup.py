@@ -26,7 +26,7 @@ ROW = 88  #: WIDTH, first and last window, zeros up to whole 8-byte words
 GROUP = 4 << 20  #: bytes of text whose anchors a sender compares and packs together
 PART = 1 << 19  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
 MOST_SPLITTERS = 1 << 17  #: beyond, ranges are cut by a hash of the bytes after the leading ones
-SUB = 2  #: buckets that travel and arrive together, packed, and are unpacked one at a time
+SUB = 4  #: buckets that travel and arrive together, packed, and are unpacked one at a time
 NO_ID = (1 << 63) - 1  #: a null id: larger than every other
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], dtype=np.uint64)
 _S = np.uint64(29)
@@ -256,7 +256,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, tag (hash of the text), ranges (packed 64-bit starts and ends): rows of what is removed, several for a document."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = tasks_for(spark, total, SUB * GROUP)
+    n = tasks_for(spark, total, 2 * GROUP)
     parts = -(-n * SUB // MOST_SPLITTERS)  # so that what is broadcast has a bound
     n = -(-n // parts) * parts
     splitters = spark.sparkContext.broadcast(sample_splitters(docs, n * SUB // parts))
