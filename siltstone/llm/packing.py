@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import each_row, staged, with_rank
+from siltstone.llm.common import each_row, staged, trim_memory, with_rank
 from siltstone.llm.tokens import encoder, file_of
 
 SEQUENCE = 2048
@@ -175,6 +175,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end
     """Every piece of every document: doc_id, start, length, ids_crc32, doc_tokens (and ids)."""
 
     def run(batches):
+        trim_memory()  # what earlier stages left in a reused worker
         e = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:

@@ -21,7 +21,7 @@ from siltstone.llm.common import CACHES
 _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ňŊ-žЀ-џ‐-‧€]")
 _BYTE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MEMORY = 1_000_000  #: words and pre-tokens kept per worker
+MEMORY = 700_000  #: words and pre-tokens kept per worker
 SIGNS = ".,;:!?)"  #: each a pre-token of its own after a letter or numeral at a word's end
 LONG = 64  #: characters beyond which a word is not kept
 FEW = 50  #: new words below which each is encoded on its own
