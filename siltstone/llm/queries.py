@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import chunked_bpe, exact_dedup, importance, license_scan, packing, quality_rules, simhash, suffix_dedup, token_files, toxicity
+from siltstone.llm import chunked_bpe, exact_dedup, filter_audit, importance, license_scan, packing, quality_rules, simhash, spelling_variants, suffix_dedup, token_files, toxicity, weak_pii
 from siltstone.llm.common import documents
 
 
@@ -55,5 +55,17 @@ def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe.encode_decode(documents(spark, sf_dir), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_toxicity, op5_packing, op6_importance, op7_token_files, op8_suffix_dedup, op9_simhash, op10_chunked_bpe)}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql()}
+def op11_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_pii.digests(weak_pii.personal_data(documents(spark, sf_dir)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_toxicity, op5_packing, op6_importance, op7_token_files, op8_suffix_dedup, op9_simhash, op10_chunked_bpe, op11_weak_pii, op12_spelling_variants, op13_filter_audit)}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql(), "op13_filter_audit": filter_audit.ORACLE_SQL}
