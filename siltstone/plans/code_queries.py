@@ -64,7 +64,7 @@ _AT = "list_extract({x}, 1 + floor((n - 1) * {q})::BIGINT) + (list_extract({x},
 SELECT l_orderkey, list_sum(c) / n AS lizard_avg_ccn, list_max(c)::BIGINT AS lizard_max_ccn, n AS lizard_functions, {", ".join(f"CASE WHEN n >= 2 THEN {_AT.format(x='c', q=f'{q}::DOUBLE')} END AS lizard_ccn_p{p}" for q, p in (("0.5", 50), ("0.9", 90), ("0.99", 99)))},
 CASE WHEN n >= 2 THEN trunc({_AT.format(x="k", q="0.9::DOUBLE")})::BIGINT END AS lizard_nloc_p90 FROM f""")
 def function_complexity(spark, sf_dir):
-    return complexity(spark, sf_dir).select("l_orderkey", reports.lizard(F.col("report")).alias("r")).filter("r IS NOT NULL").select("l_orderkey", "r.*")
+    return reports.lizard(complexity(spark, sf_dir), "report").drop("report").filter("lizard_functions IS NOT NULL")
 
 
 #: Folder and name of a file, by the document that it is made from.

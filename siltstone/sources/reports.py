@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUG_CODES = "^(F|E9|B|S|RUF)"  # fixed values
@@ -44,31 +44,53 @@ def jscpd(report: Column) -> Column:
     return F.when(dup.isNotNull() & lines.isNotNull(), F.struct(dup.alias("jscpd_duplicate_lines"), lines.alias("jscpd_total_lines"), F.when(lines > 0, dup / lines).alias("jscpd_duplicate_rate")))
 
 
-def lizard(report: Column) -> Column:
-    """Mean, largest and count of complexity; percentiles, linearly interpolated, from two functions on."""
-    at = "//measure[@type='Function'][1]"
-    ok = F.coalesce(report.rlike("(?s)^\\s*<.*</cppncss>\\s*$"), F.lit(False))
-    xml = F.when(ok, report)
-    labels = F.xpath(xml, F.lit(f"{at}/labels/label/text()"))
-    width = F.size(labels)
-    values = F.transform(F.xpath(xml, F.lit(f"{at}/item/value/text()")), lambda v: v.try_cast("double"))
-    place = lambda name: F.array_position(labels, name).cast("int")
-    nloc_at = F.when(place("NCSS") > 0, place("NCSS")).otherwise(place("NLOC"))
-    column = lambda p: F.array_sort(F.filter(values, lambda v, i: (i % width) == p - 1))
-    ccn, nloc = column(place("CCN")), column(nloc_at)
-    n = F.size(ccn)
-
-    def percentile(xs: Column, q: float) -> Column:
-        k = (F.size(xs) - 1) * F.lit(q)
-        lo = F.floor(k).cast("int")
-        a, b = F.try_element_at(xs, lo + 1), F.try_element_at(xs, F.least(lo + 2, F.size(xs)))
-        return F.when(F.size(xs) >= 2, a + (b - a) * (k - lo))
-
-    mean = F.when(n > 0, F.aggregate(ccn, F.lit(0.0), lambda a, v: a + v) / n)
-    return F.when(ok & (n > 0), F.struct(
-        mean.alias("lizard_avg_ccn"), F.array_max(ccn).cast("bigint").alias("lizard_max_ccn"), n.cast("bigint").alias("lizard_functions"),
-        percentile(ccn, 0.5).alias("lizard_ccn_p50"), percentile(ccn, 0.9).alias("lizard_ccn_p90"), percentile(ccn, 0.99).alias("lizard_ccn_p99"), percentile(nloc, 0.9).cast("bigint").alias("lizard_nloc_p90"),
-    ))
+#: What is read of a complexity report; a report that does not parse leaves its text in the last column.
+CPPNCSS = "measure array<struct<_type: string, labels: struct<label: array<string>>, item: array<struct<value: array<string>>>>>, _corrupt_record string"
+LIZARD = ("lizard_avg_ccn", "lizard_max_ccn", "lizard_functions", "lizard_ccn_p50", "lizard_ccn_p90", "lizard_ccn_p99", "lizard_nloc_p90")
+
+
+def interpolated(xs: Column, q: float) -> Column:
+    """The q-quantile of a sorted array of numbers, linear between neighbours; null for less than two."""
+    k = (F.size(xs) - 1) * F.lit(q)
+    lo = F.floor(k).cast("int")
+    a, b = F.try_element_at(xs, lo + 1), F.try_element_at(xs, F.least(lo + 2, F.size(xs)))
+    return F.when(F.size(xs) >= 2, a + (b - a) * (k - lo))
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with costly columns that are computed once: as a generator's output, they are not put in place of their uses."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__computed")
+    return rows.select("*", made).select(*rows.columns, "__computed.*")
+
+
+def functions(rows: DataFrame, report: str) -> DataFrame:
+    """rows with nlocs and ccns: the sorted figures of the functions in each row's XML report, empty where there is none.
+
+    Each report is parsed once, by Spark's XML reader, and nothing is shuffled: a report lists its own functions. The first
+    measure of type Function counts, its lines of code under NCSS or else NLOC. A function with too few values or an nloc
+    that is no whole number is left out; one whose ccn alone is none keeps its nloc.
+    """
+    whole = lambda v, at: F.try_element_at(v, F.col(at)).try_cast("bigint")
+    place = lambda *names: F.coalesce(*[F.nullif(F.array_position("__m.labels.label", n).cast("int"), F.lit(0)) for n in names])
+    whole_report = F.rtrim(F.col(report), F.lit(" \t\r\n")).endswith("</cppncss>")  # the reader does not look beyond the root's end
+    parsed = computed(rows, __x=F.from_xml(F.when(whole_report, F.col(report)), F.lit(CPPNCSS), {"mode": "PERMISSIVE"}))
+    measure = F.when(F.col("__x._corrupt_record").isNull(), F.try_element_at(F.filter("__x.measure", lambda m: m["_type"] == "Function"), F.lit(1)))
+    placed = computed(computed(parsed, __m=measure), __at=F.struct(place("NCSS", "NLOC").alias("nloc"), place("CCN").alias("ccn")))
+    values = F.filter("__m.item.value", lambda v: F.size(v) >= F.greatest("__at.nloc", "__at.ccn"))
+    pairs = F.filter(F.transform(values, lambda v: F.struct(whole(v, "__at.nloc").alias("nloc"), whole(v, "__at.ccn").alias("ccn"))), lambda p: p["nloc"].isNotNull())
+    found = computed(placed, __p=F.when(F.col("__at.nloc").isNotNull() & F.col("__at.ccn").isNotNull(), pairs))
+    side = lambda c: F.coalesce(F.array_sort(F.array_compact(F.col(f"__p.{c}"))), F.array().cast("array<bigint>"))
+    return computed(found, nlocs=side("nloc"), ccns=side("ccn")).drop("__x", "__m", "__at", "__p")
+
+
+def lizard(rows: DataFrame, report: str) -> DataFrame:
+    """rows with the LIZARD fields: mean, largest and count of complexity, and percentiles from two functions on; all null
+    for a report without functions."""
+    n = F.size("ccns")
+    several = lambda c: F.when(n >= 2, c)
+    mean = F.aggregate("ccns", F.lit(0).cast("bigint"), lambda a, v: a + v) / n
+    fields = (mean, F.array_max("ccns"), n.cast("bigint"), *(interpolated(F.col("ccns"), q) for q in (0.5, 0.9, 0.99)), several(F.floor(interpolated(F.col("nlocs"), 0.9))))
+    return functions(rows, report).withColumns({name: F.when(n > 0, c) for c, name in zip(fields, LIZARD)}).drop("ccns", "nlocs")
 
 
 def tool_families(language: Column) -> Column:

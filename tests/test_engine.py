@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -127,8 +128,24 @@ def test_report_parsers(spark):
     assert tuple(column(spark, ["[]"], reports.eslint)[0]) == (0, 0, 0, 0, 0, 0)
     assert tuple(column(spark, ['{"statistics":{"total":{"lines":100,"duplicatedLines":25}}}'], reports.jscpd)[0]) == (25, 100, 0.25)
     xml = lambda *v: '<?xml version="1.0"?><cppncss><measure type="Function"><labels><label>Nr.</label><label>NCSS</label><label>CCN</label></labels>' + "".join(f"<item><value>1</value><value>{n}</value><value>{c}</value></item>" for n, c in v) + "</measure></cppncss>"
-    got = column(spark, [xml((10, 1), (20, 2), (30, 3), (40, 4), (50, 5)), xml((7, 3)), "<broken"], reports.lizard)
-    assert tuple(got[0]) == (3.0, 5, 5, 3.0, 4.6, 4.96, 46) and tuple(got[1]) == (3.0, 3, 1, None, None, None, None) and got[2] is None
+    odd = xml((1, 1), ("x", 9), (3, "1.5"), (5, 2)).replace("NCSS", "NLOC").replace("</measure>", "<item><value>1</value></item></measure><measure type='Function'><item><value>9</value></item></measure>")
+    given = [xml((10, 1), (20, 2), (30, 3), (40, 4), (50, 5)), xml((7, 3)), "<broken", None, "", xml(), xml((1, 2)).replace("CCN", "none"), xml((1, 2)) + "<", odd, "<cppncss/>"]
+    rows = reports.lizard(spark.createDataFrame(list(enumerate(given)), "id int, report string"), "report").orderBy("id").select(*reports.LIZARD).collect()
+    assert tuple(rows[0]) == (3.0, 5, 5, 3.0, 4.6, 4.96, 46) and tuple(rows[1]) == (3.0, 3, 1, None, None, None, None)
+    assert all(v is None for r in (*rows[2:8], rows[9]) for v in r) and tuple(rows[8])[:3] == (1.5, 2, 2) and rows[8]["lizard_nloc_p90"] == 4
+
+
+def test_complexity_reports_take_one_parse(spark):
+    """Ten thousand reports, and one XML expression in the plan however often its columns are used."""
+    item = "".join(f"<item><value>{i}</value><value>{i % 7}</value></item>" for i in range(8))
+    xml = f"<cppncss><measure type='Function'><labels><label>NCSS</label><label>CCN</label></labels>{item}</measure></cppncss>"
+    rows = reports.lizard(spark.range(10_000).withColumn("report", F.lit(xml)), "report").filter("lizard_functions IS NOT NULL")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml") <= 1
+    began = time.time()
+    assert rows.filter("lizard_max_ccn = 6 AND lizard_functions = 8").count() == 10_000 and time.time() - began < 20
+
+
+def test_odd_tools(spark):
     assert reports.run_tool(["/no/such/tool"], 1) is None
 
 
