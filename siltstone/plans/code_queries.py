@@ -72,20 +72,20 @@ PLACES = ["src/a{i}.py", "src/b{i}.js", "docs/c{i}.html", "node_modules/d{i}.js"
 
 
 def files(spark, sf_dir) -> DataFrame:
-    """(repo, path, length, content): small files of six languages, each with a comment, from the letters of documents."""
+    """(repo, path, length, content): files of six languages, each with a comment, from the letters of whole documents."""
     docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     k, i = F.col("doc_id") % len(PLACES), F.col("doc_id").cast("string")
     path = F.element_at(F.array(*[F.concat(F.lit("r/" + p.split("{i}")[0]), i, F.lit(p.split("{i}")[1])) for p in PLACES]), (k + 1).cast("int"))
-    words = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 400), "[^A-Za-z\\n]+", " ")
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\\n]+", " ")
     note = F.concat(F.lit(" TODO "), F.regexp_replace(F.substring("words", 1, 80), "\n", " "), F.lit(" 🎉 FIXME it "))
-    body = F.concat(F.lit("\n"), F.regexp_replace(F.substring("words", 81, 400), "\n", "\n\n"), F.lit("\n"))
+    body = F.concat(F.lit("\n"), F.replace(F.substr("words", F.lit(81)), F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
     content = F.when(k.isin(0), F.concat(F.lit("#"), note, body)).when(k.isin(1, 3, 4), F.concat(F.lit("/*"), note, F.lit("\n*/"), body)).when(k == 2, F.concat(F.lit("<!--"), note, F.lit("-->"), body)).when(k == 6, F.concat(F.lit("(*"), note, F.lit("*)"), body)).otherwise(body)
     rows = docs.withColumn("words", words).select(F.col("source").alias("repo"), path.alias("path"), content.alias("content"))
     return rows.withColumn("length", F.octet_length("content").cast("bigint")).withColumn("language", tree.language_of(F.col("path")))
 
 
-FILES_SQL = r"""docs AS (SELECT doc_id, source AS repo, doc_id % 7 AS k, regexp_replace(left(coalesce(text, ''), 400), '[^A-Za-z\n]+', ' ', 'g') AS words FROM documents),
-parts AS (SELECT *, ' TODO ' || replace(left(words, 80), chr(10), ' ') || ' 🎉 FIXME it ' AS note, chr(10) || replace(substring(words, 81, 400), chr(10), chr(10) || chr(10)) || chr(10) AS body FROM docs),
+FILES_SQL = r"""docs AS (SELECT doc_id, source AS repo, doc_id % 7 AS k, regexp_replace(coalesce(text, ''), '[^A-Za-z\n]+', ' ', 'g') AS words FROM documents),
+parts AS (SELECT *, ' TODO ' || replace(left(words, 80), chr(10), ' ') || ' 🎉 FIXME it ' AS note, chr(10) || replace(substring(words, 81), chr(10), chr(10) || chr(10)) || chr(10) AS body FROM docs),
 files AS (SELECT *, CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'html' WHEN 6 THEN 'ocaml' END AS language, CASE k WHEN 0 THEN '#' || note WHEN 1 THEN '/*' || note || chr(10) || '*/' WHEN 2 THEN '<!--' || note || '-->' WHEN 6 THEN '(*' || note || '*)' ELSE '' END AS comment FROM parts WHERE k NOT IN (3, 4)),
 scanned AS (SELECT repo, k, language, len(list_filter(string_split(comment || body, chr(10)), lambda x: trim(x, ' ') <> '')) AS loc, CASE WHEN comment = '' THEN 0 WHEN k = 1 THEN 2 ELSE 1 END AS nloc, comment, CASE WHEN k IN (0, 1, 6) THEN regexp_replace(body, '[ \n]+', ' ', 'g') ELSE '' END AS names FROM files)"""
 _EN = quoted(LEXICON["en"])
@@ -112,6 +112,27 @@ def lexed_files(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"[a-z](\d+)\.", 1).cast("bigint").alias("doc_id"), F.array_join("t.comments", "\n").alias("comments"), F.array_join("t.identifiers", " ").alias("identifiers"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, regexp_replace(coalesce(text, ''), '[^A-Za-z\n]+', ' ', 'g') AS w FROM documents)
+SELECT doc_id, ['rust', 'haskell', 'ocaml'][1 + k] AS language, 2::BIGINT AS comments, 2 * length(w) + 22 AS comment_chars, 2 * len(string_split(w, chr(10)))::BIGINT AS comment_lines, len(regexp_extract_all(w, '[A-Za-z]+')) AS identifiers, len(list_distinct(regexp_extract_all(w, '[A-Za-z]+'))) AS distinct_identifiers FROM d""")
+def nested_comments(spark, sf_dir):
+    """Files whose comments nest, hold strings and stand in strings, lexed by the table function: the words of a whole
+    document twice in comments, once in a string that only looks like one, and once as names."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    w, k = F.col("w"), F.col("doc_id") % 3
+    words = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z\\n]+", " ").alias("w"))
+    joined = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    bare = F.replace(w, F.lit("\n"), F.lit(" "))
+    rust = joined("/* ", w, " /* b */ */\nr#\"/* ", bare, "\" */\"# ", w, "\n/*/**/", w, "*/")
+    haskell = joined("{- ", w, " {- b -} -}\n\"{- ", bare, "\" ", w, "\n{-{--}", w, "-}")
+    ocaml = joined("(* ", w, " (* b *) *)\n{x|(* ", bare, "|x} ", w, "\n(*(**)", w, "*)")
+    files = words.select("doc_id", F.element_at(F.array(*map(F.lit, ("rust", "haskell", "ocaml"))), (k + 1).cast("int")).alias("language"), F.when(k == 0, rust).when(k == 1, haskell).otherwise(ocaml).alias("content"))
+    note, name = F.col("kind") == "comment", F.col("kind") == "identifier"
+    return tree.tokens(files).groupBy("doc_id", "language").agg(
+        F.count_if(note).alias("comments"), F.sum(F.when(note, F.length("text").cast("bigint"))).alias("comment_chars"), F.sum(F.when(note, F.col("last_line") - F.col("first_line") + 1)).alias("comment_lines"),
+        F.count_if(name).alias("identifiers"), F.count_distinct(F.when(name, F.col("text"))).alias("distinct_identifiers"),
+    )
+
+
 @query(f"""WITH {FILES_SQL}, s AS ({SCAN_SQL}), n AS (SELECT source AS repo, count(*) AS n FROM documents GROUP BY source)
 SELECT repo, loc_total, n AS ruff_issues, n AS ruff_style_issues, CASE WHEN loc_total > 0 THEN n / (loc_total / 1000.0::DOUBLE) END AS ruff_issues_per_kloc, NULL::DOUBLE AS eslint_issues_per_kloc, CASE WHEN n % 2 = 0 THEN 0.25::DOUBLE END AS jscpd_duplicate_rate, 1::BIGINT AS bandit_issues FROM s JOIN n USING (repo)""")
 def code_analysis(spark, sf_dir):

@@ -7,6 +7,8 @@ import subprocess
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.plan import computed
+
 BUG_CODES = "^(F|E9|B|S|RUF)"  # fixed values
 ESLINT = {"errorCount": "eslint_errors", "warningCount": "eslint_warnings", "fatalErrorCount": "eslint_fatal_errors", "fixableErrorCount": "eslint_fixable_errors", "fixableWarningCount": "eslint_fixable_warnings"}
 
@@ -57,12 +59,6 @@ def interpolated(xs: Column, q: float) -> Column:
     return F.when(F.size(xs) >= 2, a + (b - a) * (k - lo))
 
 
-def computed(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with costly columns that are computed once: as a generator's output, they are not put in place of their uses."""
-    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("__computed")
-    return rows.select("*", made).select(*rows.columns, "__computed.*")
-
-
 def functions(rows: DataFrame, report: str) -> DataFrame:
     """rows with nlocs and ccns: the sorted figures of the functions in each row's XML report, empty where there is none.
 

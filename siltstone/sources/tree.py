@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from siltstone.functions import text as T
-from siltstone.operators import rollup
+from siltstone.functions.plan import computed
+from siltstone.sources import lexer
 
 # Fixed values.
 SKIP_DIRS = ("node_modules", "vendor", ".git", ".hg", ".svn", "dist", "build", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "target")
@@ -27,53 +28,30 @@ EXTENSIONS = {
     "css": "css", "html": "html", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "sql": "sql",
 }
 
-_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
-_FAMILIES = {
-    "hash": re.compile(rf"(?P<s>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|{_QUOTED})|(?P<c>#[^\n]*)|(?P<i>[^\W\d]\w*)"),
-    "slash": re.compile(rf"(?P<s>{_QUOTED}|`(?:\\.|[^`\\])*`)|(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<i>[^\W\d][\w$]*)"),
-    "dash": re.compile(rf"(?P<s>{_QUOTED})|(?P<c>--\[\[[\s\S]*?\]\]|--[^\n]*|\{{-[\s\S]*?-\}}|/\*[\s\S]*?\*/)|(?P<i>[^\W\d]\w*)"),
-    "semi": re.compile(r"(?P<s>\"(?:\\.|[^\"\\])*\")|(?P<c>;[^\n]*)|(?P<i>[^\W\d][\w*+!?-]*)"),
-    "percent": re.compile(rf"(?P<s>{_QUOTED})|(?P<c>%[^\n]*)|(?P<i>[^\W\d]\w*)"),
-    "ml": re.compile(r"(?P<s>\"(?:\\.|[^\"\\])*\")|(?P<c>\(\*[\s\S]*?\*\))|(?P<i>[^\W\d][\w']*)"),
-    "html": re.compile(r"(?P<s>\0)|(?P<c><!--[\s\S]*?-->)|(?P<i>\0)"),
-}
-_FAMILY = {k: "hash" for k in ("python", "ruby", "shell", "bash", "r", "perl", "elixir", "julia", "yaml", "toml")} | {k: "dash" for k in ("lua", "haskell", "sql")} | {"clojure": "semi", "erlang": "percent", "ocaml": "ml", "html": "html", "markdown": "html"}
-_SLASH = ("javascript", "typescript", "jsx", "tsx", "go", "rust", "java", "kotlin", "scala", "swift", "c", "c++", "c#", "php", "dart", "groovy", "objective-c", "css")
-
-
-def lex(content: str, language: str | None) -> tuple[list[str], list[str], int]:
-    """(comments, identifiers, lines that comments span); strings are neither."""
-    family = _FAMILY.get(language or "") or ("slash" if language in _SLASH else None)
-    if family is None or not content:
-        return [], [], 0
-    comments, names = [], []
-    for m in _FAMILIES[family].finditer(content):
-        if m["c"]:
-            comments.append(m["c"])
-        elif m["i"]:
-            names.append(m["i"])
-    return comments, names, sum(c.count("\n") + 1 for c in comments)
-
-
 _LEXED = StructType([StructField("comments", ArrayType(StringType())), StructField("identifiers", ArrayType(StringType())), StructField("comment_nloc", LongType())])
 
 
 @F.pandas_udf(_LEXED)
 def _by_lexer(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([lex(c or "", k) for c, k in zip(content, language)], columns=["comments", "identifiers", "comment_nloc"])
+    return pd.DataFrame([lexer.told(c, k) for c, k in zip(content, language)], columns=["comments", "identifiers", "comment_nloc"])
 
 
 def lexed(content: Column | str, language: Column | str) -> Column:
     """comments, identifiers and comment_nloc of a file. Markup has neither strings nor names to tell apart, so a pattern
     does; the lexers get only the other files' contents."""
     content, language = (F.col(c) if isinstance(c, str) else c for c in (content, language))
-    markup = F.coalesce(language.isin(*[k for k, v in _FAMILY.items() if v == "html"]), F.lit(False))
+    markup = F.coalesce(language.isin("html", "markdown"), F.lit(False))
     found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?s)<!--.*?-->"), F.lit(0))
     lines = F.aggregate(found, F.lit(0).cast("bigint"), lambda n, c: n + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
     own = F.struct(found.alias("comments"), F.array().cast("array<string>").alias("identifiers"), lines.alias("comment_nloc"))
     return F.when(markup, own).otherwise(_by_lexer(F.when(~markup, content), language))
 
 
+def tokens(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
+    """files without content, a row for each comment and identifier: kind, text, first_line, last_line."""
+    return files.lateralJoin(lexer.Tokens(F.col(content).outer(), F.col(language).outer())).drop(content)
+
+
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) below path, whatever is skipped left out.
 
@@ -107,20 +85,28 @@ def primary_language(files: DataFrame, keys: list[str], language: str = "languag
     return files.select(*keys).distinct().join(n.groupBy(*keys).agg(best.alias("primary_language")), keys, "left")
 
 
-def scan(files: DataFrame, keys: list[str], lexicon: dict[str, list[str]]) -> DataFrame:
-    """Per repository (keys): lines, files, comment lines, lexicon and emoji hits in comments and identifiers, debt markers."""
-    rows = files.withColumn("t", lexed("content", "language"))
+def scan(files: DataFrame, keys: list[str], lexicon: dict[str, list[str]], top: int = 30) -> DataFrame:
+    """Per repository (keys): lines, files, comment lines, lexicon and emoji hits in comments and identifiers, debt markers,
+    and the top emoji.
+
+    Every file is lexed and searched once: it becomes a row with its own figures and one for each of its glyphs, and both
+    kinds are summed by repository and glyph before the shuffle.
+    """
     both = lambda c: F.array_join(c, "\n")
-    rows = rows.select(*keys, T.nonblank_lines(F.col("content")).alias("loc"), F.col("t.comment_nloc").alias("nloc"), both("t.comments").alias("comments"), both("t.identifiers").alias("names"))
+    rows = computed(files.select(*keys, T.nonblank_lines(F.col("content")).alias("loc"), lexed("content", "language").alias("t")), comments=both("t.comments"), names=both("t.identifiers"))
     hits = lambda c: F.size(T.lexicon_hits(F.col(c), F.lit("en"), lexicon))
-    total = lambda x: F.sum(x.cast("bigint"))
-    out = rows.groupBy(*keys).agg(
-        total(F.col("loc")).alias("loc_total"), F.count("*").alias("files_scanned"), total(F.col("nloc")).alias("comment_nloc"),
-        total(hits("comments")).alias("comment_profanity_hits"), total(hits("names")).alias("identifier_profanity_hits"),
-        total(F.size(T.emoji(F.col("comments")))).alias("comment_emoji_hits"), total(F.size(T.emoji(F.col("names")))).alias("identifier_emoji_hits"),
-        total(T.marker_count(F.col("comments"))).alias("tech_debt_markers"),
-    )
-    out = out.withColumn("comment_to_code_ratio", F.when(F.col("loc_total") > 0, F.col("comment_nloc") / F.col("loc_total")))
-    glyphs = rollup.histogram(rows, F.concat(T.emoji(F.col("comments")), T.emoji(F.col("names"))), tuple(keys))
-    tops = rollup.as_maps(rollup.top_n(glyphs, keys, n=30), keys, "emoji_top")
-    return out.join(tops, keys, "left").withColumn("emoji_top", F.coalesce("emoji_top", F.create_map().cast("map<string,bigint>")))
+    found = computed(rows, in_comments=T.emoji(F.col("comments")), in_names=T.emoji(F.col("names")), comment_hits=hits("comments"), name_hits=hits("names"), markers=T.marker_count(F.col("comments")))
+    figures = {
+        "loc_total": F.col("loc"), "files_scanned": F.lit(1), "comment_nloc": F.col("t.comment_nloc"), "comment_profanity_hits": F.col("comment_hits"), "identifier_profanity_hits": F.col("name_hits"),
+        "comment_emoji_hits": F.size("in_comments"), "identifier_emoji_hits": F.size("in_names"), "tech_debt_markers": F.col("markers"),
+    }
+    none = F.lit(None).cast("string")
+    own = F.struct(none.alias("glyph"), *[c.cast("bigint").alias(k) for k, c in figures.items()])
+    one = lambda g: F.struct(g.alias("glyph"), *[(F.lit(1) if k == "files_scanned" else F.lit(0)).cast("bigint").alias(k) for k in figures])
+    each = found.select(*keys, F.explode(F.concat(F.array(own), F.transform(F.concat("in_comments", "in_names"), one))).alias("f")).select(*keys, "f.*")
+    summed = each.groupBy(*keys, "glyph").agg(*[F.sum(k).alias(k) for k in figures])
+    mine, order = F.col("glyph").isNull(), F.struct((-F.col("files_scanned")).alias("less"), F.col("glyph").alias("key"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.when(~mine, order))), 1, top)  # a repository's distinct glyphs: no more than the grammar has
+    entries = F.array_sort(F.transform(ranked, lambda e: F.struct(e["key"].alias("key"), (-e["less"]).alias("value"))))
+    out = summed.groupBy(*keys).agg(*[F.sum(F.when(mine, F.col(k))).alias(k) for k in figures], F.map_from_entries(entries).alias("emoji_top"))
+    return out.withColumn("comment_to_code_ratio", F.when(F.col("loc_total") > 0, F.col("comment_nloc") / F.col("loc_total"))).select(*keys, *figures, "comment_to_code_ratio", "emoji_top")
