@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from siltstone.operators import ranks
+
 
 def unpivot(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """(ids, metric, x) without nulls."""
@@ -52,27 +54,38 @@ def two_sided_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) ->
     return pd.Series(out, dtype="float64")
 
 
-def mann_whitney(long: DataFrame, first: str = "clean", second: str = "profane", least: int = 5, alpha: float = 0.05) -> DataFrame:
-    """One row for each metric of long (metric, cohort, x): n1, n2, medians, U of the first sample, r_rb, p, significant.
+def by_value(long: DataFrame, first: str, second: str) -> DataFrame:
+    """(metric, x, a, b) with ranges and running sums: how often both cohorts have each value of a metric."""
+    counted = long.groupBy("metric", "x").agg(F.count_if(F.col("cohort") == first).alias("a"), F.count_if(F.col("cohort") == second).alias("b")).filter("a + b > 0")
+    return ranks.cumulated(counted, ["metric"], "x", ["a", "b"])
 
-    Values are counted by (metric, x) before they are ranked, so the window runs over distinct values only. Where a side
-    has fewer than least values, U, r_rb and p are null. Significance is at alpha over the number of metrics.
-    """
-    a, b = F.col("cohort") == first, F.col("cohort") == second
-    by_value = long.groupBy("metric", "x").agg(F.count_if(a).alias("a"), F.count_if(b).alias("b")).withColumn("t", F.col("a") + F.col("b")).filter("t > 0")
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("metric").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("rank", before + (F.col("t") + 1) / 2.0)
-    sums = ranked.groupBy("metric").agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum((F.pow(F.col("t").cast("double"), 3) - F.col("t")).cast("double")).alias("ties"))
-    medians = long.groupBy("metric").agg(F.median(F.when(a, F.col("x"))).alias("median_1"), F.median(F.when(b, F.col("x"))).alias("median_2"))
+
+def tested(values: DataFrame, least: int = 5, alpha: float = 0.05) -> DataFrame:
+    """The rank test of each metric of by_value rows."""
+    t = F.col("a") + F.col("b")
+    ranked = values.withColumns({"t": t, "rank": F.col("a_before") + F.col("b_before") + (t + 1) / 2.0})
+    sums = ranked.groupBy("metric").agg(
+        F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r1"), F.sum((F.pow(F.col("t").cast("double"), 3) - F.col("t")).cast("double")).alias("ties"),
+        ranks.median_of("x", "a").alias("median_1"), ranks.median_of("x", "b").alias("median_2"),
+    )
     enough = F.least("n1", "n2") >= least
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    out = sums.join(medians, "metric").withColumn("u", F.when(enough, u))
+    out = sums.withColumn("u", F.when(enough, u))
     out = out.withColumn("r_rb", F.when(enough, 1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))))
     out = out.withColumn("p", F.when(enough, two_sided_p("u", F.col("n1").cast("double"), F.col("n2").cast("double"), "ties")))
     m = F.count("*").over(Window.partitionBy(F.lit(0)))  # one row for each metric
     return out.withColumn("significant", F.col("p") < F.lit(alpha) / m).drop("r1", "ties")
 
 
+def mann_whitney(long: DataFrame, first: str = "clean", second: str = "profane", least: int = 5, alpha: float = 0.05) -> DataFrame:
+    """One row for each metric of long (metric, cohort, x): n1, n2, medians, U of the first sample, r_rb, p, significant.
+
+    Ranks and medians come from counts by value in ranges, so a metric is not one task's. Where a side has fewer than least
+    values, U, r_rb and p are null. Significance is at alpha over the number of metrics.
+    """
+    return tested(by_value(long, first, second), least, alpha)
+
+
 def in_subsets(long: DataFrame, column: str, subsets: dict[str, tuple[str, ...]]) -> DataFrame:
     """Rows of long once for each subset that they belong to, with its name as subset; an empty tuple takes every row."""
     held = [F.when(F.lit(True) if not v else F.col(column).isin(*v), F.lit(k)) for k, v in subsets.items()]
@@ -89,9 +102,10 @@ def mwu_tables(long: DataFrame, metrics: dict[str, tuple[str, ...]], family: int
     return out.withColumn("subset", parts[0]).withColumn("metric", parts[1]).orderBy("subset", F.col("p").asc_nulls_last(), "metric")
 
 
-def forest(long: DataFrame, alpha: float = 0.05, **options) -> DataFrame:
+def forest(long: DataFrame, alpha: float = 0.05, first: str = "clean", second: str = "profane", **options) -> DataFrame:
     """Rank test and interval of each metric, by effect."""
-    return mann_whitney(long, alpha=alpha).join(bootstrap_effect(long, **options), "metric").orderBy(F.col("r_rb").asc_nulls_last(), "metric")
+    values = by_value(long, first, second)
+    return tested(values, alpha=alpha).join(effect_intervals(values, **options), "metric").orderBy(F.col("r_rb").asc_nulls_last(), "metric")
 
 
 def median_rows(long: DataFrame, family: int, alpha: float = 0.05, **options) -> DataFrame:
@@ -104,48 +118,32 @@ def median_rows(long: DataFrame, family: int, alpha: float = 0.05, **options) ->
     return tests.join(of("clean"), ["subset", "metric"], "left").join(of("profane"), ["subset", "metric"], "left")
 
 
-def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profane", resamples: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
-    """(metric, low, high): the 2.5 and 97.5 % quantiles of r_rb over resamples; null where a side has fewer than least values.
+def effect_intervals(values: DataFrame, resamples: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
+    """(metric, low, high) of by_value rows: the 2.5 and 97.5 % quantiles of r_rb over resamples; null where a side has fewer
+    than least values. What is shuffled grows with the distinct values and with resamples times ranges."""
+    found = ranks.interval(ranks.effect_resamples(values, ["metric"], resamples, seed, least), ["metric"], "r_rb")
+    return values.select("metric").distinct().join(found, "metric", "left")
 
-    A metric of a cohort study is one group.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cohort", "x"])
-        a, b = (pdf.x[pdf.cohort == c].to_numpy() for c in (first, second))
-        if min(len(a), len(b)) < max(1, least):
-            return pd.DataFrame({"metric": [pdf.metric.iloc[0]], "low": [np.nan], "high": [np.nan]})
-        rng, out = np.random.default_rng(seed), []
-        for _ in range(resamples):
-            x, y = np.sort(rng.choice(a, len(a))), rng.choice(b, len(b))
-            less = np.searchsorted(x, y, "left")
-            same = np.searchsorted(x, y, "right") - less
-            u1 = len(x) * len(y) - (less + 0.5 * same).sum()
-            out.append(1 - 2 * u1 / (len(x) * len(y)))
-        return pd.DataFrame({"metric": [pdf.metric.iloc[0]], "low": [np.quantile(out, 0.025)], "high": [np.quantile(out, 0.975)]})
-
-    return long.filter(F.col("cohort").isin(first, second)).groupBy("metric").applyInPandas(one, "metric string, low double, high double")
+def bootstrap_effect(long: DataFrame, first: str = "clean", second: str = "profane", **options) -> DataFrame:
+    """effect_intervals of long (metric, cohort, x)."""
+    return effect_intervals(by_value(long, first, second), **options)
 
 
 def bootstrap_median(long: DataFrame, resamples: int = 2000, seed: int = 42, least: int = 5, by: tuple[str, ...] = ("metric", "cohort")) -> DataFrame:
-    """(by, median, low, high); all three null where a group has fewer than least values."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf.x.to_numpy())
-        rng, names = np.random.default_rng(seed), {c: [pdf[c].iloc[0]] for c in by}
-        if len(x) < least:
-            return pd.DataFrame(names | {"median": [np.nan], "low": [np.nan], "high": [np.nan]})
-        got = [np.median(rng.choice(x, len(x))) for _ in range(resamples)]
-        return pd.DataFrame(names | {"median": [float(np.median(x))], "low": [np.quantile(got, 0.025)], "high": [np.quantile(got, 0.975)]})
-
-    return long.groupBy(*by).applyInPandas(one, ", ".join(f"{c} string" for c in by) + ", median double, low double, high double")
+    """(by, median, low, high); all three null where a group has fewer than least values. by: columns of strings, not null."""
+    keys = list(by)
+    values = ranks.cumulated(long.groupBy(*keys, "x").agg(F.count("*").alias("n")), keys, "x", ["n"])
+    spans = ranks.interval(ranks.median_resamples(values, keys, resamples, seed, least), keys, "median")
+    known = values.groupBy(*keys).agg(ranks.median_of("x", "n").alias("median"), F.max("n_total").alias("n"))
+    return known.join(spans, keys, "left").select(*keys, F.when(F.col("n") >= least, F.col("median")).alias("median"), "low", "high")
 
 
 def ecdf(rows: DataFrame, group: str, x: str) -> DataFrame:
     """(group, x, n, share): one row for each distinct value, share of values up to it."""
     n = rows.filter(F.col(x).isNotNull()).groupBy(group, x).agg(F.count("*").alias("n"))
-    up = F.sum("n").over(Window.partitionBy(group).orderBy(x))
-    return n.select(group, x, "n", (up / F.sum("n").over(Window.partitionBy(group)).cast("double")).alias("share"))
+    upto = (F.col("n_before") + F.col("n")) / F.col("n_total").cast("double")
+    return ranks.cumulated(n, [group], x, ["n"]).select(group, x, "n", upto.alias("share"))
 
 
 def log_bin(x: Column, low: float = 2.0, high: float = 7.5, bins: int = 49) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     return found.rstrip("/") + "/siltstone"
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """rows written to the shared folder and read again: cuts the lineage and fixes what a second run might decide otherwise."""
+    path = f"{shared_folder(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -38,22 +38,51 @@ def test_query(spark, con, name):
         assert got
 
 
-def test_bootstrap_queries_do_all_resamples_and_subsets(spark):
+def numpy_interval(draw, resamples):
+    """Of a statistic's resamples: its 2.5 and 97.5 % quantiles, and what two runs of so many may differ by."""
+    got = np.array([draw() for _ in range(resamples)])
+    low, high = np.quantile(got, [0.025, 0.975])
+    near = lambda q: max(abs(np.quantile(got, [max(0, q - 0.02), min(1, q + 0.03)]) - np.quantile(got, q)))
+    return low, high, near(0.025) + 1e-9, near(0.975) + 1e-9
+
+
+def agrees(row, want):
+    low, high, a, b = want
+    return abs(row["low"] - low) <= a and abs(row["high"] - high) <= b
+
+
+def test_bootstrap_queries_do_all_subsets_like_numpy(spark):
+    """Medians are exact; intervals lie within what two runs of numpy's form differ by."""
     long = catalog.metric_frame(spark, SF, "lang").toPandas()
-    panel = {(r["subset"], r["metric"], r["cohort"]): tuple(math.nan if r[c] is None else r[c] for c in ("median", "low", "high")) for r in study_queries.median_panel(spark, SF).collect()}
-    want = {}
+    rng = np.random.default_rng(7)
+    panel = {(r["subset"], r["metric"], r["cohort"]): r for r in study_queries.median_panel(spark, SF).collect()}
+    groups = {}
     for subset in ["pooled", *long.lang.dropna().unique()]:
         for (metric, cohort), g in long[(long.lang == subset) | (subset == "pooled")].groupby(["metric", "cohort"]):
-            x, rng = np.sort(g.x.to_numpy()), np.random.default_rng(42)
-            got = [np.median(rng.choice(x, len(x))) for _ in range(2000)]
-            want[subset, metric, cohort] = (np.median(x), *np.quantile(got, [0.025, 0.975])) if len(x) >= 5 else (math.nan,) * 3
-    assert len({k[0] for k in want}) > 2 and set(panel) == set(want)
-    assert all(np.allclose(panel[k], want[k], equal_nan=True) for k in want)
-    for r in study_queries.forest_rows(spark, SF).collect():
-        g = long[long.metric == r["metric"]].sort_values(["cohort", "x"])
-        a, b = (g.x[g.cohort == c].to_numpy() for c in ("clean", "profane"))
-        rng, out = np.random.default_rng(42), []
-        for _ in range(1000):
-            x, y = rng.choice(a, len(a)), rng.choice(b, len(b))
-            out.append(1 - 2 * ((x[:, None] > y).sum() + 0.5 * (x[:, None] == y).sum()) / (len(a) * len(b)))
-        assert np.allclose((r["low"], r["high"]), np.quantile(out, [0.025, 0.975]))
+            groups[subset, metric, cohort] = g.x.to_numpy()
+    assert len({k[0] for k in groups}) > 2 and set(panel) == set(groups)
+    for k, x in groups.items():
+        r = panel[k]
+        assert (r["median"], r["low"], r["high"]) == (None, None, None) if len(x) < 5 else r["median"] == np.median(x) and agrees(r, numpy_interval(lambda: np.median(rng.choice(x, len(x))), 2000)), k
+
+    def effect(a, b):
+        return 1 - 2 * ((a[:, None] > b).sum() + 0.5 * (a[:, None] == b).sum()) / (len(a) * len(b))
+
+    rows = {r["metric"]: r for r in study_queries.forest_rows(spark, SF).collect()}
+    assert set(rows) == set(catalog.METRICS)
+    for metric, r in rows.items():
+        a, b = groups["pooled", metric, "clean"], groups["pooled", metric, "profane"]
+        assert abs(r["r_rb"] - effect(a, b)) < 1e-12 and agrees(r, numpy_interval(lambda: effect(rng.choice(a, len(a)), rng.choice(b, len(b))), 1000)), metric
+
+    tests = {(r["subset"], r["metric"]): r for r in study_queries.mwu_subsets(spark, SF).collect()}
+    joined = {(r["subset"], r["metric"]): r for r in study_queries.per_language_panel(spark, SF).collect()}
+    held = {k: v for k, v in study_queries.SUBSETS.items()}
+    assert set(joined) == {(s, m) for s in held for m in catalog.METRICS}
+    for (subset, metric), r in joined.items():
+        of = lambda c: long[(long.metric == metric) & (long.cohort == c) & (long.lang.isin(held[subset]) if held[subset] else True)].x.to_numpy()
+        for c, n in (("clean", r["n_clean"]), ("profane", r["n_profane"])):
+            x = of(c)
+            assert n == len(x) and (r[f"median_{c}"] == np.median(x) if n >= 5 else r[f"median_{c}"] is None), (subset, metric, c)
+            assert n < 5 or r[f"low_{c}"] <= np.median(x) <= r[f"high_{c}"]
+        if (subset, metric) in tests and tests[subset, metric]["p"] is not None:
+            assert abs(r["p"] - tests[subset, metric]["p"]) < 1e-6 and r["significant"] == (r["p"] < 0.01)
