@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import rollup
-from siltstone.plans.registry import LEXICON, NOW, dealt, emoji_sql, hits_sql, language_sql, query, table
+from siltstone.plans.registry import LEXICON, NOW, SQL, dealt, emoji_sql, hits_sql, language_sql, query, table
 from siltstone.session import shared_folder
 from siltstone.sources import archive, lexicon
-from siltstone.streaming import ingest
+from siltstone.sources.archive_stream import ArchiveStream
+from siltstone.streaming import ingest, state
 
 #: Added to a message by its place, so that every hour has emoji, words of the lexicon and leetspeak.
 ADDED = [" 🎉🎉 fixed", " you 1d10t", "", " ❤️ scum and m0r0n", " trash", " – que para"]
@@ -141,6 +142,23 @@ def stream_ingest_equiv(spark, sf_dir):
     return _told(ingest.finalize(spark, f"{where}/out")).drop(*rollup.MAPS)
 
 
+@query(SQL["repositories_finalized"])
+def repositories_streamed(spark, sf_dir):
+    """The archive stream into keyed state, stopped after a third of its files and started again from its checkpoint: the last
+    state of every repository."""
+    where = _landed(spark, sf_dir, lines(spark, sf_dir))
+    spark.dataSource.register(ArchiveStream)
+    source = {"base": f"{where}/in", "first": "2024-01-01-00", "filesPerTrigger": "8", "checkpoint": f"{where}/checkpoint"}
+    for last in ("2024-01-01-07", "2024-01-01-23"):
+        read = spark.readStream.format("hourly_archive_stream").options(**source, last=last).load()
+        running = state.start(spark, read, f"{where}/state", f"{where}/checkpoint", LEXICON, NOW)
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    return _told(rollup.finalize(state.latest(spark, f"{where}/state"), 3))
+
+
 @query(f"""WITH {COMMITS}, c AS (SELECT file_id, count(*) AS n FROM commits GROUP BY file_id), f AS (SELECT DISTINCT file_id, repo_id FROM commits), o AS (SELECT repo_id, min(file_id) AS first FROM f GROUP BY repo_id),
 e AS (SELECT file_id, count(*) FILTER (WHERE file_id = first) AS upserted, count(*) FILTER (WHERE file_id <> first) AS modified FROM f JOIN o USING (repo_id) GROUP BY file_id), l AS (SELECT file_id, count(*) AS rows FROM src GROUP BY file_id)
 SELECT l.file_id, rows, 'done' AS status, coalesce(c.n, 0)::BIGINT AS commits_observed, coalesce(upserted, 0)::BIGINT AS upserted, coalesce(modified, 0)::BIGINT AS modified, true AS sized FROM l LEFT JOIN c USING (file_id) LEFT JOIN e USING (file_id)""")
