@@ -6,7 +6,8 @@ shares one of its first n - ceil(s n) + 1 shingles in any global order with the
 puts frequent shingles last, by counts over all documents in hashed buckets. Sets that share such a shingle form a list;
 lists of equal members are one. A parity sketch, the bits of an odd number of shingles, differs in no more places than the
 sets do, so it rules pairs out for certain before any text is fetched. In each list, stars of pairs that the sketch thinks
-alike are verified first, twice, around different members; what is still apart and not ruled out is then verified in full.
+alike are verified first, twice, around different members; what is still apart and not ruled out is then verified in full,
+a pair that several lists share in the first of them. Long lists are compared in pairs of blocks.
 Every candidate is verified on its whole sets, so no pair is lost and none is linked wrongly.
 """
 
@@ -190,17 +191,19 @@ def stars(key, n, sketch, root, similarity: float):
         left = rest[~(like | same)]
 
 
-def across(key, n, sketch, root, similarity: float):
-    """(a, b) of all members of different groups whose pair is not ruled out. The largest group is not compared with itself."""
-    names, group = np.unique(root, return_inverse=True)
-    major = np.bincount(group).argmax()
-    for i in np.flatnonzero(group != major):
-        others = np.flatnonzero((group != group[i]) & ((group == major) | (np.arange(len(key)) < i)))
-        for at in range(0, len(others), BLOCK):
-            part = others[at : at + BLOCK]
-            part = part[_alike(sketch, n, i, part, similarity)[0]]
-            if len(part):
-                yield np.full(len(part), key[i]), key[part]
+def across(key, n, sketch, root, similarity: float, side, whole: bool, smaller: list):
+    """(a, b) of all members of different groups whose pair is not ruled out, and that no smaller list holds, where the pair
+    is compared too: within the cell if it is whole, else between its two sides."""
+    smaller = [frozenset(x) for x in smaller]
+    first = np.arange(len(key)) if whole else np.flatnonzero(side == side.min())
+    rest = first if whole else np.flatnonzero(side != side.min())
+    for i in first:
+        others = rest[(root[rest] != root[i]) & (rest < i if whole else True)]
+        if len(others):
+            others = others[_alike(sketch, n, i, others, similarity)[0]]
+            others = np.array([j for j in others.tolist() if smaller[i].isdisjoint(smaller[j])], np.int64)
+            if len(others):
+                yield np.full(len(others), key[i]), key[others]
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,9 +292,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     prefix = texts.select("text").mapInArrow(prefixes, "tok bigint, key bigint").repartition("tok").sortWithinPartitions("tok", "key")
     lists = staged(prefix.mapInArrow(shared, "list bigint, key bigint").distinct(), "shingle-lists")
-    sized = lists.join(lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "list")
-    members = staged(sized.join(sets.select("key", "n", "sketch"), "key"), "shingle-members")
-
     def alike(batches):
         drop_caches()
         known: dict[int, np.ndarray] = {}
@@ -328,33 +328,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         got = staged(both.select("a", "b", "ta", "tb").mapInArrow(alike, "a bigint, b bigint, linked boolean"), "shingle-pairs")
         return got if before is None else before.unionByName(got)
 
+    def grouped(roots: DataFrame) -> DataFrame:
+        """(list, key, root, count, most, major) of the lists that hold several groups: their members, the number of them, and
+        their largest group. Sketches come later, as only these members need theirs."""
+        at = lists.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        by_group = at.groupBy("list", "root").agg(F.count("*").alias("c")).groupBy("list").agg(F.sum("c").alias("count"), F.max(F.struct("c", "root")).alias("m"))
+        mixed = by_group.filter("count > m.c").select("list", "count", F.col("m.c").alias("most"), F.col("m.root").alias("major"))
+        return at.join(mixed, "list")
+
+    def blocks_of(n):
+        return F.ceil(n / BLOCK).cast("int")
+
+    def starred(turn: int, at: DataFrame) -> DataFrame:
+        """Each member in one block of its list, which the turn deals anew."""
+        return at.withColumn("cell", F.struct(F.lit(0).alias("kind"), F.pmod(F.xxhash64("key", F.lit(turn)), blocks_of(F.col("count"))).cast("int").alias("a"), F.lit(0).alias("b"))).withColumns({"side": F.lit(0), "smaller": F.array().cast("array<bigint>")})
+
+    def celled(turn: int, at: DataFrame) -> DataFrame:
+        """Each list as cells of pairs of blocks, so that every pair of different groups meets in one cell, and a cell holds two
+        blocks at most: blocks of members outside the largest group against one another, and against that group's. smaller:
+        the lists before this one that the member is in as well."""
+        at = at.withColumns({"minor": F.col("root") != F.col("major"), "rows": blocks_of(F.col("count") - F.col("most")), "cols": blocks_of(F.col("most"))})
+        at = at.withColumn("own", F.pmod(F.xxhash64("key", F.lit(turn)), F.when(F.col("minor"), F.col("rows")).otherwise(F.col("cols"))).cast("int"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        cell = lambda kind, a, b, side: F.struct(F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b")).alias("cell"), side.cast("int").alias("side"))
+        own = F.col("own")
+        one_another = F.transform(upto("rows"), lambda v: cell(0, F.least(own, v), F.greatest(own, v), own))
+        cells = F.when(F.col("minor"), F.concat(one_another, F.transform(upto("cols"), lambda w: cell(1, own, w, F.lit(0))))).otherwise(F.transform(upto("rows"), lambda u: cell(1, u, own, F.lit(1))))
+        held = at.groupBy("key").agg(F.collect_list("list").alias("held"))  # no more than a set's first shingles
+        at = at.join(held, "key").withColumn("smaller", F.filter("held", lambda x: x < F.col("list")))
+        return at.select("list", "key", "root", "smaller", F.explode(cells).alias("c")).select("list", "key", "root", "smaller", "c.*")
+
     def compared(turn: int, roots: DataFrame, how) -> DataFrame:
-        """Candidate pairs of lists that hold several groups, each list in blocks that the turn deals anew."""
-        at = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = at.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list")
-        at = at.join(mixed, "list")
-        spot = F.xxhash64("key", F.lit(turn))
-        if how is across:  # a block has its share of the list's largest group, and every member of the others
-            sizes = at.groupBy("list", "root").agg(F.count("*").alias("c")).groupBy("list").agg(F.max(F.struct("c", "root")).alias("m")).select("list", F.col("m.root").alias("major"))
-            spread = F.when(F.col("root") == F.col("major"), F.array(F.pmod(spot, F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-            at = at.join(sizes, "list").withColumn("block", F.explode(spread))
-        else:
-            at = at.withColumn("block", F.pmod(spot, F.col("blocks")).cast("int"))
+        """Candidate pairs of lists that hold several groups."""
+        at = (celled if how is across else starred)(turn, grouped(roots))
+        whole = (F.col("cell.kind") == 0) & (F.col("cell.a") == F.col("cell.b"))
+        dealt = at.select("key", "root", "side", "smaller", F.xxhash64("list", "cell").alias("run"), whole.alias("whole"), F.xxhash64("key", F.lit(turn)).alias("spot")).join(sets.select("key", "n", "sketch"), "key")
 
         def run(batches):
             drop_caches()
 
             def pairs():
                 for t in runs(batches):
-                    run_, key, n, root = (t.column(c).to_numpy() for c in ("run", "key", "n", "root"))
+                    run_, key, n, root, side, whole_ = (t.column(c).to_numpy() for c in ("run", "key", "n", "root", "side", "whole"))
                     packed = t.column("sketch").to_pylist()
                     start = np.flatnonzero(np.append(True, run_[1:] != run_[:-1]))
                     for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
-                        yield from how(key[lo:hi], n[lo:hi].astype(np.int64), Sketches(packed[lo:hi]), root[lo:hi], similarity)
+                        more = (side[lo:hi], bool(whole_[lo]), t.column("smaller").slice(lo, hi - lo).to_pylist()) if how is across else ()
+                        yield from how(key[lo:hi], n[lo:hi].astype(np.int64), Sketches(packed[lo:hi]), root[lo:hi], similarity, *more)
 
             yield from gathered(pairs(), ["a", "b"])
 
-        keyed_ = at.select(F.xxhash64("list", "block").alias("run"), "key", "n", "root", "sketch", spot.alias("spot"))
+        keyed_ = dealt.select("run", "key", "n", "root", "sketch", "side", "whole", "smaller", "spot")
         return keyed_.repartition("run").sortWithinPartitions("run", "spot").mapInArrow(run, "a bigint, b bigint")
 
     prints = staged(sets.groupBy("fp").agg(F.min("key").alias("key")), "shingle-fingerprints")
