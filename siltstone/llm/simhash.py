@@ -166,12 +166,9 @@ def star_edges(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(shard.astype(np.int32)), pa.array(home)], ["fp", "shard", "home"])
 
     routed = staged(fps.select("fp").mapInArrow(route, "fp bigint, shard int, home boolean"), "routed")
-    held = routed.groupBy("shard").count().collect()  # a row for each shard
-    blocks = {s: -(-c // BLOCK) for s, c in held if c > BLOCK}
-    n_blocks = F.lit(1)
-    for s, c in blocks.items():
-        n_blocks = F.when(F.col("shard") == s, c).otherwise(n_blocks)
-    spread = routed.withColumn("n", n_blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    blocks = routed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    sized = routed.join(F.broadcast(blocks), "shard")  # a row for each shard: the square root of the fingerprints
+    spread = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     # A shard of n blocks is compared as n * n pairs of them: homes of one with all points of the other.
     every = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     asked = spread.filter("home").select("fp", "shard", F.col("own").alias("i"), every).select("fp", "shard", "i", F.col("other").alias("j"), F.lit(True).alias("home"))
@@ -202,7 +199,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(floor, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))
         edges = staged(small.distinct(), "small-star")
-    raise RuntimeError("components did not settle")
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds, which link 2 ** {most_rounds} nodes in a row: the edges change between runs; stage them, or raise most_rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
