@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siltstone.llm import filter_audit, spelling_variants, weak_pii
+from siltstone.llm import filter_audit, shingle_dedup, simhash, spelling_variants, weak_pii
 from siltstone.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -227,3 +227,49 @@ def test_filter_audit_of_the_table(spark):
     for t in ("documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert set(got) == set(con.sql(ORACLE_SQL["op13_filter_audit"]).fetchall()) == brute_audit(con.sql("SELECT doc_id, text, lang FROM documents").fetchall(), con.sql("SELECT doc_id, quality, toxic FROM labels").fetchall())
+
+
+# Near-duplicates at scale: many dense shards, lists of mutually different sets.
+
+
+def test_hundreds_of_dense_shards(spark, monkeypatch):
+    """As many shards as tens of millions of fingerprints make, all dense."""
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 63, 250, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *(base[:80] ^ (np.uint64(1) << rng.integers(0, 64, 80).astype(np.uint64)) for _ in range(3))]))
+    monkeypatch.setattr(simhash, "SHARD_BASE", len(fps) / 500**2)
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    edges = simhash.star_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"))
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    label = np.arange(len(fps))
+    close = [np.flatnonzero(np.bitwise_count(fps ^ x) <= 3) for x in fps]
+    while True:
+        new = np.array([label[c].min() for c in close])
+        if (new == label).all():
+            break
+        label = new
+    got, want = defaultdict(set), defaultdict(set)
+    for x, group in zip(fps.view(np.int64).tolist(), label.tolist()):
+        got[roots.get(x, x)].add(x)
+        want[group].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(fps)
+
+
+def test_a_pair_is_compared_in_one_cell_of_one_list():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(30)]
+    for i in range(0, 30, 3):
+        sets[i + 1] = np.unique(np.append(sets[i][1:], np.uint64(i)))
+    key, n, root = np.arange(30), np.array([len(s) for s in sets]), np.arange(30) // 2
+    sketch = shingle_dedup.Sketches([shingle_dedup.sketch_of(s) for s in sets])
+    pairs = lambda similarity, side, whole, smaller: [(max(a, b), min(a, b)) for x, y in shingle_dedup.across(key, n, sketch, root, similarity, side, whole, smaller) for a, b in zip(x.tolist(), y.tolist())]
+    none = [[]] * 30
+    inside = pairs(0.0, np.zeros(30), True, none)
+    assert len(inside) == len(set(inside)) == sum(root[i] != root[j] for i in range(30) for j in range(i))
+    side = np.arange(30) % 2
+    between = pairs(0.0, side, False, none)
+    assert len(between) == len(set(between)) and all(side[a] != side[b] and root[a] != root[b] for a, b in between) and len(between) == sum(side[i] != side[j] and root[i] != root[j] for i in range(30) for j in range(i))
+    held = [[7] if i < 10 else [9, 7] if i < 12 else [5] for i in range(30)]
+    assert set(inside) - set(pairs(0.0, np.zeros(30), True, held)) == {(a, b) for a, b in inside if set(held[a]) & set(held[b])}
+    alike = {(i + 1, i) for i in range(0, 30, 3) if root[i] != root[i + 1]}
+    assert alike <= set(pairs(0.8, np.zeros(30), True, none)) and alike
