@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import rate
 
 
+def first_samples(rows: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """(keys, samples): the first of each group's samples (at, sample) in order. The limit is applied before the shuffle and
+    after it, so no more than samples rows of a group are ever held together."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "sample"))
+    first = rows.filter("sample IS NOT NULL").select(*keys, "at", "sample").withColumn("place", place).filter(F.col("place") <= samples)
+    return first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "sample"))).alias("samples"))
+
+
+def with_samples(groups: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """groups with their samples, none as an empty array; keys may be null."""
+    renamed = first.withColumnsRenamed({k: f"__{k}" for k in keys})
+    out = groups.join(renamed, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
+    return out.withColumn("samples", F.coalesce("samples", F.array().cast(first.schema["samples"].dataType)))
+
+
 def partials(scored: DataFrame, samples: int = 5) -> DataFrame:
-    """One row for each (file_id, repo_id): counters, authors, first name and time, the first sample messages."""
-    key = F.struct("file_id", "line_no", "pos")
-    return scored.groupBy("file_id", "repo_id").agg(
+    """One row for each (file_id, repo_id): counters, authors, first name and time, the first sample messages. scored is
+    read twice: hand it over written where it is costly."""
+    keys = ["file_id", "repo_id"]
+    counted = scored.groupBy(*keys).agg(
         F.count("*").alias("commits"), F.sum(F.size("hits").cast("bigint")).alias("profanity_hits"), F.sum(F.size("glyphs").cast("bigint")).alias("emoji_hits"),
         F.count_if(F.size("glyphs") > 0).alias("emoji_commits"), F.array_sort(F.collect_set("author")).alias("authors"),
         F.min(F.struct("seen_at", "file_id", "line_no", "pos", "repo_name")).alias("first"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("sample").isNotNull(), F.struct(key.alias("at"), F.col("sample").alias("sample"))))), 1, samples).alias("samples"),
     )
+    return with_samples(counted, first_samples(scored.withColumn("at", F.struct("file_id", "line_no", "pos")), keys, samples), keys)
 
 
 def histogram(scored: DataFrame, values: Column, keys: tuple[str, ...] = ("file_id", "repo_id")) -> DataFrame:
@@ -27,10 +45,12 @@ def histogram(scored: DataFrame, values: Column, keys: tuple[str, ...] = ("file_
 def merge(parts: DataFrame, samples: int = 5) -> DataFrame:
     """Repositories from partials of any files; every aggregate is associative, so late files need no order."""
     out = parts.groupBy("repo_id").agg(
-        F.sum("commits").alias("commits"), F.sum("profanity_hits").alias("profanity_hits"), F.sum("emoji_hits").alias("emoji_hits"), F.sum("emoji_commits").alias("emoji_commits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("authors")))).alias("authors"), F.min("first").alias("first"),
-        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, samples).alias("samples"),
+        F.sum("commits").alias("commits"), F.sum("profanity_hits").alias("profanity_hits"), F.sum("emoji_hits").alias("emoji_hits"), F.sum("emoji_commits").alias("emoji_commits"), F.min("first").alias("first"),
     )
+    each = parts.select("repo_id", F.explode("authors").alias("author")).distinct()  # in long form, so that files' lists do not meet
+    authors = each.groupBy("repo_id").agg(F.array_sort(F.collect_list("author")).alias("authors"))
+    known = parts.select("repo_id", F.explode("samples").alias("s")).select("repo_id", "s.*")
+    out = with_samples(out.join(authors, "repo_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>"))), first_samples(known, ["repo_id"], samples), ["repo_id"])
     return out.withColumn("profanity_rate", rate(F.col("profanity_hits"), F.col("commits"))).withColumn("emoji_rate", rate(F.col("emoji_hits"), F.col("commits")))
 
 
@@ -87,8 +107,6 @@ def file_effects(parts: DataFrame) -> DataFrame:
 
 def top_n(counts: DataFrame, keys: list[str], key: str = "key", n_col: str = "n", n: int = 3) -> DataFrame:
     """The n largest counters of each group, ties by key."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(F.col(n_col).desc(), F.col(key))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

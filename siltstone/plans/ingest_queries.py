@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.plan import computed
 from siltstone.operators import rollup
 from siltstone.plans.registry import LEXICON, NOW, SQL, dealt, emoji_sql, hits_sql, language_sql, query, table
-from siltstone.session import shared_folder
+from siltstone.session import shared_folder, written
 from siltstone.sources import archive, lexicon
 from siltstone.sources.archive_stream import ArchiveStream
 from siltstone.streaming import ingest, state
@@ -38,11 +39,12 @@ def lines(spark, sf_dir) -> DataFrame:
     seconds = F.col("line_no") % 86400
     at = F.when(m == 9, F.lit('"no time"')).otherwise(F.concat(F.lit('"'), F.date_format(F.timestamp_seconds(seconds + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"')))
     event = F.concat(F.lit('{"type": "'), F.when(m == 2, "WatchEvent").otherwise("PushEvent"), F.lit('", "actor": '), actor, F.lit(', "repo": '), repo, F.lit(', "created_at": '), at, F.lit(', "payload": {"commits": '), F.when(m == 11, F.lit('"none"')).otherwise(listed), F.lit("}}"))
-    return rows.select("file_id", "line_no", F.when(m == 0, F.lit("{broken")).when(m == 1, F.lit("[1]")).otherwise(event).alias("value"))
+    return computed(rows, value=F.when(m == 0, F.lit("{broken")).when(m == 1, F.lit("[1]")).otherwise(event)).select("file_id", "line_no", "value")
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    return archive.commits(archive.parse_lines(lines(spark, sf_dir)), NOW, LEXICON)
+    """The commits, written: what is made of them reads them more than once."""
+    return written(archive.commits(archive.parse_lines(lines(spark, sf_dir)), NOW, LEXICON), "scored")
 
 
 _ADDED = "['" + "', '".join(ADDED) + "']"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.plan import computed
 
 
 def file_ids(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -61,7 +62,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json("value")
     event = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
     get = lambda path, kind="string": F.try_variant_get("event", path, kind)
-    out = lines.withColumn("event", event)
+    out = computed(lines, event=event)  # parsed once, however many conditions look into it
     is_push = F.coalesce(get("$.type") == "PushEvent", F.lit(False))
     return out.withColumn("login", get("$.actor.login")).withColumn("is_push", is_push).withColumn("is_bot", is_push & T.is_bot(F.col("login"), get("$.actor.type")))
 
@@ -79,8 +80,9 @@ def commits(parsed: DataFrame, now: datetime, lexicon: dict[str, list[str]], sam
     text_of = lambda path: F.when(F.schema_of_variant(F.try_variant_get("commit", path, "variant")) == "STRING", F.try_variant_get("commit", path, "string"))
     rows = flat.withColumn("message", text_of("$.message")).filter(F.coalesce(F.col("message") != "", F.lit(False)))
     author = F.coalesce(F.nullif(text_of("$.author.email"), F.lit("")), F.nullif(text_of("$.author.name"), F.lit("")), F.nullif("login", F.lit("")))
-    rows = rows.withColumn("author", author).withColumn("language", T.detect_language(F.col("message")))
-    rows = rows.withColumn("hits", T.lexicon_hits(F.col("message"), F.col("language"), lexicon)).withColumn("glyphs", T.emoji(F.col("message")))
+    # Told apart, as one expression of both would be too large to compile: the language is read once for each word list.
+    rows = computed(rows.withColumn("author", author), language=T.detect_language(F.col("message")))
+    rows = computed(rows, hits=T.lexicon_hits(F.col("message"), F.col("language"), lexicon), glyphs=T.emoji(F.col("message")))
     return rows.withColumn("sample", F.when(F.size("hits") > 0, F.substring("message", 1, sample_chars))).drop("commit", "login")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import rollup
+from siltstone.session import written
 from siltstone.sources import archive
 
 
@@ -25,7 +26,7 @@ def flush(frame: DataFrame, path: str) -> int:
 def land(lines: DataFrame, out: str, lexicon: dict[str, list[str]], now: datetime) -> dict[str, int]:
     """Partials, counters and ledger rows of the files in lines; rows written for each table."""
     parsed = archive.parse_lines(lines)
-    scored = archive.commits(parsed, now, lexicon)
+    scored = written(archive.commits(parsed, now, lexicon), "scored")  # the texts are scored once for all tables
     tables = {"partials": rollup.partials(scored), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
     return {name: flush(frame, f"{out}/{name}") for name, frame in tables.items()}
 

@@ -135,6 +135,30 @@ def test_report_parsers(spark):
     assert all(v is None for r in (*rows[2:8], rows[9]) for v in r) and tuple(rows[8])[:3] == (1.5, 2, 2) and rows[8]["lizard_nloc_p90"] == 4
 
 
+def test_scoring_compiles(spark):
+    """The generated code of the whole scoring stage is small enough to compile, with all of the languages' word lists."""
+    from siltstone.plans import ingest_queries
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        parsed = archive.parse_lines(ingest_queries.lines(spark, "/root/testdata/sf0.001"))
+        many = {code: [f"{code}{i}" for i in range(110)] for code in T.COMMON_WORDS}
+        assert archive.commits(parsed, NOW, many).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_samples_are_limited_before_they_are_collected(spark):
+    rows = spark.createDataFrame([("f", i % 3, i, 0, f"m{i}") for i in range(60)], "file_id string, repo_id int, line_no int, pos int, sample string").withColumn("at", F.struct("file_id", "line_no", "pos"))
+    first = rollup.first_samples(rows, ["file_id", "repo_id"], 5)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # before the shuffle and after it
+    assert {r["repo_id"]: [s["sample"] for s in r["samples"]] for r in first.collect()} == {k: [f"m{i}" for i in range(k, 15, 3)] for k in range(3)}
+
+
 def test_complexity_reports_take_one_parse(spark):
     """Ten thousand reports, and one XML expression in the plan however often its columns are used."""
     item = "".join(f"<item><value>{i}</value><value>{i % 7}</value></item>" for i in range(8))
