@@ -28,6 +28,10 @@ EMOJI = rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{_PICTOGR
 EMOJI_NEEDS = r"[\x{00A9}\x{00AE}\x{203C}\x{2049}\x{20E3}\x{2122}\x{2139}\x{2194}-\x{3299}\x{1F004}-\x{1FAFF}]"
 
 
+#: What no emoji of the grammar holds: runs of it go before the search, as a blank parts what they parted.
+EMOJI_LACKS = r"[^0-9#*\x{00A9}\x{00AE}\x{200D}\x{203C}-\x{3299}\x{FE0F}\x{1F004}-\x{1FAFF}\x{E0020}-\x{E007F}]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased word tokens in order: letters, numerals, underscores, and apostrophes inside (the matches of TOKEN)."""
     return _split_words(F.lower(text))
@@ -111,8 +115,8 @@ def normalise_emoji(glyph: Column) -> Column:
 
 def emoji(text: Column) -> Column:
     """Emoji in order with repeats, normalised, nothing empty. Texts without a character that every emoji needs one of are
-    not searched."""
-    found = F.regexp_extract_all(text, F.lit(EMOJI), F.lit(0))
+    not searched, and in the others only what an emoji can hold is."""
+    found = F.regexp_extract_all(F.regexp_replace(text, EMOJI_LACKS, " "), F.lit(EMOJI), F.lit(0))
     glyphs = F.filter(F.transform(found, normalise_emoji), lambda g: g != "")
     return F.when(F.coalesce(text.rlike(EMOJI_NEEDS), F.lit(False)), glyphs).otherwise(F.array().cast("array<string>"))
 

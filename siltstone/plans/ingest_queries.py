@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions.plan import computed
-from siltstone.operators import rollup
+from siltstone.operators import language, rollup
 from siltstone.plans.registry import LEXICON, NOW, SQL, dealt, emoji_sql, hits_sql, language_sql, query, table
 from siltstone.session import shared_folder, written
 from siltstone.sources import archive, lexicon
@@ -181,6 +181,13 @@ def language_detected(spark, sf_dir):
     return dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
+@query()
+def language_modelled(spark, sf_dir):
+    """The n-gram model fitted on all labelled documents, and what it says of each."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return language.detected(docs, language.LanguageModel.of(language.profiles(docs))).select("doc_id", "language", F.round("confidence", 6).alias("confidence"))
+
+
 WORD_FILES = [("en", " Idiot "), ("en", "# note"), ("en", ""), ("en", "SCUM"), ("en", "scum"), ("de", "Nicht"), ("README.md", "words")]
 
 

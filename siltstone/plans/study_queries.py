@@ -7,16 +7,19 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import lifecycle, reports, rollup, sampling, stats
+from siltstone.operators import lifecycle, reports, rollup, sampling, stats, store
 from siltstone.plans.catalog import COHORT_CTE, COHORT_SQL, CONF, METRICS, REPOS_CTE, cohorts, metric_frame, repos
-from siltstone.plans.registry import NOW, p_value_sql, query, table
-from siltstone.session import shared_folder
+from siltstone.plans.registry import NOW, SQL, p_value_sql, query, table
+from siltstone.session import shared_folder, written
 from siltstone.sources import metadata
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 5::BIGINT), (5, 5, 10), (10, 10, 15), (15, 15, NULL)) AS t(bin, low, high)")
+@query(f"WITH {REPOS_CTE}, b(bin, low, high) AS (VALUES (1::BIGINT, 1::BIGINT, 5::BIGINT), (5, 5, 10), (10, 10, 15), (15, 15, NULL)) SELECT b.bin, low, high, count(id) AS n, min(commits) AS least, max(commits) AS most FROM b LEFT JOIN rated r ON r.bin = b.bin GROUP BY ALL")
 def bin_bounds(spark, sf_dir):
-    return sampling.bin_bounds(spark, CONF)
+    """The bins with what the repositories in them hold."""
+    bounds = sampling.bin_bounds(spark, CONF)
+    held = sampling.in_bins(repos(spark, sf_dir).select("id", "commits"), bounds).groupBy("bin").agg(F.count("*").alias("n"), F.min("commits").alias("least"), F.max("commits").alias("most"))
+    return bounds.join(held, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 @query(f"WITH {REPOS_CTE} SELECT id, commits, bin FROM rated WHERE bin IS NOT NULL")
@@ -28,14 +31,15 @@ STATUSES = ["seen", "skipped", "pending", "claimed", "done", "failed", "missing"
 EVENTS = ["skip", "promote", "claim", "done", "fail", "reclaim", "missing", "retry"]
 
 
-@query(f"""WITH s AS (SELECT unnest({STATUSES}) AS status), e AS (SELECT unnest({EVENTS}) AS event)
-SELECT status, event, CASE WHEN event = 'missing' THEN 'missing' WHEN status = 'seen' AND event = 'skip' THEN 'skipped' WHEN status IN ('seen', 'skipped') AND event = 'promote' THEN 'pending' WHEN status = 'pending' AND event = 'claim' THEN 'claimed'
+@query(f"""WITH o AS (SELECT o_orderkey, ({STATUSES})[1 + o_orderkey % 8] AS status, ({EVENTS})[1 + o_custkey % 8] AS event FROM orders)
+SELECT o_orderkey, status, event, CASE WHEN event = 'missing' THEN 'missing' WHEN status = 'seen' AND event = 'skip' THEN 'skipped' WHEN status IN ('seen', 'skipped') AND event = 'promote' THEN 'pending' WHEN status = 'pending' AND event = 'claim' THEN 'claimed'
 WHEN status = 'claimed' AND event = 'done' THEN 'done' WHEN status = 'claimed' AND event = 'fail' THEN 'failed' WHEN status = 'claimed' AND event = 'reclaim' THEN 'pending' ELSE status END AS repo,
-CASE WHEN status = 'pending' AND event = 'claim' THEN 'in_progress' WHEN status = 'in_progress' AND event = 'done' THEN 'done' WHEN status = 'in_progress' AND event = 'fail' THEN 'failed' WHEN status IN ('in_progress') AND event = 'reclaim' THEN 'pending' WHEN status = 'failed' AND event = 'retry' THEN 'pending' ELSE status END AS file FROM s, e""")
+CASE WHEN status = 'pending' AND event = 'claim' THEN 'in_progress' WHEN status = 'in_progress' AND event = 'done' THEN 'done' WHEN status = 'in_progress' AND event = 'fail' THEN 'failed' WHEN status IN ('in_progress') AND event = 'reclaim' THEN 'pending' WHEN status = 'failed' AND event = 'retry' THEN 'pending' ELSE status END AS file FROM o""")
 def status_steps(spark, sf_dir):
-    """Every status and event, for repositories and for files."""
-    rows = spark.createDataFrame([(s, e) for s in STATUSES for e in EVENTS], "status string, event string")
-    return rows.select("status", "event", *[lifecycle.step(F.col("status"), F.col("event"), t).alias(n) for n, t in (("repo", lifecycle.REPO), ("file", lifecycle.FILE))])
+    """What an event makes of a status, for each order as a repository and as a file; every status meets every event."""
+    of = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", of(STATUSES, "o_orderkey").alias("status"), of(EVENTS, "o_custkey").alias("event"))
+    return rows.select("o_orderkey", "status", "event", *[lifecycle.step(F.col("status"), F.col("event"), t).alias(n) for n, t in (("repo", lifecycle.REPO), ("file", lifecycle.FILE))])
 
 
 def claimed(spark, sf_dir) -> DataFrame:
@@ -95,6 +99,19 @@ def upsert_sets(spark, sf_dir):
     return rollup.upsert(part(0), part(1), "user_id", ["n"], [], ("kinds",)).withColumn("kinds", F.array_join("kinds", ","))
 
 
+@query(SQL["upsert_sets"])
+def upsert_stored(spark, sf_dir):
+    """The same through a stored table: half of the events make it, the others update the parts that they fall into."""
+    rows = table(spark, sf_dir, "events")
+    part = lambda k: rows.filter(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    users = store.Store(spark, f"users_{uuid.uuid4().hex}", "user_id", parts=8)
+    users.create(part(0))
+    store.upsert(users, part(1), ["n"], ("kinds",))
+    out = written(users.rows().withColumn("kinds", F.array_join("kinds", ",")), "users")
+    spark.sql(f"DROP TABLE {users.name}")
+    return out
+
+
 def probed(spark, sf_dir, refetch: bool = False) -> DataFrame:
     """Customers as cohort rows after a probe: some had metadata, some are gone, some were never asked."""
     k = F.col("c_custkey")
