@@ -3,13 +3,16 @@ file rules, the comment lexer, the scan and the composition, as a repository's w
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import analyze, worker
 from siltstone.plans.registry import LEXICON, dealt, query, quoted, table, word_set_sql
-from siltstone.sources import reports, tools, tree
+from siltstone.session import shared_folder
+from siltstone.sources import reports, tools, tree, tree_source
 
 CODES = ["F401", "E999", "E501", "B101", "RUF100", "W291", "S1", "N801"]
 
@@ -106,6 +109,34 @@ def tree_files(spark, sf_dir):
     return rows.groupBy((F.regexp_extract("path", r"[a-z](\d+)\.", 1).cast("bigint") % 7).alias("k"), "language").agg(F.count("*").alias("n"))
 
 
+def _stored(rows: DataFrame, where: str) -> None:
+    """Write rows (repo, path, content) as files below where."""
+
+    def write(batches):
+        fs, base = tree_source.folder(where)
+        for b in batches:
+            for repo, path, content in zip(*(c.to_pylist() for c in b.columns)):
+                fs.create_dir(f"{base}/{repo}/{path.rpartition('/')[0]}", recursive=True)
+                with fs.open_output_stream(f"{base}/{repo}/{path}") as out:
+                    out.write(content.encode())
+            yield b.select(["path"])
+
+    rows.select("repo", "path", "content").mapInArrow(write, "path string").count()
+
+
+@query("""SELECT source AS repo, replace((['src/a{i}.py', 'src/b{i}.js', 'docs/c{i}.html', '', '', 'lib/f{i}.unknown', 'src/g{i}.ML'])[1 + doc_id % 7], '{i}', doc_id::VARCHAR) AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS length, md5(coalesce(text, '')) AS digest FROM documents WHERE doc_id % 7 NOT IN (3, 4) AND doc_id % 100 <> 1 AND octet_length(encode(coalesce(text, ''))) <= 1048576""")
+def trees_walked(spark, sf_dir):
+    """Whole documents written as the files of repositories and walked: some in folders or under names that are skipped,
+    some longer than what counts."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    place = F.element_at(F.array(*map(F.lit, PLACES)), (F.col("doc_id") % len(PLACES) + 1).cast("int"))
+    content = F.when(F.col("doc_id") % 100 == 1, F.repeat(F.lit("x"), F.lit(tree.MAX_BYTES + 1))).otherwise(F.coalesce("text", F.lit("")))
+    where = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    _stored(docs.select(F.col("source").alias("repo"), F.replace(place, F.lit("{i}"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")), where)
+    rows = tree_source.read_trees(spark, where)
+    return rows.select("repo", F.substr("path", F.length("repo") + 2).alias("path"), "length", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 @query(rf"WITH {FILES_SQL} SELECT doc_id, CASE WHEN comment = '' THEN '' ELSE comment END AS comments, CASE WHEN k IN (0, 1, 6) THEN trim(regexp_replace(body, '[ \n]+', ' ', 'g'), ' ') ELSE '' END AS identifiers FROM files")
 def lexed_files(spark, sf_dir):
     rows = files(spark, sf_dir).filter(tree.wanted(F.col("path"))).withColumn("t", tree.lexed("content", "language"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,17 +51,10 @@ def tokens(files: DataFrame, content: str = "content", language: str = "language
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) below path, whatever is skipped left out.
+    """(path, length, content) of one repository's files below path, whatever is skipped neither listed nor read."""
+    from siltstone.sources.tree_source import read_trees
 
-    Folders are listed first, without contents, and only the files of wanted ones are read; the size filter reaches the
-    scan. A tree is one repository's, so its folders are few.
-    """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    folders = listed.filter(wanted(F.col("path"))).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("f")).distinct().collect()
-    if not folders:
-        return spark.createDataFrame([], "path string, length bigint, content string")
-    files = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", r["f"]) for r in folders]).filter(F.col("length") <= MAX_BYTES)
-    return files.filter(wanted(F.col("path"))).select("path", "length", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("content"))
+    return read_trees(spark, path, single=True).drop("repo")
 
 
 def wanted(path: Column) -> Column:
