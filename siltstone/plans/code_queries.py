@@ -176,6 +176,37 @@ def code_analysis(spark, sf_dir):
     return analyze.compose(scan, made, "repo").select("repo", "loc_total", "ruff_issues", "ruff_style_issues", "ruff_issues_per_kloc", "eslint_issues_per_kloc", "jscpd_duplicate_rate", "bandit_issues")
 
 
+def full_reports(spark, sf_dir) -> DataFrame:
+    """(repo, a report of every tool): for each source, from the number n of its documents."""
+    n = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("n"))
+    issue = lambda code, fix: F.struct(F.lit(code).alias("code"), F.when(F.lit(fix), F.lit("safe")).alias("fix"))
+    ruff = F.concat(F.array_repeat(issue("W1", False), F.col("n").cast("int")), F.array(issue("F401", True), issue("E501", True)))
+    file = F.struct((F.col("n") % 7).alias("errorCount"), F.col("n").alias("warningCount"), F.lit(1).alias("fatalErrorCount"), (F.col("n") % 3).alias("fixableErrorCount"), (F.col("n") % 5).alias("fixableWarningCount"))
+    item = lambda nloc, ccn: F.concat(F.lit("<item><value>1</value><value>"), nloc.cast("string"), F.lit("</value><value>"), ccn.cast("string"), F.lit("</value></item>"))
+    functions = F.concat(item(F.lit(10), F.lit(1)), item(F.lit(20), F.col("n") % 10 + 1), item(F.lit(40), F.lit(11)))
+    xml = F.concat(F.lit("<cppncss><measure type='Function'><labels><label>Nr.</label><label>NCSS</label><label>CCN</label></labels>"), functions, F.lit("</measure></cppncss>"))
+    return n.select(
+        "repo", F.to_json(ruff, {"ignoreNullFields": "false"}).alias("ruff"), F.lit('{"results": [{"issue_severity": "LOW"}, {"issue_severity": "HIGH"}]}').alias("bandit"), F.to_json(F.array(file, file)).alias("eslint"),
+        F.concat(F.lit('{"statistics": {"total": {"lines": '), (F.col("n") * 4).cast("string"), F.lit(', "duplicatedLines": '), F.col("n").cast("string"), F.lit("}}}")).alias("jscpd"), xml.alias("lizard"),
+    )
+
+
+_COUNTED = {
+    "ruff_issues": "n + 2", "ruff_bug_issues": "1::BIGINT", "ruff_style_issues": "n + 1", "ruff_fixable": "2::BIGINT", "bandit_issues": "2::BIGINT", "bandit_high_severity": "1::BIGINT", "eslint_issues": "2 * (n % 7 + n)", "eslint_errors": "2 * (n % 7)",
+    "eslint_warnings": "2 * n", "eslint_fatal_errors": "2::BIGINT", "eslint_fixable_errors": "2 * (n % 3)", "eslint_fixable_warnings": "2 * (n % 5)", "jscpd_duplicate_lines": "n", "jscpd_total_lines": "4 * n", "jscpd_duplicate_rate": "0.25::DOUBLE",
+    "lizard_avg_ccn": "(13 + n % 10) / 3.0::DOUBLE", "lizard_max_ccn": "11::BIGINT", "lizard_functions": "3::BIGINT", "lizard_ccn_p50": "(1 + n % 10)::DOUBLE", "lizard_ccn_p90": "1 + n % 10 + (10 - n % 10) * (2 * 0.9::DOUBLE - 1)", "lizard_ccn_p99": "1 + n % 10 + (10 - n % 10) * (2 * 0.99::DOUBLE - 1)", "lizard_nloc_p90": "36::BIGINT",
+}
+
+
+@query(f"""WITH {FILES_SQL}, s AS ({SCAN_SQL}), n AS (SELECT source AS repo, count(*) AS n FROM documents GROUP BY source), c AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in _COUNTED.items())} FROM s JOIN n USING (repo))
+SELECT * EXCLUDE (n), CASE WHEN comment_emoji_hits > 0 THEN '🎉=' || comment_emoji_hits ELSE '' END AS emoji_top, {", ".join(f"{k} / (loc_total / 1000.0::DOUBLE) AS {k}_per_kloc" for k in analyze.PER_KLOC)} FROM c""")
+def code_analysis_fields(spark, sf_dir):
+    """Every field of the composed row, from reports that all parse."""
+    scan = tree.scan(files(spark, sf_dir).filter(tree.wanted(F.col("path"))), ["repo"], LEXICON)
+    out = analyze.compose(scan, full_reports(spark, sf_dir), "repo")
+    return out.withColumn("emoji_top", F.array_join(F.transform(F.map_entries("emoji_top"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " "))
+
+
 LANGUAGES = ["Python", "python", "JavaScript", "tsx", "Go", None, "TypeScript"]
 
 

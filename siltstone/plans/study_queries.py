@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.plan import computed
 from siltstone.operators import lifecycle, reports, rollup, sampling, stats, store
 from siltstone.plans.catalog import COHORT_CTE, COHORT_SQL, CONF, METRICS, REPOS_CTE, cohorts, metric_frame, repos
 from siltstone.plans.registry import NOW, SQL, p_value_sql, query, table
@@ -134,6 +135,27 @@ def metadata_probe(spark, sf_dir):
     return probed(spark, sf_dir).select("id", F.col("metadata").isNotNull().alias("has_metadata"), F.col("metadata.language").alias("language"), F.col("missing_at").isNotNull().alias("gone"), told.alias("languages"))
 
 
+@query("""SELECT c_custkey AS id, c_custkey * 3 AS stargazers_count, c_custkey % 11 AS forks_count, 0::BIGINT AS watchers_count, c_nationkey::BIGINT AS subscribers_count, c_custkey % 2 AS open_issues_count, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) || ',b' END AS topics,
+CASE WHEN c_custkey % 4 <> 0 THEN 'MIT' END AS license_spdx, CASE WHEN c_custkey % 5 <> 0 THEN 'Go' END AS language, c_custkey * 100 AS size_kb, 'main' AS default_branch, c_custkey % 2 = 0 AS fork, CASE WHEN c_custkey % 2 = 0 THEN 'o/' || c_nationkey END AS parent_full_name, c_custkey % 7 = 0 AS archived, c_custkey % 9 = 0 AS disabled,
+1577836800 + c_custkey AS created, CASE WHEN c_custkey % 6 <> 0 THEN 1577836800 + 2 * c_custkey END AS pushed, NULL::BIGINT AS updated, c_name AS description, 1704153600::BIGINT AS fetched, CASE WHEN c_custkey % 7 = 0 THEN 'archived' WHEN c_custkey % 9 = 0 THEN 'disabled' WHEN c_custkey * 100 > 2048 * 1024 THEN 'oversize: ' || floor(c_custkey * 100 / 1024.0)::BIGINT || ' MiB' END AS skip
+FROM customer WHERE c_custkey % 13 <> 0""")
+def metadata_fields(spark, sf_dir):
+    """All twenty fields of a payload, absent, null and odd ones among them; payloads that are no objects give nothing."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    at = lambda t: F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fields = F.struct(
+        (k * 3).alias("stargazers_count"), (k % 11).alias("forks_count"), F.lit("many").alias("watchers_count"), n.alias("subscribers_count"), (k % 2).alias("open_issues_count"),
+        F.when(k % 3 != 0, F.array(F.lower("c_mktsegment"), F.lit("b"))).alias("topics"), F.when(k % 4 != 0, F.struct(F.lit("MIT").alias("spdx_id"))).alias("license"), F.when(k % 5 != 0, F.lit("Go")).alias("language"), (k * 100).alias("size"),
+        F.lit("main").alias("default_branch"), (k % 2 == 0).alias("fork"), F.when(k % 2 == 0, F.struct(F.concat(F.lit("o/"), n.cast("string")).alias("full_name"))).alias("parent"), F.when(k % 7 == 0, F.lit(True)).alias("archived"), F.when(k % 9 == 0, F.lit(True)).alias("disabled"),
+        at(k + 1577836800).alias("created_at"), F.when(k % 6 != 0, at(2 * k + 1577836800)).alias("pushed_at"), F.lit("no time").alias("updated_at"), F.col("c_name").alias("description"),
+    )
+    payload = F.when(k % 13 == 0, F.lit("[1]")).otherwise(F.to_json(fields))
+    rows = computed(table(spark, sf_dir, "customer").select(k.alias("id"), payload.alias("payload")), m=metadata.metadata(F.col("payload"), F.lit(NOW))).filter("m IS NOT NULL").select("id", "m.*")
+    times = {"created_at": "created", "pushed_at": "pushed", "updated_at": "updated", "fetched_at": "fetched"}
+    skip = metadata.skip_reason(F.col("archived"), F.col("disabled"), F.col("size_kb"))
+    return rows.select("*", skip.alias("skip"), *[F.unix_timestamp(c).alias(name) for c, name in times.items()]).withColumn("topics", F.array_join("topics", ",")).drop(*times)
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     return probed(spark, sf_dir).withColumn("label", reports.language_label(F.col("metadata.language"), F.col("metadata").isNotNull(), F.col("missing_at").isNotNull()))
 
