@@ -33,6 +33,7 @@ def _store(path: str):
 
 
 SAMPLE = 20  #: ids sampled for each shard, to cut the ranges
+MOST_SHARDS = 1 << 16  #: beyond so many, shards grow with the corpus, so that the driver gets at most some 2 * SAMPLE * MOST_SHARDS ids (21 MB)
 
 
 def kind_of(vocabulary: int, end_id: int) -> np.dtype:
@@ -43,7 +44,7 @@ def range_ends(ids: DataFrame, shards: int) -> np.ndarray:
     """Where the ranges of shards begin, ascending, from a sample of doc_id; an id that holds many rows comes repeatedly."""
     share = min(1.0, 2 * SAMPLE * shards / max(1, ids.count()))
     got = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d")).sample(share, seed=5) if share < 1 else ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"))
-    found = np.sort(np.array([r[0] for r in got.collect()], dtype=np.int64))  # some SAMPLE for each shard
+    found = np.sort(got.toArrow().column(0).to_numpy().astype(np.int64))  # some 2 * SAMPLE for each of at most MOST_SHARDS
     return found[(np.arange(1, shards) * len(found)) // shards] if len(found) else found
 
 
@@ -54,13 +55,13 @@ def shards_of(ids: np.ndarray, spots: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END, shard_bytes: int = 64 << 20) -> DataFrame:
-    """Encode docs into shards for about shard_bytes of text each under path; returns the manifest: shard, n_docs, n_tokens,
+    """Encode docs into shards for about shard_bytes of text each, but at most MOST_SHARDS, under path; returns the manifest: shard, n_docs, n_tokens,
     base (ids in earlier shards), doc_base, dtype."""
     spark = docs.sparkSession
     tokenizer = tokenizer or file_of("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = tasks_for(spark, total, shard_bytes)
+    n = min(MOST_SHARDS, tasks_for(spark, total, shard_bytes))
     ends = spark.sparkContext.broadcast(range_ends(rows.select("doc_id"), n))  # 8 bytes for each shard
 
     def encoded(batches):
