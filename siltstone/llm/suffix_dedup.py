@@ -336,6 +336,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
                 held.append((bodies[i].as_buffer(), tag))  # in the batch's memory, not copied
         if held:
             yield from compare(held)
+        held = b = bodies = None  # a reused worker keeps nothing for the next stage
+        trim_memory()
 
     def compare(bodies):
         for sub in range(SUB):
