@@ -54,7 +54,7 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of one repository's files below path, whatever is skipped neither listed nor read."""
     from siltstone.sources.tree_source import read_trees
 
-    return read_trees(spark, path, single=True).drop("repo")
+    return read_trees(spark, path, single=True).select(F.concat(F.lit(path.rstrip("/") + "/"), F.col("path")).alias("path"), "length", "content")
 
 
 def wanted(path: Column) -> Column:

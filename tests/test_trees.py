@@ -27,7 +27,7 @@ def test_walk(spark, repos):
     assert rows.rdd.getNumPartitions() == 3
     assert {r["path"] for r in tree_source.read_trees(spark, repos, maxBytes=1000).collect()} == {p for _, p in got if p != "a/big.c"}
     one = tree.read_tree(spark, f"{repos}/a")
-    assert one.columns == ["path", "length", "content"] and {r["path"] for r in one.collect()} == {"src/x.py", "bad.txt", "big.c"}
+    assert one.columns == ["path", "length", "content"] and {r["path"] for r in one.collect()} == {f"{repos}/a/{p}" for p in ("src/x.py", "bad.txt", "big.c")}
     assert tree_source.read_trees(spark, f"{repos}/none").count() == 0
 
 
