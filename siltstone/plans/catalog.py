@@ -109,9 +109,13 @@ def status_rollup(spark, sf_dir):
 COHORT_SQL = "SELECT d.*, CASE l.toxic WHEN 1 THEN 'profane' WHEN 0 THEN 'clean' END AS cohort, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"
 
 
+def labelled(docs, spark, sf_dir):
+    """docs with their cohort and quality from the labels."""
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("cohort", F.when(F.col("toxic") == 1, "profane").when(F.col("toxic") == 0, "clean"))
+
+
 def cohorts(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels")
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("cohort", F.when(F.col("toxic") == 1, "profane").when(F.col("toxic") == 0, "clean"))
+    return labelled(table(spark, sf_dir, "documents"), spark, sf_dir)
 
 
 @query(f"SELECT coalesce(lang, '<null>') AS language, count(*) FILTER (WHERE cohort = 'profane') AS profane, count(*) FILTER (WHERE cohort = 'clean') AS clean, count(*) FILTER (WHERE cohort IN ('profane', 'clean')) AS total FROM ({COHORT_SQL}) GROUP BY 1")
@@ -209,8 +213,9 @@ METRICS = ["n_chars", "n_lines", "n_caps"]
 
 
 def metric_frame(spark, sf_dir, *more):
-    rows = cohorts(spark, sf_dir).filter("cohort IS NOT NULL")
-    rows = rows.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).withColumn("n_caps", F.regexp_count("text", F.lit("[A-Z]")))
+    """(doc_id, cohort, more, metric, x); the texts are measured below the join with the labels, which shuffles their numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *more, "n_chars", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines"), F.regexp_count("text", F.lit("[A-Z]")).alias("n_caps"))
+    rows = labelled(docs, spark, sf_dir).filter("cohort IS NOT NULL")
     return stats.unpivot(rows, ["doc_id", "cohort", *more], METRICS)
 
 
