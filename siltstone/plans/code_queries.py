@@ -4,14 +4,17 @@ file rules, the comment lexer, the scan and the composition, as a repository's w
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import runs
+from siltstone.config import Settings
 from siltstone.functions import text as T
 from siltstone.operators import analyze, worker
-from siltstone.plans.registry import LEXICON, dealt, query, quoted, table, word_set_sql
-from siltstone.session import shared_folder
+from siltstone.plans.registry import LEXICON, NOW, dealt, query, quoted, table, word_set_sql
+from siltstone.session import shared_folder, written
 from siltstone.sources import reports, tools, tree, tree_source
 
 CODES = ["F401", "E999", "E501", "B101", "RUF100", "W291", "S1", "N801"]
@@ -241,3 +244,48 @@ def worker_outcomes(spark, sf_dir):
 
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 6).cast("int").alias("kind"))
     return worker.process(rows, step, timeout=30.0).select("id", "ok", "reason", "result", (F.col("elapsed") >= 0).alias("timed"))
+
+
+def _part_of(source: str, doc_id) -> Column:
+    """The repository of a document: a quarter of its source."""
+    return F.concat(source, F.lit("-"), (F.floor(doc_id / 20) % 4).cast("string"))
+
+
+def study_repos(spark, sf_dir) -> DataFrame:
+    """Repositories of the study: a quarter of a source's documents each, some claimed, skipped or without a tree."""
+    n = table(spark, sf_dir, "documents").groupBy(_part_of("source", F.col("doc_id")).alias("repo")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    k, at = F.col("id"), lambda minutes: F.lit(NOW - timedelta(minutes=minutes))
+    held = F.when(k % 10 == 1, "stale").when(k % 10 == 2, "fresh").when(k % 10 == 3, "seen").otherwise("pending")
+    status = F.when(held.isin("stale", "fresh"), "claimed").otherwise(held)
+    return n.select(
+        "id", "repo", (k % 7 + F.col("n")).alias("rate"), status.alias("status"), F.when(status == "claimed", "other-1").alias("claimed_by"), F.when(held == "stale", at(30)).when(held == "fresh", at(5)).alias("claimed_at"),
+        (k % 11 == 5).alias("archived"), F.when(k % 3 == 0, False).alias("disabled"), F.when(k % 13 == 7, 5_000_000).otherwise(10).cast("bigint").alias("size_kb"), F.lit(None).cast("string").alias("failure_reason"), F.lit(None).cast("double").alias("processing_time_sec"),
+    )
+
+
+STUDY = {"STORE_URI": "unused", "WORKER_CONCURRENCY": "50", "STALE_CLAIM_TTL_MIN": "20", "MAX_REPO_SIZE_MB": "2048", "EMOJI_TOP_N": "20"}
+_PART = "source || '-' || (doc_id // 20) % 4 AS repo"
+
+
+@query(f"""WITH {FILES_SQL.replace("source AS repo", _PART)}, s AS ({SCAN_SQL}), g AS (SELECT {_PART}, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY ALL),
+p AS (SELECT repo, language, count(*) AS c FROM files WHERE language IN ('python', 'javascript', 'ocaml') GROUP BY ALL), l AS (SELECT repo, arg_min(language, (-c, language)) AS primary_language FROM p GROUP BY repo),
+r AS (SELECT *, id % 7 + n AS rate, CASE id % 10 WHEN 1 THEN 'pending' WHEN 2 THEN 'claimed' WHEN 3 THEN 'seen' ELSE 'pending' END AS was FROM g), t AS (SELECT id FROM r WHERE was = 'pending' ORDER BY rate DESC, id LIMIT 50),
+o AS (SELECT r.*, t.id IS NOT NULL AS mine, CASE WHEN id % 11 = 5 THEN 'skip: archived' WHEN id % 13 = 7 THEN 'skip: oversize: 4882 MiB' WHEN id % 17 = 4 OR s.repo IS NULL THEN 'git: no files' END AS why, s.*, l.primary_language FROM r LEFT JOIN t USING (id) LEFT JOIN s USING (repo) LEFT JOIN l USING (repo))
+SELECT repo, CASE WHEN NOT mine THEN was WHEN why IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN mine THEN 'me-1' WHEN was = 'claimed' THEN 'other-1' END AS claimed_by, CASE WHEN mine THEN why END AS failure_reason, mine AS timed,
+{", ".join(f"CASE WHEN mine AND why IS NULL THEN {v} END AS {k}" for k, v in {"primary_language": "primary_language", "loc_total": "loc_total", "files_scanned": "files_scanned", "comment_nloc": "comment_nloc", "tech_debt_markers": "tech_debt_markers", "ruff_issues": "CASE WHEN primary_language = 'python' THEN n END", "bandit_issues": "CASE WHEN primary_language = 'python' THEN 1::BIGINT END", "eslint_errors": "CASE WHEN primary_language = 'javascript' THEN n END", "jscpd_duplicate_lines": "n", "lizard_functions": "1::BIGINT"}.items())} FROM o""")
+def study_round(spark, sf_dir):
+    """A worker's round with its settings: stale claims freed, repositories claimed, skipped ones told apart, the trees of the
+    others walked, scanned and composed with the reports of the tools for their language, outcomes settled, folders removed."""
+    repos = written(study_repos(spark, sf_dir), "study")
+    where = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    own = files(spark, sf_dir).withColumn("repo", _part_of("repo", F.regexp_extract("path", r"[a-z](\d+)\.", 1).cast("bigint")))
+    _stored(own.join(repos.filter("id % 17 <> 4").select("repo"), "repo", "left_semi"), where)
+    n = table(spark, sf_dir, "documents").groupBy(_part_of("source", F.col("doc_id")).alias("repo")).agg(F.count("*").alias("n"))
+    xml = "<cppncss><measure type='Function'><labels><label>NCSS</label><label>CCN</label></labels><item><value>9</value><value>2</value></item></measure></cppncss>"
+    made = n.select(
+        "repo", F.to_json(F.array_repeat(F.struct(F.lit("W1").alias("code")), F.col("n").cast("int"))).alias("ruff"), F.lit('{"results": [{"issue_severity": "LOW"}]}').alias("bandit"), F.to_json(F.array(F.struct(F.col("n").alias("errorCount")))).alias("eslint"),
+        F.format_string('{"statistics": {"total": {"lines": 9999, "duplicatedLines": %d}}}', "n").alias("jscpd"), F.lit(xml).alias("lizard"),
+    )
+    after, found = runs.study_round(repos, where, made, Settings.from_env(STUDY), "me-1", F.lit(NOW), LEXICON)
+    kept = found.select("repo", "primary_language", "loc_total", "files_scanned", "comment_nloc", "tech_debt_markers", "ruff_issues", "bandit_issues", "eslint_errors", "jscpd_duplicate_lines", "lizard_functions")
+    return after.select("repo", "status", "claimed_by", "failure_reason", F.col("processing_time_sec").isNotNull().alias("timed")).join(kept, "repo", "left")

@@ -57,14 +57,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(lines_of(spark.read.text(path)))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add event (VARIANT, null if malformed or not an object) and its login, kind, flags is_push and is_bot."""
+def parse_lines(lines: DataFrame, bots: str = T.BOT_PATTERN) -> DataFrame:
+    """Add event (VARIANT, null if malformed or not an object) and its login, kind, flags is_push and is_bot (bots: a pattern
+    of logins, in any case)."""
     v = F.try_parse_json("value")
     event = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
     get = lambda path, kind="string": F.try_variant_get("event", path, kind)
     out = computed(lines, event=event)  # parsed once, however many conditions look into it
     is_push = F.coalesce(get("$.type") == "PushEvent", F.lit(False))
-    return out.withColumn("login", get("$.actor.login")).withColumn("is_push", is_push).withColumn("is_bot", is_push & T.is_bot(F.col("login"), get("$.actor.type")))
+    return out.withColumn("login", get("$.actor.login")).withColumn("is_push", is_push).withColumn("is_bot", is_push & T.is_bot(F.col("login"), get("$.actor.type"), pattern=bots))
 
 
 def commits(parsed: DataFrame, now: datetime, lexicon: dict[str, list[str]], sample_chars: int = 200) -> DataFrame:

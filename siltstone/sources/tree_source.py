@@ -30,6 +30,7 @@ class _Reader(DataSourceReader):
         self.base = options["path"]
         self.single = options.get("single", "false").lower() == "true"
         self.most = int(options.get("maxbytes", MAX_BYTES))
+        self.contents = options.get("contents", "true").lower() == "true"
         self.repos: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -74,9 +75,10 @@ class _Reader(DataSourceReader):
         names, types = ["repo", "path", "length", "content"], [pa.string(), pa.string(), pa.int64(), pa.string()]
         held, size = [], 0
         for f in self._files(fs, partition.path):
-            body = fs.open_input_file(f.path).readall()
-            held.append((partition.name, f.path[len(base if not self.single else partition.path) + 1 :], len(body), body.decode("utf-8", "replace")))
-            size += len(body)
+            body = fs.open_input_file(f.path).readall() if self.contents else None
+            length, text = (f.size, None) if body is None else (len(body), body.decode("utf-8", "replace"))
+            held.append((partition.name, f.path[len(base if not self.single else partition.path) + 1 :], length, text))
+            size += 256 + (length if self.contents else 0)
             if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
                 held, size = [], 0
@@ -86,7 +88,8 @@ class _Reader(DataSourceReader):
 
 class TreeSource(DataSource):
     """Format source_tree: repo, path (below the path given), length and content of every file that counts, of the folders
-    right below path, or with single of the one folder. maxBytes: longer files are left out."""
+    right below path, or with single of the one folder. maxBytes: longer files are left out. contents false: files are listed,
+    not read, and their content is null."""
 
     @classmethod
     def name(cls) -> str:

@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import BOT_PATTERN
 from siltstone.operators import rollup
 from siltstone.session import written
 from siltstone.sources import archive
@@ -23,20 +24,22 @@ def flush(frame: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def land(lines: DataFrame, out: str, lexicon: dict[str, list[str]], now: datetime) -> dict[str, int]:
-    """Partials, counters and ledger rows of the files in lines; rows written for each table."""
-    parsed = archive.parse_lines(lines)
+def land(lines: DataFrame, out: str, lexicon: dict[str, list[str]], now: datetime, bots: str = BOT_PATTERN, samples: int = 5) -> dict[str, int]:
+    """Partials, counters and ledger rows of the files in lines; rows written for each table. bots: a pattern of their logins."""
+    parsed = archive.parse_lines(lines, bots)
     scored = written(archive.commits(parsed, now, lexicon), "scored")  # the texts are scored once for all tables
-    tables = {"partials": rollup.partials(scored), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
+    tables = {"partials": rollup.partials(scored, samples), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
     return {name: flush(frame, f"{out}/{name}") for name, frame in tables.items()}
 
 
-def start(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, files_per_batch: int = 8):
-    """Process what is new below source and stop; call again for more. files_per_batch bounds what is in flight."""
+def start(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, files_per_batch: int = 8, hours: tuple[str, str] | None = None, **options):
+    """Process what is new below source and stop; call again for more. files_per_batch bounds what is in flight. hours: the
+    first and last file id that count. Other options are land's."""
     lines = archive.lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source))
+    lines = lines if hours is None else lines.filter(F.col("file_id").between(*hours))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        land(archive.numbered(batch), out, lexicon, now)
+        land(archive.numbered(batch), out, lexicon, now, **options)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,9 +53,9 @@ def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{out}/{name}").withColumn("file_id", F.col("file_id").cast("string"))
 
 
-def repositories(spark: SparkSession, out: str) -> DataFrame:
+def repositories(spark: SparkSession, out: str, samples: int = 5) -> DataFrame:
     """Repositories as all files so far make them, maps whole."""
-    return rollup.with_maps(rollup.merge(_table(spark, out, "partials")), rollup.merged_maps(_table(spark, out, "counters")))
+    return rollup.with_maps(rollup.merge(_table(spark, out, "partials"), samples), rollup.merged_maps(_table(spark, out, "counters")))
 
 
 def ledger(spark: SparkSession, out: str) -> DataFrame:
@@ -62,12 +65,12 @@ def ledger(spark: SparkSession, out: str) -> DataFrame:
     return _table(spark, out, "ledger").join(effects, "file_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("upserted", "modified")})
 
 
-def finalize(spark: SparkSession, out: str, top: int = 20) -> DataFrame:
+def finalize(spark: SparkSession, out: str, top: int = 20, samples: int = 5) -> DataFrame:
     """After the last file: rates, and maps cut to their largest counters."""
-    return rollup.finalize(repositories(spark, out), top)
+    return rollup.finalize(repositories(spark, out, samples), top)
 
 
-def run(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, timeout: float | None = None, **options) -> DataFrame | None:
+def run(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: dict[str, list[str]], now: datetime, timeout: float | None = None, top: int = 20, **options) -> DataFrame | None:
     """Drain source, then finalize. Past timeout (seconds) the stream is stopped, what it has landed stays, and nothing is finalized."""
     query = start(spark, source, out, checkpoint, lexicon, now, **options)
     if timeout is None:
@@ -75,4 +78,4 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, lexicon: di
     elif not query.awaitTermination(timeout):
         query.stop()
         return None
-    return finalize(spark, out, options.get("top", 20))
+    return finalize(spark, out, top, options.get("samples", 5))
