@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,7 @@ def flush(frame: DataFrame, path: str) -> int:
 
 def land(lines: DataFrame, out: str, lexicon: dict[str, list[str]], now: datetime, bots: str = BOT_PATTERN, samples: int = 5) -> dict[str, int]:
     """Partials, counters and ledger rows of the files in lines; rows written for each table. bots: a pattern of their logins."""
-    parsed = archive.parse_lines(lines, bots)
-    scored = written(archive.commits(parsed, now, lexicon), "scored")  # the texts are scored once for all tables
-    tables = {"partials": rollup.partials(scored, samples), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
+    tables = _tables(lines, lexicon, now, bots, samples)
     return {name: flush(frame, f"{out}/{name}") for name, frame in tables.items()}
 
 
@@ -49,8 +48,22 @@ def run_one_file(spark: SparkSession, path: str, out: str, lexicon: dict[str, li
     return land(archive.read_lines(spark, path), out, lexicon, now)
 
 
+def _tables(lines: DataFrame, lexicon: dict[str, list[str]], now: datetime, bots: str, samples: int) -> dict[str, DataFrame]:
+    parsed = archive.parse_lines(lines, bots)
+    scored = written(archive.commits(parsed, now, lexicon), "scored")  # the texts are scored once for all tables
+    return {"partials": rollup.partials(scored, samples), "counters": rollup.counters(scored), "ledger": archive.ledger(parsed, scored).withColumns({"status": F.lit("done"), "finished_at": F.lit(now)})}
+
+
 def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/{name}").withColumn("file_id", F.col("file_id").cast("string"))
+    """A table of what has landed; empty where nothing has."""
+    try:
+        found = spark.read.parquet(f"{out}/{name}")
+    except AnalysisException as why:
+        if why.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        none = spark.createDataFrame([], "file_id string, file_bytes bigint, value string, line_no bigint")
+        found = _tables(none, {"en": []}, datetime(2000, 1, 1), BOT_PATTERN, 1)[name]
+    return found.withColumn("file_id", F.col("file_id").cast("string"))
 
 
 def repositories(spark: SparkSession, out: str, samples: int = 5) -> DataFrame:
