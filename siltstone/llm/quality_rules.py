@@ -2,16 +2,18 @@
 
 Every rule is evaluated once per document; the ledger stores one failure bit per rule beside the measurements. A policy
 is a named, versioned mask: a document is kept when none of the policy's bits is set. Ablations come from the counts of
-masked bit patterns alone, so a new policy or a what-if never reads a text again.
+masked bit patterns alone, so a new policy or a what-if never reads a text again. A ledger kept under a path is opened by it
+later; it says which rules its bits stand for, so a policy that names others is refused.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import each_row, staged
@@ -36,8 +38,23 @@ POLICIES = {"v1": BASE, "v2": tuple(RULES)}
 LEDGER_SCHEMA = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
 
 
-def mask_of(version: str) -> int:
-    return sum(1 << list(RULES).index(r) for r in POLICIES[version])
+#: The ledger's column of bits carries the rules that they stand for, name and condition in order of bits.
+RULES_KEY = "rules"
+
+
+def rules_of(rows: DataFrame) -> dict[str, str]:
+    """The rules that a ledger's bits stand for; today's where it does not say."""
+    told = rows.schema["fail_bits"].metadata.get(RULES_KEY)
+    return dict(json.loads(told)) if told else RULES
+
+
+def mask_of(version: str, rules: dict[str, str] | None = None) -> int:
+    """The bits of a policy. Refused where the ledger (rules) lacks a rule that the policy names, or had another condition for it."""
+    rules = RULES if rules is None else rules
+    lacking = [r for r in POLICIES[version] if rules.get(r) != RULES[r]]
+    if lacking:
+        raise ValueError(f"the ledger was made without, or with other conditions for: {', '.join(lacking)}")
+    return sum(1 << list(rules).index(r) for r in POLICIES[version])
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -66,11 +83,12 @@ def measure(text: str | None) -> tuple[int, ...]:
     return n, len(text) - gaps, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated, len(lines), n_upper, n_upper + n_lower
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, the measurements, and fail_bits (bit i: rule i of RULES fails).
 
     A null text has no words; it fails only too_few_words. Null or repeated ids and rows are carried as they are, other
-    columns are ignored, an empty table gives an empty ledger. Written once below spark.checkpoint.dir and read from there.
+    columns are ignored, an empty table gives an empty ledger. Written once to path, which open_ledger reads later, else below
+    spark.checkpoint.dir, and read from there; a path that holds a ledger already is an error.
     No shuffle; a text is held alone, whatever its length.
     """
 
@@ -81,12 +99,21 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, LEDGER_SCHEMA)
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0)).cast("bigint")
-    return staged(rows.withColumn("fail_bits", bits), "quality-ledger")
+    told = rows.select("*", bits.alias("fail_bits", metadata={RULES_KEY: json.dumps(list(RULES.items()))}))
+    if path is None:
+        return staged(told, "quality-ledger")
+    told.write.parquet(path)
+    return open_ledger(docs.sparkSession, path)
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that was written to path, with the rules of its time; no text is read."""
+    return spark.read.parquet(path)
 
 
 def apply_policy(rows: DataFrame, version: str = "v2") -> DataFrame:
     """Add kept: no rule of that policy fails."""
-    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(mask_of(version)) == 0)
+    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(mask_of(version, rules_of(rows))) == 0)
 
 
 def ablations(rows: DataFrame, version: str = "v2") -> DataFrame:
@@ -94,8 +121,9 @@ def ablations(rows: DataFrame, version: str = "v2") -> DataFrame:
 
     The ledger is first counted by masked pattern (at most 2**rules rows), so the work after the scan does not grow.
     """
-    patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(mask_of(version)).alias("bits")).agg(F.count("*").alias("n"))
-    names = list(RULES)
+    rules = rules_of(rows)
+    patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(mask_of(version, rules)).alias("bits")).agg(F.count("*").alias("n"))
+    names = list(rules)
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << names.index(r)).cast("bigint").alias("bit")) for r in POLICIES[version]])).alias("r")
     return patterns.select("bits", "n", each).groupBy("r.rule").agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("r.bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),

@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs, alone: from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
@@ -67,5 +72,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_toxicity, op5_packing, op6_importance, op7_token_files, op8_suffix_dedup, op9_simhash, op10_chunked_bpe, op11_weak_pii, op12_spelling_variants, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_license_scan, op3_quality_rules, op4_toxicity, op5_packing, op6_importance, op7_token_files, op8_suffix_dedup, op9_simhash, op10_chunked_bpe, op11_weak_pii, op12_spelling_variants, op13_filter_audit, quality_ablations)}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_license_scan": license_scan.oracle_sql(), "op13_filter_audit": filter_audit.ORACLE_SQL}

@@ -657,6 +657,30 @@ def test_license_notices_wrapped_over_lines(spark):
         assert best == want
 
 
+def test_quality_ledger_is_found_again(spark, small, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    made = {tuple(r) for r in quality_rules.ledger(small, path=path).collect()}
+    again = quality_rules.open_ledger(spark, path)
+    assert {tuple(r) for r in again.collect()} == made and quality_rules.rules_of(again) == quality_rules.RULES
+    with pytest.raises(Exception, match="(?i)exists"):
+        quality_rules.ledger(small, path=path)
+    monkeypatch.setitem(quality_rules.RULES, "long_lines", "n_words > 40 * n_lines")
+    monkeypatch.setitem(quality_rules.POLICIES, "v3", ("too_few_words", "long_lines"))
+    assert quality_rules.apply_policy(again, "v2").filter("kept").count() == sum(r[-1] == 0 for r in made)
+    with pytest.raises(ValueError, match="long_lines"):
+        quality_rules.apply_policy(again, "v3")
+    monkeypatch.setitem(quality_rules.RULES, "symbols", "n_symbols > n_words")
+    with pytest.raises(ValueError, match="symbols"):
+        quality_rules.ablations(again, "v2")
+
+
+def test_base_failed(spark, small):
+    want = {r["doc_id"]: r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"] for r in quality_rules.ledger(small).collect()}
+    rows = quality_rules.apply_policy(quality_rules.ledger(small))
+    base = rows["fail_bits"].bitwiseAND(quality_rules.mask_of("v1")) != 0
+    assert {r["doc_id"]: r["b"] for r in rows.select("doc_id", base.alias("b")).collect()} == want and True in want.values() and False in want.values()
+
+
 def test_quality_ledger_reads_the_texts_once(spark, small, tmp_path):
     small.write.parquet(f"{tmp_path}/documents.parquet")
     rows = quality_rules.ledger(spark.read.parquet(f"{tmp_path}/documents.parquet"))
