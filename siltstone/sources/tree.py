@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -26,25 +29,62 @@ EXTENSIONS = {
     "css": "css", "html": "html", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "sql": "sql",
 }
 
+SLICE_BYTES = 1 << 20  #: of contents that are lexed at once: only so many tokens are Python strings at a time
 _LEXED = StructType([StructField("comments", ArrayType(StringType())), StructField("identifiers", ArrayType(StringType())), StructField("comment_nloc", LongType())])
+_JOINED = StructType([StructField("comments", StringType()), StructField("names", StringType()), StructField("comment_nloc", LongType())])
+
+
+def _slices(content: pa.Array, language: pa.Array) -> Iterator[list[tuple[list[str], list[str], int]]]:
+    """What the lexer tells of a batch's files, for some SLICE_BYTES of contents at a time."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(content), 0).cast(pa.int64())).to_numpy()
+    at, before = 0, 0
+    while at < len(content):
+        to = max(at + 1, int(ends.searchsorted(before + SLICE_BYTES, "right")))
+        yield [lexer.told(c, k) for c, k in zip(content.slice(at, to - at).to_pylist(), language.slice(at, to - at).to_pylist())]
+        at, before = to, int(ends[to - 1])
+
+
+def _lexed(content: pa.Array, language: pa.Array, names: list[str], made) -> pa.Array:
+    """A struct of names for each file, its lists as made(), put together slice by slice."""
+    parts = [pa.StructArray.from_arrays([made(c), made(n), pa.array(lines, pa.int64())], names) for c, n, lines in (zip(*told) for told in _slices(content, language))]
+    return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([made([]), made([]), pa.array([], pa.int64())], names)
+
+
+@F.arrow_udf(_LEXED)
+def _by_lexer(content: pa.Array, language: pa.Array) -> pa.Array:
+    return _lexed(content, language, ["comments", "identifiers", "comment_nloc"], lambda lists: pa.array(lists, pa.list_(pa.string())))
+
+
+@F.arrow_udf(_JOINED)
+def _joined_by_lexer(content: pa.Array, language: pa.Array) -> pa.Array:
+    return _lexed(content, language, ["comments", "names", "comment_nloc"], lambda lists: pa.array(["\n".join(x) for x in lists], pa.string()))
 
 
-@F.pandas_udf(_LEXED)
-def _by_lexer(content: pd.Series, language: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([lexer.told(c, k) for c, k in zip(content, language)], columns=["comments", "identifiers", "comment_nloc"])
+def _markup(content: Column, language: Column) -> tuple[Column, Column, Column]:
+    """Whether a file is markup, its comments then, and the lines that they span."""
+    markup = F.coalesce(language.isin("html", "markdown"), F.lit(False))
+    found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?s)<!--.*?-->"), F.lit(0))
+    lines = F.aggregate(found, F.lit(0).cast("bigint"), lambda n, c: n + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
+    return markup, found, lines
 
 
 def lexed(content: Column | str, language: Column | str) -> Column:
     """comments, identifiers and comment_nloc of a file. Markup has neither strings nor names to tell apart, so a pattern
     does; the lexers get only the other files' contents."""
     content, language = (F.col(c) if isinstance(c, str) else c for c in (content, language))
-    markup = F.coalesce(language.isin("html", "markdown"), F.lit(False))
-    found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"(?s)<!--.*?-->"), F.lit(0))
-    lines = F.aggregate(found, F.lit(0).cast("bigint"), lambda n, c: n + F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1)
+    markup, found, lines = _markup(content, language)
     own = F.struct(found.alias("comments"), F.array().cast("array<string>").alias("identifiers"), lines.alias("comment_nloc"))
     return F.when(markup, own).otherwise(_by_lexer(F.when(~markup, content), language))
 
 
+def lexed_texts(content: Column | str, language: Column | str) -> Column:
+    """lexed() with a file's comments, and its identifiers (names), each joined to one text by line breaks."""
+    content, language = (F.col(c) if isinstance(c, str) else c for c in (content, language))
+    markup, found, lines = _markup(content, language)
+    own = F.struct(F.array_join(found, "\n").alias("comments"), F.lit("").alias("names"), lines.alias("comment_nloc"))
+    return F.when(markup, own).otherwise(_joined_by_lexer(F.when(~markup, content), language))
+
+
 def tokens(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
     """files without content, a row for each comment and identifier: kind, text, first_line, last_line."""
     return files.lateralJoin(lexer.Tokens(F.col(content).outer(), F.col(language).outer())).drop(content)
@@ -83,8 +123,7 @@ def scan(files: DataFrame, keys: list[str], lexicon: dict[str, list[str]], top:
     Every file is lexed and searched once: it becomes a row with its own figures and one for each of its glyphs, and both
     kinds are summed by repository and glyph before the shuffle.
     """
-    both = lambda c: F.array_join(c, "\n")
-    rows = computed(files.select(*keys, T.nonblank_lines(F.col("content")).alias("loc"), lexed("content", "language").alias("t")), comments=both("t.comments"), names=both("t.identifiers"))
+    rows = computed(files.select(*keys, T.nonblank_lines(F.col("content")).alias("loc"), lexed_texts("content", "language").alias("t")), comments=F.col("t.comments"), names=F.col("t.names"))
     hits = lambda c: F.size(T.lexicon_hits(F.col(c), F.lit("en"), lexicon))
     found = computed(rows, in_comments=T.emoji(F.col("comments")), in_names=T.emoji(F.col("names")), comment_hits=hits("comments"), name_hits=hits("names"), markers=T.marker_count(F.col("comments")))
     figures = {

@@ -1,7 +1,9 @@
 """Hand-written cases of comments, strings and nesting for each family of languages."""
 
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,20 @@ def test_column_and_table_function_agree(spark):
     by_column = {r["id"]: tuple(r["t"]) for r in rows.select("id", tree.lexed("content", "language").alias("t")).collect()}
     spans = tree.tokens(rows).filter("kind = 'comment'").groupBy("id").agg(F.sum(F.col("last_line") - F.col("first_line") + 1).alias("n"))
     assert {i: v[2] for i, v in by_column.items() if v[2]} == {r["id"]: r["n"] for r in spans.collect()}
+
+
+def test_a_batch_is_lexed_in_bounded_memory():
+    """A batch of many files holds the tokens of a few of them as Python strings at a time; results are those of each file."""
+    texts = [f"def f{i}(a, b): # note {i}\n" + "name value other = thing\n" * 100 for i in range(3000)] + [None, ""]
+    content, language = pa.array(texts), pa.array(["python"] * (len(texts) - 2) + ["python", None])
+    tracemalloc.start()
+    got = tree._by_lexer.func(content, language)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    joined = tree._joined_by_lexer.func(content, language)
+    for i in (0, 1, 1499, 2999, 3000, 3001):
+        comments, names, lines = lexer.told(texts[i], "python")
+        assert got[i].as_py() == {"comments": comments, "identifiers": names, "comment_nloc": lines}
+        assert joined[i].as_py() == {"comments": "\n".join(comments), "names": "\n".join(names), "comment_nloc": lines}
+    assert len(got) == len(joined) == len(texts) and len(tree._by_lexer.func(content[:0], language[:0])) == 0
