@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siltstone.operators import language
@@ -48,3 +49,28 @@ def test_what_is_not_known(spark):
     none = language.LanguageModel.of(language.profiles(rows.limit(0).withColumn("lang", F.lit("en"))))
     assert language.detected(rows, none).filter("language IS NULL").count() == 5
     assert [tuple(r) for r in language.confusion(language.detected(rows.withColumn("lang", F.lit("en")), model).filter("id = 4")).collect()] == [("en", "en", 1)]
+
+
+def test_words_are_cut_once_and_score_as_their_ngrams(spark, monkeypatch):
+    """A text's score is the sum over its n-grams, told by its words; a word that was met is not cut again."""
+    texts = ["the cat, the hat", "le chat d'été", "THE 9 end x", "le " * 40_000, "一二 the", "İx a’b", None, "", "12 !"]
+    model = language.LanguageModel.of(language.profiles(spark.createDataFrame([(t, ("en", "fr")[i % 2]) for i, t in enumerate(texts)], "text string, lang string")))
+
+    def plain(text):
+        held = [(model.table[model.rows[g]], n * len(g)) for g, n in language.grams(text).items() if g in model.rows]
+        if not held:
+            return None, 0.0
+        z = sum(row * n for row, n in held) / language.LONGEST**2
+        p = np.exp(z - z.max())
+        return model.languages[int(p.argmax())], float(p.max() / p.sum())
+
+    cut = []
+    whole = language.grams_in
+    monkeypatch.setattr(language, "grams_in", lambda words, *more: cut.extend(words) or whole(words, *more))
+    for _ in range(3):
+        got = model.guesses(texts)
+        assert [g for g, _ in got] == [plain(t)[0] for t in texts] and all(abs(p - plain(t)[1]) < 1e-9 for t, (_, p) in zip(texts, got))
+    assert sorted(cut) == sorted({w for t in texts for w in language.words(t)})
+    for words in (["a"], ["the", "été", "中文字", "x" * 70]):
+        found, place, word = whole(words)
+        assert Counter((found[g], w) for g, w in zip(place.tolist(), word.tolist())) == Counter((g, i) for i, w in enumerate(words) for g in language.grams_of(w))
