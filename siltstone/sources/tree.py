@@ -86,8 +86,18 @@ def lexed_texts(content: Column | str, language: Column | str) -> Column:
 
 
 def tokens(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
-    """files without content, a row for each comment and identifier: kind, text, first_line, last_line."""
-    return files.lateralJoin(lexer.Tokens(F.col(content).outer(), F.col(language).outer())).drop(content)
+    """files without content, a row for each comment and identifier: kind, text, first_line, last_line, and nth:
+    1 for the first of its kind and text in its file, 2 for the next."""
+    kept = [f for f in files.schema if f.name != content]
+    schema = StructType([*kept, *[StructField(k, t()) for k, t in (("kind", StringType), ("text", StringType), ("first_line", LongType), ("last_line", LongType), ("nth", LongType))]])
+
+    def rows(batches):
+        for b in batches:
+            rest = b.select([f.name for f in kept])
+            for at, found in lexer.token_rows(b.column(content), b.column(language)):
+                yield pa.RecordBatch.from_arrays([*rest.take(at).columns, *found], names=schema.names)
+
+    return files.mapInArrow(rows, schema)
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:

@@ -89,3 +89,13 @@ def test_a_batch_is_lexed_in_bounded_memory():
         assert got[i].as_py() == {"comments": comments, "identifiers": names, "comment_nloc": lines}
         assert joined[i].as_py() == {"comments": "\n".join(comments), "names": "\n".join(names), "comment_nloc": lines}
     assert len(got) == len(joined) == len(texts) and len(tree._by_lexer.func(content[:0], language[:0])) == 0
+
+
+def test_rows_tell_first_occurrences(spark):
+    """Rows say how manieth of its kind and text a token is in its file, so that distinct ones are counted without their texts."""
+    rows = spark.createDataFrame([(1, "rust", "a b a // a\n a // a"), (2, "rust", "a"), (3, None, "a")], "id int, language string, content string")
+    got = sorted((r["id"], r["kind"], r["text"], r["nth"], r["first_line"]) for r in tree.tokens(rows).collect())
+    assert got == [(1, "comment", "// a", 1, 1), (1, "comment", "// a", 2, 2), (1, "identifier", "a", 1, 1), (1, "identifier", "a", 2, 1), (1, "identifier", "a", 3, 2), (1, "identifier", "b", 1, 1), (2, "identifier", "a", 1, 1)]
+    many = pa.array(["x " * (lexer.TOKENS + 5), None, "y"])
+    parts = list(lexer.token_rows(many, pa.array(["rust", "rust", "rust"])))
+    assert [len(at) for at, _ in parts] == [lexer.TOKENS, 6] and parts[1][0].to_pylist() == [0] * 5 + [2] and parts[1][1][4].to_pylist() == [lexer.TOKENS + k for k in range(1, 6)] + [1]
