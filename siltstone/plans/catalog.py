@@ -193,7 +193,7 @@ def primary_language(spark, sf_dir):
 @query("""SELECT c_custkey, n_name AS language, CASE WHEN c_custkey % 11 = 0 THEN 'archived' WHEN c_custkey % 13 = 0 THEN 'disabled' WHEN c_custkey * 1000 > 1024 * 1024 THEN 'oversize: ' || (c_custkey * 1000 // 1024) || ' MiB' END AS skip_reason FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def metadata_enrich_skip(spark, sf_dir):
     payload = F.to_json(F.struct(F.col("n_name").alias("language"), (F.col("c_custkey") * 1000).alias("size"), (F.col("c_custkey") % 11 == 0).alias("archived"), (F.col("c_custkey") % 13 == 0).alias("disabled")))
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")  # nation has 25 rows
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")  # nation has 25 rows
     rows = rows.select("c_custkey", metadata.metadata(payload, F.lit(NOW)).alias("m"))
     return rows.select("c_custkey", "m.language", metadata.skip_reason(F.col("m.archived"), F.col("m.disabled"), F.col("m.size_kb"), 1024).alias("skip_reason"))
 

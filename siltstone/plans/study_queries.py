@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.plan import computed
 from siltstone.operators import lifecycle, reports, rollup, sampling, stats, store
 from siltstone.plans.catalog import COHORT_CTE, COHORT_SQL, CONF, METRICS, REPOS_CTE, cohorts, metric_frame, repos
-from siltstone.plans.registry import NOW, SQL, p_value_sql, query, table
+from siltstone.plans.registry import NOW, SQL, dealt, p_value_sql, query, table
 from siltstone.session import shared_folder, written
 from siltstone.sources import metadata
 
@@ -117,7 +117,7 @@ def probed(spark, sf_dir, refetch: bool = False) -> DataFrame:
     """Customers as cohort rows after a probe: some had metadata, some are gone, some were never asked."""
     k = F.col("c_custkey")
     held = F.when(k % 4 == 0, F.to_json(F.struct(F.lit("Old").alias("language"))))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 3 == 0, "profane").otherwise("clean").alias("cohort"), F.when(k % 10 == 9, "seen").otherwise("done").alias("status"), metadata.metadata(held, F.lit(NOW)).alias("metadata"), F.lit(None).cast("map<string,bigint>").alias("languages_bytes"), F.lit(None).cast("timestamp").alias("missing_at"))
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(k.alias("id"), F.when(k % 3 == 0, "profane").otherwise("clean").alias("cohort"), F.when(k % 10 == 9, "seen").otherwise("done").alias("status"), metadata.metadata(held, F.lit(NOW)).alias("metadata"), F.lit(None).cast("map<string,bigint>").alias("languages_bytes"), F.lit(None).cast("timestamp").alias("missing_at"))
     asked = metadata.to_probe(rows, refetch).filter("id % 6 <> 5")
     payloads = asked.select("id", F.when(F.col("id") % 5 != 1, F.to_json(F.struct(F.element_at(F.array(F.lit("Go"), F.lit(None).cast("string"), F.lit("Python")), (F.col("id") % 3 + 1).cast("int")).alias("language")))).alias("payload"))
     languages = asked.filter("id % 2 = 0").select("id", F.format_string('{"Go": %d, "C": "x", "Py": 2}', "id").alias("payload"))
@@ -150,7 +150,7 @@ def metadata_fields(spark, sf_dir):
         at(k + 1577836800).alias("created_at"), F.when(k % 6 != 0, at(2 * k + 1577836800)).alias("pushed_at"), F.lit("no time").alias("updated_at"), F.col("c_name").alias("description"),
     )
     payload = F.when(k % 13 == 0, F.lit("[1]")).otherwise(F.to_json(fields))
-    rows = computed(table(spark, sf_dir, "customer").select(k.alias("id"), payload.alias("payload")), m=metadata.metadata(F.col("payload"), F.lit(NOW))).filter("m IS NOT NULL").select("id", "m.*")
+    rows = computed(dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_name"), "c_custkey").select(k.alias("id"), payload.alias("payload")), m=metadata.metadata(F.col("payload"), F.lit(NOW))).filter("m IS NOT NULL").select("id", "m.*")
     times = {"created_at": "created", "pushed_at": "pushed", "updated_at": "updated", "fetched_at": "fetched"}
     skip = metadata.skip_reason(F.col("archived"), F.col("disabled"), F.col("size_kb"))
     return rows.select("*", skip.alias("skip"), *[F.unix_timestamp(c).alias(name) for c, name in times.items()]).withColumn("topics", F.array_join("topics", ",")).drop(*times)

@@ -10,7 +10,12 @@ TIMES = ("created_at", "pushed_at", "updated_at")
 
 
 def metadata(payload: Column, fetched_at: Column) -> Column:
-    v = F.try_parse_json(payload)
+    """The fields of a payload, null if that is no object. It is parsed once for all of them: as the element of an array that
+    is transformed, the parsed value is not put in place of each use."""
+    return F.transform(F.array(F.try_parse_json(payload)), lambda v: _fields(v, fetched_at))[0]
+
+
+def _fields(v: Column, fetched_at: Column) -> Column:
     text = lambda p: F.try_variant_get(v, f"$.{p}", "string")
     whole = lambda p: F.coalesce(F.try_variant_get(v, f"$.{p}", "bigint"), F.lit(0).cast("bigint"))
     flag = lambda p: F.coalesce(F.try_variant_get(v, f"$.{p}", "boolean"), F.lit(False))
