@@ -172,14 +172,20 @@ class Decoder:
 
     def __init__(self, tokenizer):
         byte = {c: b for b, c in byte_alphabet().items()}
-        self.table = {}
+        table = {}
         added = tokenizer.get_added_tokens_decoder()
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
-            self.table[i] = token.encode() if i in added else bytes(byte[c] for c in token)
+            table[i] = token.encode() if i in added else bytes(byte[c] for c in token)
+        self.table = [table.get(i, b"") for i in range(max(table) + 1)]  #: of each id its bytes
+        self.numerals = [b"%d," % i for i in range(len(self.table))]
 
     def decode(self, ids: array) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decimal(self, ids: array) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return b"".join(map(self.numerals.__getitem__, ids))[:-1]
+
 
 _OPEN: dict[str, tuple[ChunkEncoder, Decoder]] = {}
 
@@ -208,7 +214,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests: bool =
             for packed in enc.encode_all(text for _, text in each_row(b)):
                 ids = array("I", packed)
                 back = dec.decode(ids)
-                out.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(back.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), back))
+                out.append((len(ids), sha256(dec.decimal(ids)).hexdigest(), sha256(back.encode()).hexdigest()) if digests else (len(ids), ids.tolist(), back))
             n, x, y = list(zip(*out)) or [(), (), ()]
             kind = pa.string() if digests else pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(x, kind), pa.array(y, pa.string())], ["doc_id", "n_tokens", *names])

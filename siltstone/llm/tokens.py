@@ -31,6 +31,11 @@ TOGETHER = 1 << 18  #: characters at which a group of texts that are looked up t
 _RUNS = ("  ", "\n ", " \n", "\t", "\x0b", "\x0c", "\r", "\x85", "\xa0")
 
 
+def _has_runs(t: str) -> bool:
+    a, b, c, d, e, f, g, h, i = _RUNS  # one after another: a generator costs more than the searches
+    return a in t or b in t or c in t or d in t or e in t or f in t or g in t or h in t or i in t
+
+
 def byte_alphabet() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -160,7 +165,7 @@ class Encoder:
         for k, t in enumerate(group):
             if not self.plain(t):
                 out[k] = self.whole(t)
-            elif self.lower or not (t[-1:].isspace() or any(r in t for r in _RUNS)):
+            elif self.lower or not (t[-1:].isspace() or _has_runs(t)):
                 by_word.append(k)
             elif t:
                 by_piece.append(k)

@@ -273,3 +273,14 @@ def test_a_pair_is_compared_in_one_cell_of_one_list():
     assert set(inside) - set(pairs(0.0, np.zeros(30), True, held)) == {(a, b) for a, b in inside if set(held[a]) & set(held[b])}
     alike = {(i + 1, i) for i in range(0, 30, 3) if root[i] != root[i + 1]}
     assert alike <= set(pairs(0.8, np.zeros(30), True, none)) and alike
+
+
+def test_ids_in_decimal_come_from_a_table():
+    from array import array
+
+    from siltstone.llm import chunked_bpe
+    from siltstone.llm.tokens import file_of
+
+    dec = chunked_bpe.opened(file_of("byte_bpe_50k.json"))[1]
+    for ids in ([], [0], [1, 22, 333, 0, len(dec.table) - 1]):
+        assert dec.decimal(array("I", ids)) == ",".join(map(str, ids)).encode()
