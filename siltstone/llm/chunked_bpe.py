@@ -65,11 +65,6 @@ class ChunkEncoder:
         self.base, self.most, self.size = base, most, 0
         self.memory: OrderedDict[str, Chunk] = OrderedDict()
         self.hits = self.misses = 0
-        CACHES.append(self)
-
-    def clear(self) -> None:
-        self.memory.clear()
-        self.size = 0
 
     def _ends(self, chunk: str) -> tuple[int, int, int, int]:
         """Places a <= c <= d <= b: the middle is chunk[a:b], chunk[a:c] and chunk[d:b] its first and its last piece. a = b if there is none."""
@@ -188,6 +183,7 @@ class Decoder:
 
 
 _OPEN: dict[str, tuple[ChunkEncoder, Decoder]] = {}
+CACHES.append(_OPEN)
 
 
 def opened(path: str) -> tuple[ChunkEncoder, Decoder]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 #: Arrow batches of so many bytes instead of Spark's default, as a batch is held by the JVM and by a Python worker at once.
-BATCH_SETTING, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8388608b"
+BATCH_SETTING, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "2097152b"
 
 
 def small_batches(spark: SparkSession) -> None:

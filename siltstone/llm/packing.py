@@ -14,7 +14,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import each_row, staged, trim_memory, with_rank
@@ -189,11 +189,18 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end
             cols = list(zip(*out)) or [()] * (5 + keep_ids)
             types = [pa.int64()] * 5 + [pa.binary()] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids])
+            del out, cols
+            trim_memory()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * keep_ids
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def _table(spark: SparkSession, rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """rows as Arrow, which the JVM reads itself; lists of tuples would start a second set of Python workers on every executor."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(columns)}))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, end_id: int = END, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the packed ids).
 
@@ -204,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE
     spark = docs.sparkSession
     pieces = staged(cut_documents(docs, tokenizer or file_of("byte_bpe_50k.json"), capacity, end_id, keep_ids), "pieces")
     sizes = class_sizes(capacity)
-    small = spark.createDataFrame([(i, int(a) + 1, int(b)) for i, (a, b) in enumerate(zip([0, *sizes[:-1]], sizes))], "class int, low int, high int")
+    small = _table(spark, [(i, int(a) + 1, int(b)) for i, (a, b) in enumerate(zip([0, *sizes[:-1]], sizes))], [("class", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
     classes = F.broadcast(small.select("class", F.explode(F.sequence("low", "high")).alias("length")).select("class", F.col("length").cast("bigint").alias("length")))  # one row for each length
     rows = pieces.join(classes, "length")
     ranked = with_rank(rows, ["class"], [F.col("length").desc(), F.col("doc_id").asc_nulls_last(), F.col("start"), F.col("ids_crc32")], "rank", "packing-rank")
@@ -220,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE
             taken[i] += n * p[i]
             before += int(p[i])
         first += n
-    table = spark.createDataFrame(slots, "class int, low bigint, high bigint, per bigint, first bigint, before bigint")
+    table = _table(spark, slots, [("class", pa.int32()), *((name, pa.int64()) for name in ("low", "high", "per", "first", "before"))])
     # Ranks below the bounds: patterns number a few for each class, so the table's size has a bound.
     dealt = ranked.join(F.broadcast(table), "class").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     into = F.col("rank") - F.col("low")

@@ -24,7 +24,8 @@ REACH = SPAN - K  #: bytes of an anchor's windows before it
 WIDTH = REACH + SPAN  #: bytes of text that an anchor's windows can cover
 ROW = 88  #: WIDTH, first and last window, zeros up to whole 8-byte words
 GROUP = 4 << 20  #: bytes of text whose anchors a sender compares and packs together
-PART = 1 << 19  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
+PART = 1 << 18  #: bytes of text that are hashed at once; longer documents are cut into overlapping parts
+LEAVES = 1 << 20  #: packed bytes with which a batch leaves a sender, as the worker and the JVM hold a batch several times
 MOST_SPLITTERS = 1 << 17  #: beyond, ranges are cut by a hash of the bytes after the leading ones
 SUB = 4  #: buckets that travel and arrive together, packed, and are unpacked one at a time
 NO_ID = (1 << 63) - 1  #: a null id: larger than every other
@@ -223,6 +224,11 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.stack([ids[run], tags[run], first], 1)
 
 
+def _sent(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "body", "doc_id", "tag", "ranges"])
+
+
 def _segments(doc: int, tag: int, text: bytes):
     """A document in parts that share SPAN - 1 bytes, so that each window lies in one whole part."""
     for at in range(0, max(1, len(text) - SPAN + 1), PART):
@@ -290,10 +296,14 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
             begins = np.append(0, ends[:-1])
             buf = np.frombuffer(b"".join(p[3] for p in group[at:end]), np.uint8)
             which, spot, first, last = anchors(buf, begins, ends)
-            shift = np.array([p[2] for p in group[at:end]], np.int64) - begins
-            got.append((which + at, contexts(buf, spot, first, last), first + shift[which], last + shift[which]))
+            got.append((at, np.array([p[2] for p in group[at:end]], np.int64) - begins, buf, which, spot, first, last))
             at = end
-        which, rows, first, last = (np.concatenate(x) for x in zip(*got))
+        rows = np.empty((sum(len(x[3]) for x in got), ROW), np.uint8)  # filled in place: rows are most of the memory
+        at = 0
+        for _, _, buf, _, spot, first, last in got:
+            rows[at : at + len(spot)] = contexts(buf, spot, first, last)
+            at += len(spot)
+        which, first, last = (np.concatenate(x) for x in zip(*((which + at, first + shift[which], last + shift[which]) for at, shift, _, which, _, first, last in got)))
         got.clear()
         order, head = equal_rows(rows, ids[which])
         doc = ids[which[order]]
@@ -303,20 +313,22 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
         for p, blob in _ranges(which[k], first[k], last[k] + SPAN):
             local.setdefault(group[p][:2], []).append(blob)
         k = order[~known]
-        bucket = bucket_of(rows[k], splitters.value, parts) // SUB
+        bucket = (bucket_of(rows, splitters.value, parts) // SUB)[k]
         by = np.lexsort((first[k], which[k], bucket))
         k, bucket = k[by], bucket[by]
-        out = [(-1, None, d, t, b"".join(x)) for (d, t), x in local.items()]
+        out, held = [(-1, None, d, t, b"".join(x)) for (d, t), x in local.items()], 0
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(k) else []
         tags = np.array([p[1] for p in group], np.int64)
         for a, b in zip(cut, [*cut[1:], len(k)]):
             p = k[a:b]
             body = _pack(rows[p], ids[which[p]], tags[which[p]], first[p])
             out.append((int(bucket[a]), pa.Codec("zstd", compression_level=3).compress(body, asbytes=True), None, len(body), None))
+            held += len(out[-1][1])
+            if held >= LEAVES:
+                yield _sent(out)
+                out, held = [], 0
         if out:
-            cols = list(zip(*out))
-            kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "body", "doc_id", "tag", "ranges"])
+            yield _sent(out)
 
     def meet(batches):
         drop_caches()

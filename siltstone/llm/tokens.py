@@ -64,7 +64,6 @@ class Encoder:
         self.memory: dict[str, bytes] = {}  #: pre-token -> ids
         self.words: dict[str, bytes] = {}  #: word -> ids; where spaces are kept, of the word after a space
         self.signs = dict(zip(SIGNS, self._one_by_one(list(SIGNS))))
-        CACHES.extend((self.memory, self.words))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -188,6 +187,7 @@ class Encoder:
 
 
 _OPEN: dict[str, Encoder] = {}
+CACHES.append(_OPEN)  # with their vocabularies and memories; opening one anew takes some 0.1 s
 
 
 def encoder(path: str) -> Encoder:

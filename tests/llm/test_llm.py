@@ -84,6 +84,33 @@ def test_bit_filter_and_without(spark):
     assert sorted(r["th"] for r in common.without(docs, gone, "t").collect()) == [0, 2, 4]
 
 
+def test_workers_give_memory_back():
+    """An operator that drops the worker's caches closes the encoders, too."""
+    import gc
+    import weakref
+
+    from siltstone.llm import chunked_bpe, common
+
+    path = tokens.file_of("byte_bpe_50k.json")
+    enc, chunks = tokens.encoder(path), chunked_bpe.opened(path)[0]
+    assert enc.encode("some words") and list(chunks.encode_all(["some words"]))
+    held = weakref.ref(enc), weakref.ref(chunks)
+    del enc, chunks
+    common.drop_caches()
+    gc.collect()
+    assert not any(h() for h in held)
+    assert tokens.encoder(path).encode("some words")
+
+
+def test_packing_tables_need_no_python_worker(spark):
+    from siltstone.llm import packing
+
+    for rows in ([(1, 2, 3), (4, 5, 6)], []):
+        table = packing._table(spark, rows, [("class", packing.pa.int32()), ("low", packing.pa.int64()), ("high", packing.pa.int64())])
+        assert table.dtypes == [("class", "int"), ("low", "bigint"), ("high", "bigint")] and [tuple(r) for r in table.collect()] == rows
+        assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -93,6 +120,15 @@ def test_sql(spark, name):
     assert rows_of(got, *want.columns) == Counter(want.fetchall())
 
 
+def test_filter_audit_sql(spark):
+    """The SQL of op13 reads labels as well as documents."""
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(ORACLE_SQL["op13_filter_audit"])
+    assert rows_of(QUERIES["op13_filter_audit"](spark, SF), *want.columns) == Counter(want.fetchall())
+
+
 def bare(t):
     return "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
 
